@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import mixing, quality, simhash
+from factloom.llm import mixing, quality, simhash, substring
 from factloom.llm.common import read_table
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -50,7 +54,7 @@ FROM plan
 
 
 def queries() -> dict:
-    return {"op5_simhash": op5_simhash, "op9_mix": op9_mix, "op10_quality": op10_quality}
+    return {"op2_substring": op2_substring, "op5_simhash": op5_simhash, "op9_mix": op9_mix, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
