@@ -26,3 +26,13 @@ def session(app: str = "factloom", cores: int | str | None = None, **conf: str)
     for key, value in (BASE_CONF | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def share_code(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package where they see the same folders; a cluster that doesn't gets it by --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
