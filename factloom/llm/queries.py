@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import mixing, quality, simhash, substring
+from factloom.llm import huffman, mixing, packing, quality, simhash, substring, token_counts
 from factloom.llm.common import read_table
 
 
@@ -13,11 +14,23 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_sequences(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.stored_ids(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -54,7 +67,7 @@ FROM plan
 
 
 def queries() -> dict:
-    return {"op2_substring": op2_substring, "op5_simhash": op5_simhash, "op9_mix": op9_mix, "op10_quality": op10_quality}
+    return {"op2_substring": op2_substring, "op3_pack": op3_pack, "op4_huffman": op4_huffman, "op6_token_counts": op6_token_counts, "op5_simhash": op5_simhash, "op9_mix": op9_mix, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
