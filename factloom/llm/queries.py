@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import huffman, mixing, packing, quality, simhash, substring, token_counts
+from factloom.llm import huffman, licenses, mixing, packing, quality, simhash, substring, token_counts
 from factloom.llm.common import read_table
 
 
@@ -31,6 +31,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -67,8 +71,8 @@ FROM plan
 
 
 def queries() -> dict:
-    return {"op2_substring": op2_substring, "op3_pack": op3_pack, "op4_huffman": op4_huffman, "op6_token_counts": op6_token_counts, "op5_simhash": op5_simhash, "op9_mix": op9_mix, "op10_quality": op10_quality}
+    return {"op2_substring": op2_substring, "op3_pack": op3_pack, "op4_huffman": op4_huffman, "op6_token_counts": op6_token_counts, "op5_simhash": op5_simhash, "op8_licenses": op8_licenses, "op9_mix": op9_mix, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mix": OP9_SQL}
+    return {"op8_licenses": licenses.oracle(), "op9_mix": OP9_SQL}
