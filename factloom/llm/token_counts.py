@@ -3,8 +3,9 @@
 The last token of a prefix's encoding decides the rest: the encoding of a prefix is the encoding of the prefix
 before its last token, plus that token. So the table of counts follows from one pass: at each prefix the pieces that
 end there are tried, and the one that the merge rules keep apart from the token before it is the last token.
-No piece holds the word mark after another character, so text falls into segments (word marks and what follows
-them) whose tables are independent and are cached; a text's table is theirs, each raised by the tokens before it.
+No merge can span two neighbouring characters that no piece holds side by side, so text falls apart there: into
+segments (word marks and what follows them) and these into parts, whose tables are independent and are cached as the
+steps from each prefix's count to the next; a text's table is the running sum of its segments' steps.
 
 A table answers any truncation or budget question about its text without encoding again. Unknown characters
 count a token for each UTF-8 byte, as byte fallback does. Null or empty text: 0 tokens.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import as_bytes
 
 MARK = "▁"
-CACHE_SEGMENTS = 250_000
+CACHE_SEGMENTS = 500_000
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
 NORMAL, USER_DEFINED = 1, 4
 
@@ -47,7 +48,9 @@ class PrefixCounter:
         self.bytes_of = (lambda c: len(c.encode())) if model.trainer_spec.byte_fallback else (lambda c: 1)
         self.score = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
         self.longest = max(map(len, self.score))
-        self.tables: dict[str, np.ndarray] = {}
+        self.beside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
+        self.steps: dict[str, bytes] = {}
+        self.part_steps: dict[str, bytes] = {}
         self.apart: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -72,56 +75,59 @@ class PrefixCounter:
             known = self.apart[pair] = self.merged(left + right) == ([left, right] if left else [right])
         return known
 
-    def table(self, segment: str) -> np.ndarray:
-        """Token counts of the segment's prefixes of 1, 2, ... characters."""
-        n = len(segment)
+    def table(self, part: str) -> list[int]:
+        """Token counts of the prefixes of 0, 1, 2, ... characters."""
+        n, score, apart = len(part), self.score, self.apart
         last, count = [""] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
             for j in range(max(0, i - self.longest), i):
-                token = segment[j:i]
-                if (j == i - 1 or token in self.score) and (j == 0 or last[j]) and self.stays_apart(last[j], token):
-                    last[i] = token
-                    count[i] = count[j] + (1 if token in self.score else self.bytes_of(token))
-                    break
+                token = part[j:i]
+                if token in score or j == i - 1:
+                    pair = (last[j], token)
+                    known = apart.get(pair)
+                    if known or known is None and self.stays_apart(*pair):
+                        last[i] = token
+                        count[i] = count[j] + (1 if token in score else self.bytes_of(token))
+                        break
             else:
                 raise AssertionError("a prefix without an encoding")
-        return np.array(count[1:], np.int32)
+        return count
+
+    def segment_steps(self, segment: str) -> bytes:
+        """Change of the count at each character, a signed byte each."""
+        beside, cuts = self.beside, [0]
+        cuts += [i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in beside]
+        out, held = [], self.part_steps
+        for s, e in zip(cuts, [*cuts[1:], len(segment)], strict=True):
+            part = segment[s:e]
+            steps = held.get(part)
+            if steps is None:
+                count = self.table(part)
+                steps = np.diff(np.array(count)).astype(np.int8).tobytes()
+                if len(held) < CACHE_SEGMENTS and len(part) <= 64:
+                    held[part] = steps
+            out.append(steps)
+        return b"".join(out)
 
     def prefix_table(self, text: str) -> np.ndarray:
         """Entry i: tokens of the text's first i characters."""
         if not text:
-            return np.zeros(1, np.int32)
+            return np.zeros(1, np.int64)
         line = self.dummy + text.replace(" ", MARK)
-        parts, tables = [], self.tables
         segments = _SEGMENT.findall(line)
         if not line.startswith(MARK):
             segments.insert(0, line[: len(line) - sum(map(len, segments))])
-        for s in segments:
-            t = tables.get(s)
-            if t is None:
-                t = self.table(s) if len(s) <= 64 else self.long_table(s)
-                if len(tables) < CACHE_SEGMENTS and len(s) <= 64:
-                    tables[s] = t
-            parts.append(t)
-        ends = np.fromiter((t[-1] for t in parts), np.int64, len(parts))
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        whole = np.concatenate(parts) + np.repeat(np.cumsum(ends) - ends, sizes).astype(np.int32)
-        return np.concatenate([[0], whole[len(self.dummy) :]]).astype(np.int32)
-
-    def long_table(self, segment: str) -> np.ndarray:
-        """As table(), for segments with characters of no piece (line ends, rare scripts): they part the segment."""
-        out, base, at = [], 0, 0
-        for i, c in enumerate(segment):
-            if c not in self.score:
-                if i > at:
-                    out.append(self.table(segment[at:i]) + base)
-                    base = int(out[-1][-1])
-                base += self.bytes_of(c)
-                out.append(np.array([base], np.int32))
-                at = i + 1
-        if at < len(segment):
-            out.append(self.table(segment[at:]) + base)
-        return np.concatenate(out)
+        held = self.steps
+        parts = [held.get(s) for s in segments]
+        if None in parts:
+            for i, x in enumerate(parts):
+                if x is None:
+                    s = segments[i]
+                    x = parts[i] = held.get(s) or self.segment_steps(s)
+                    if len(held) < CACHE_SEGMENTS and len(s) <= 64:
+                        held[s] = x
+        whole = np.cumsum(np.frombuffer(b"".join(parts), np.int8), dtype=np.int64)
+        return np.concatenate([[0], whole[len(self.dummy) :]])
 
 
 def fits(table: np.ndarray, budget: int) -> int:
