@@ -38,7 +38,10 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_e
     after = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     per = per.withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    per = per.withColumn("free_level", F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.col("level"))).over(everything))
+    # the level holds from the first source, in the order of ratios, that it leaves under its cap
+    per = per.withColumn("at", F.row_number().over(by_ratio))
+    first = F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.struct("at", "level")))
+    per = per.withColumn("free_level", first.over(everything)["level"])
     target = F.round(F.least("cap", F.coalesce(F.col("free_level") * F.col("weight"), F.col("cap"))), 6)
     return per.select("source", "source_size", "docs", target.alias("target"))
 

@@ -65,9 +65,10 @@ weighed AS (
   FROM per),
 levels AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-            / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+         row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place
   FROM weighed),
-free AS (SELECT *, min(CASE WHEN cap > level * weight THEN level END) OVER () AS free_level FROM levels),
+free AS (SELECT *, (SELECT arg_min(level, place) FROM levels WHERE cap > level * weight) AS free_level FROM levels),
 targets AS (SELECT source, source_size, round(least(cap, coalesce(free_level * weight, cap)), 6) AS target FROM free),
 plan AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
