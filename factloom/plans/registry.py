@@ -1,11 +1,47 @@
-"""Registry of queries and their SQL oracles."""
+"""Registry of queries and their SQL oracles; query modules register here on import."""
 
 from __future__ import annotations
 
+import importlib
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("text", "sources", "search", "facts", "answers", "dialogue", "evaluation")
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
 
-def oracle_sql() -> dict:
-    return {}
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Register a (spark, sf_dir) -> DataFrame callable, and the SQL that gives the same rows in DuckDB."""
+
+    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        _QUERIES[name] = f
+        if sql is not None:
+            _ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"factloom.plans.{name}")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_ORACLES)
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["hybrid_search"](spark, sf_dir)
