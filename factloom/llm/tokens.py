@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -10,6 +12,16 @@ import numpy as np
 #: Words held by an encoder's cache; later words are encoded anew. Bounds a worker's memory, changes no result.
 CACHE_WORDS = 300_000
 
+#: Words of letters that composition leaves alone, and ASCII punctuation after them: two pieces of the pre-tokenizer.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet as a str.translate table: printable bytes stand for themselves, the rest follow from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
 
 class WordEncoder:
     """Ids of a tokenizers file whose pre-tokenizer drops white space, so words at ASCII white space are independent."""
@@ -21,17 +33,49 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
         self.known: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        self.alphabet = byte_letters()
+        spec = json.loads(self.library.to_str())
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        #: Plain words go to the model directly only under the rules that this relies on.
+        self.direct = steps == ["NFC", "Replace", "Lowercase"] and spec["model"]["type"] == "BPE" and "[\\p{L}]+" in str(spec["pre_tokenizer"]).replace("\\\\", "\\")
+
+    def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words not yet known. Plain words are joined from the ids of their letters and their punctuation."""
+        out: dict[bytes, bytes] = {}
+        odd: list[tuple[bytes, str]] = []
+        letters, tails, model, alphabet = self.letters, self.tails, self.library.model, self.alphabet
+        for w in words:
+            text = w.decode("utf-8")
+            m = _PLAIN.fullmatch(text) if self.direct else None
+            if m is None:
+                odd.append((w, text))
+                continue
+            head, tail = m[1].lower(), m[2]
+            ids = letters.get(head)
+            if ids is None:
+                ids = np.array([t.id for t in model.tokenize(head.encode().decode("latin-1").translate(alphabet))], "<u4").tobytes()
+                if len(letters) < CACHE_WORDS:
+                    letters[head] = ids
+            end = tails.get(tail)
+            if end is None:
+                end = np.array(self.library.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
+                if len(tails) < CACHE_WORDS:
+                    tails[tail] = end
+            out[w] = ids + end
+        for at in range(0, len(odd), 4096):
+            part = odd[at : at + 4096]
+            found = self.library.encode_batch_fast([t for _, t in part], add_special_tokens=False)
+            out.update((w, np.array(f.ids, "<u4").tobytes()) for (w, _), f in zip(part, found, strict=True))
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, as bytes."""
         words = [t.split() for t in texts]
         known = self.known
         new = list({w for ws in words for w in ws if w not in known})
-        fresh: dict[bytes, bytes] = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = self.library.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-            fresh.update((w, np.array(f.ids, "<u4").tobytes()) for w, f in zip(part, found, strict=True))
+        fresh = self._fresh(new)
         room = max(0, CACHE_WORDS - len(known))
         for w in new[:room]:
             known[w] = fresh.pop(w)
