@@ -1 +1,167 @@
+"""Queries on answer selection, citations and grounding; a question's company is a market segment."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.operators import selection as A
+from factloom.plans import facts as P
+from factloom.plans.registry import query, table
+
+YEARS = (2021, 2020, 2016)
+#: Yearly facts of each segment in two readings, one of them with a model's confidence.
+ROWS = f"""
+{P.SEGMENT},
+rows AS (SELECT company, 'revenue' AS family, CAST(y AS VARCHAR) AS period, CAST(n + i AS VARCHAR) || '亿元' AS value, CASE WHEN i = 1 AND y % 2 = 0 THEN 1.0 ELSE 0.8 END::DOUBLE AS confidence, y * 10 + i AS pos,
+           1e9 + (n + i) * 100000000.0 + CASE WHEN i = 1 AND y % 2 = 0 THEN 1.0 ELSE 0.8 END AS quality FROM seg, (SELECT unnest([0, 1]) AS i) WHERE y <> 2019)
+"""
+
+
+def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = P._segments(spark, sf_dir).where("y <> 2019").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
+    r = s.select("company", F.lit("revenue").alias("family"), F.col("y").cast("string").alias("period"), F.concat((F.col("n") + F.col("i")).cast("string"), F.lit("亿元")).alias("value"), F.when((F.col("i") == 1) & (F.col("y") % 2 == 0), 1.0).otherwise(0.8).alias("confidence"), (F.col("y") * 10 + F.col("i")).alias("pos"))
+    return r.withColumn("quality", A.quality(F.col("period"), F.col("value"), F.col("confidence")))
+
+
+LIST = ", ".join(map(str, YEARS))
+
+
+@query(
+    "time_filter",
+    f"""
+WITH {ROWS}, m AS (SELECT *, CAST(period AS INTEGER) IN ({LIST}) AS inside, row_number() OVER (PARTITION BY company, CAST(period AS INTEGER) IN ({LIST}) ORDER BY CAST(period AS INTEGER) DESC, pos) AS k FROM rows)
+SELECT company, period, value, pos FROM m WHERE inside OR k = 1
+""",
+)
+def time_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.time_filter(rows(spark, sf_dir), "company", YEARS, strict=False).select("company", "period", "value", "pos")
+
+
+@query("answer_dedupe", f"WITH {ROWS} SELECT company, family, period, value, pos FROM rows QUALIFY row_number() OVER (PARTITION BY company, family, period ORDER BY confidence < 1, quality DESC, pos) = 1")
+def answer_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.one_per_period(rows(spark, sf_dir), ["company", "family", "period"]).select("company", "family", "period", "value", "pos")
+
+
+@query(
+    "answer_rank",
+    f"""
+WITH {ROWS}, r AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY CASE WHEN CAST(period AS INTEGER) IN ({LIST}) THEN 0 ELSE 1 END, period DESC, CASE WHEN confidence >= 1 THEN 0 ELSE 1 END, quality DESC, pos) AS rank FROM rows)
+SELECT company, period, value, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8
+""",
+)
+def answer_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.rank_answers(rows(spark, sf_dir), "company", YEARS).select("company", "period", "value", "rank")
+
+
+@query(
+    "missing_years",
+    f"""
+WITH {ROWS}, w AS (SELECT DISTINCT company, y FROM rows, (SELECT unnest([2015, 2019, 2020, 2023]) AS y)),
+m AS (SELECT w.company, w.y, count(r.pos) AS n FROM w LEFT JOIN rows r ON r.company = w.company AND CAST(r.period AS INTEGER) = w.y GROUP BY ALL)
+SELECT company, coalesce(string_agg(CAST(y AS VARCHAR), ',' ORDER BY y) FILTER (n = 0), '') AS missing FROM m GROUP BY company
+""",
+)
+def missing_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = A.missing_years(rows(spark, sf_dir), "company", (2015, 2019, 2020, 2023))
+    return m.select("company", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"))
+
+
+@query(
+    "family_detect",
+    """
+SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'profit,revenue' WHEN 1 THEN 'revenue_structure' WHEN 2 THEN 'capacity,risk' ELSE '' END AS families FROM benchmark
+""",
+)
+def family_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("item_id") % 4
+    q = F.when(i == 0, "公司的净利润和 Revenue 如何？").when(i == 1, "公司的收入结构？").when(i == 2, "产能与不确定因素？").otherwise("?")
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(A.families(q), ",").alias("families"))
+
+
+@query("status_bucket", f"WITH {P.BASE}, {P.KEYED} SELECT status, count(*) AS n FROM (SELECT f.fact_id, coalesce(v.status, 'insufficient') AS status FROM facts f LEFT JOIN (SELECT * FROM verdicts WHERE n % 2 = 0) v USING (fact_id)) GROUP BY ALL")
+def status_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = P.verdicts(spark, sf_dir)
+    return A.status_buckets(P.facts(spark, sf_dir), v.where("n % 2 = 0")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+CITED = """
+one AS (SELECT doc_id % 50 AS task_id, source AS source_id, doc_id % 7 AS chunk_id, min(doc_id) AS pos FROM documents GROUP BY ALL),
+two AS (SELECT doc_id % 50 AS task_id, source AS source_id, doc_id % 5 AS chunk_id, min(doc_id) AS pos FROM documents WHERE doc_id % 3 = 0 GROUP BY ALL)
+"""
+
+
+def _cited(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    task = (F.col("doc_id") % 50).alias("task_id")
+    return [
+        docs.groupBy(task, F.col("source").alias("source_id"), (F.col("doc_id") % 7).alias("chunk_id")).agg(F.min("doc_id").alias("pos")),
+        docs.where("doc_id % 3 = 0").groupBy(task, F.col("source").alias("source_id"), (F.col("doc_id") % 5).alias("chunk_id")).agg(F.min("doc_id").alias("pos")),
+    ]
+
+
+@query(
+    "citation_merge",
+    f"""
+WITH {CITED}, u AS (SELECT 0 AS l, * FROM one UNION ALL SELECT 1, * FROM two),
+g AS (SELECT task_id, source_id, chunk_id, min((l, pos)) AS place FROM u GROUP BY ALL)
+SELECT task_id, source_id, chunk_id, CAST(row_number() OVER (PARTITION BY task_id ORDER BY place, source_id, chunk_id) AS INTEGER) AS pos FROM g
+""",
+)
+def citation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.merge_citations(_cited(spark, sf_dir), "task_id")
+
+
+@query(
+    "citation_number",
+    f"""
+WITH {CITED}, u AS (SELECT *, CASE WHEN chunk_id % 2 = 0 THEN 'http://a/' || chunk_id ELSE '' END AS url FROM one),
+k AS (SELECT *, coalesce(nullif(url, ''), source_id) AS key FROM u), f AS (SELECT task_id, key, min(pos) AS first_pos FROM k GROUP BY ALL),
+n AS (SELECT task_id, key, row_number() OVER (PARTITION BY task_id ORDER BY first_pos) AS number FROM f)
+SELECT task_id, source_id, chunk_id, CAST(number AS INTEGER) AS number FROM k JOIN n USING (task_id, key)
+""",
+)
+def citation_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cited = _cited(spark, sf_dir)[0].withColumn("url", F.when(F.col("chunk_id") % 2 == 0, F.concat(F.lit("http://a/"), F.col("chunk_id").cast("string"))).otherwise(""))
+    return A.number_citations(cited, "task_id").select("task_id", "source_id", "chunk_id", "number")
+
+
+@query(
+    "grounded_excerpt",
+    r"""
+WITH e AS (SELECT lang, CAST(doc_id AS VARCHAR) AS source_id, CASE WHEN doc_id % 9 = 0 THEN 'official_pdf' WHEN doc_id % 5 = 0 THEN 'official_entry_page' ELSE 'blog' END AS layer, (doc_id % 8) / 10.0 AS credibility, n_chars AS score, '目标价 ' || text AS text FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY CASE layer WHEN 'official_pdf' THEN 4 WHEN 'official_entry_page' THEN 3 ELSE 2 END DESC, credibility DESC, score DESC, source_id) AS rank FROM e)
+SELECT lang, CAST(rank AS INTEGER) AS rank, source_id, replace(substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 300), '目标价', '【已移除】') AS excerpt FROM r WHERE rank <= 3
+""",
+)
+def grounded_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    layer = F.when(i % 9 == 0, "official_pdf").when(i % 5 == 0, "official_entry_page").otherwise("blog")
+    e = table(spark, sf_dir, "documents").select("lang", i.cast("string").alias("source_id"), layer.alias("layer"), (i % 8 / 10.0).alias("credibility"), F.col("n_chars").alias("score"), F.concat(F.lit("目标价 "), F.col("text")).alias("text"))
+    return A.grounded(e, "lang")
+
+
+@query(
+    "risk_text_cleanup",
+    r"""
+WITH l AS (SELECT doc_id, unnest(string_split('## ' || text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+a AS (SELECT doc_id, pos, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '^\s+', ''), '\s+$', ''), '^#{1,4}\s+', ''), '^[-*•]\s*', ''), '^\d+[.、．]\s*', '') AS c FROM l),
+b AS (SELECT doc_id, pos, regexp_replace(regexp_replace(regexp_replace(c, '\*{1,2}([^*]+)\*{1,2}', '\1', 'g'), '^[ \-*\t]+', ''), '[ \-*\t]+$', '') AS line FROM a),
+t AS (SELECT doc_id, pos, CASE WHEN length(line) <= 220 THEN line ELSE regexp_replace(substr(line, 1, 219), '\s+$', '') || '…' END AS line FROM b WHERE length(line) >= 12),
+f AS (SELECT doc_id, substr(line, 1, 48) AS s, min(pos) AS pos, arg_min(line, pos) AS line FROM t GROUP BY ALL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INTEGER) AS rank, line FROM f QUALIFY rank <= 5
+""",
+)
+def risk_text_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("## "), F.col("text")).alias("text"))
+    return A.risk_lines(docs, "doc_id", "text")
+
+
+@query(
+    "compare_two_entities",
+    f"WITH {P.SEGMENT} SELECT y, sum(n) FILTER (company = 'BUILDING') AS building, sum(n) FILTER (company = 'MACHINERY') AS machinery FROM seg GROUP BY y HAVING count(*) FILTER (company IN ('BUILDING', 'MACHINERY')) > 0".replace("sum(n)", "CAST(sum(n)").replace("'BUILDING') AS building", "'BUILDING') AS BIGINT) AS building").replace("'MACHINERY') AS machinery", "'MACHINERY') AS BIGINT) AS machinery"),
+)
+def compare_two_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two entities side by side from one job: the names are given, so the pivot needs no extra pass."""
+    s = P._segments(spark, sf_dir).where(F.col("company").isin("BUILDING", "MACHINERY"))
+    return s.groupBy("y").pivot("company", ["BUILDING", "MACHINERY"]).agg(F.sum("n")).withColumnsRenamed({"BUILDING": "building", "MACHINERY": "machinery"})
