@@ -5,8 +5,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +17,8 @@ from factloom.functions import text as T
 
 #: The public Okapi parameters, and the fusion constant.
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
-#: A query side above this many rows is not broadcast; it is joined by Spark's own choice instead.
-MAX_BROADCAST_ROWS = 10_000
+#: Queries sent out at a time.
+QUERY_BLOCK = 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,24 +43,47 @@ def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id",
     return scored.orderBy(F.desc("score"), F.asc(id_col)).limit(max(0, k))
 
 
-def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = 2) -> DataFrame:
+def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, score, rank): exact top k of every query, a stated set against all rows.
 
-    The rows stay where they are and meet the queries in blocks; each partition keeps its own top k per query before the
-    shuffle, so a query costs partitions * k rows there, not one row per vector.
+    Queries go out in blocks of at most about `block` vectors, so what is broadcast has a fixed size; rows stay where
+    they are, a task scores them by matrix products and keeps k rows per query, and only those meet in the shuffle.
+    Null vectors are skipped; a zero vector scores 0.
     """
-    # the norm of each side is computed once, not once per pair
-    rows = vectors.select(F.col(id_col), F.col(vector_col).alias("v"), F.sqrt(dot(F.col(vector_col), F.col(vector_col))).alias("vn"))
-    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"), F.sqrt(dot(F.col(vector_col), F.col(vector_col))).alias("qn"))
-    if queries.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
-        asked = F.broadcast(asked)
-    norms = F.col("vn") * F.col("qn")
-    scored = rows.join(asked, F.lit(True)).select("query_id", id_col, F.round(F.when(norms > 0, dot(F.col("v"), F.col("q")) / norms).otherwise(0.0), 6).alias("score"), F.spark_partition_id().alias("part"))
-    order = [F.desc("score"), F.asc(id_col)]
-    best = scored.groupBy("query_id", "part").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(id_col).alias("i")))), 1, k).alias("top"))
-    flat = best.select("query_id", F.explode("top").alias("t")).select("query_id", F.col("t.i").alias(id_col), (-F.col("t.s")).alias("score"))
-    ranked = flat.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    return ranked.where(F.col("rank") <= k)
+    spark = vectors.sparkSession
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("q")).where("query_id IS NOT NULL AND q IS NOT NULL")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    blocks = max(1, -(-asked.count() // block))
+    found = None
+    for i in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).orderBy("query_id").toArrow()
+        sent = spark.sparkContext.broadcast((part.column(0).to_numpy(), _unit(part.column(1))))
+
+        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, asked_units = sent.value
+            best, ids = np.full((len(names), 0), 0.0), np.full((len(names), 0), 0, np.int64)
+            for batch in batches:
+                for at in range(0, batch.num_rows if len(names) else 0, 512):
+                    some = batch.slice(at, 512)
+                    scores = np.concatenate([best, np.round(asked_units @ _unit(some.column(1)).T, 6)], axis=1)
+                    every = np.concatenate([ids, np.broadcast_to(some.column(0).to_numpy(), (len(names), some.num_rows))], axis=1)
+                    order = np.lexsort((every, -scores), axis=-1)[:, : max(0, k)]
+                    best, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(every, order, 1)
+            columns = [np.repeat(names, best.shape[1]), ids.ravel(), best.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int64)), pa.array(columns[1]), pa.array(columns[2])], ["query_id", "id", "score"])
+
+        hits = rows.mapInArrow(work, "query_id long, id long, score double")
+        found = hits if found is None else found.unionByName(hits)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))))
+    return ranked.where(F.col("rank") <= k).withColumnRenamed("id", id_col)
+
+
+def _unit(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of unit length; zero vectors stay zero."""
+    listed = vectors.to_pylist()
+    x = np.array(listed, np.float64).reshape(len(listed), -1)
+    norm = np.linalg.norm(x, axis=1, keepdims=True) if len(listed) else np.zeros((0, 1))
+    return np.where(norm > 0, x / np.where(norm > 0, norm, 1.0), 0.0)
 
 
 def upsert(stored: DataFrame, batch: DataFrame, key: str) -> DataFrame:
