@@ -158,3 +158,41 @@ def ranked_announcements(catalog: DataFrame, years: tuple[int, ...] = (), strict
 
 
 LAYER_NAMES = tuple(LAYERS)
+
+
+#: Pages of no use, and words that evidence about a company has.
+BLOCKED = ("考试题", "试卷", "题库", "培训", "课程", "论文下载", "问卷", "问答社区", "面试题", "interview")
+EVIDENCE = (
+    "年报", "年度报告", "半年报", "季报", "研发", "研发费用", "研发投入", "营收", "营业收入", "净利润", "经营风险", "风险因素", "财务", "业绩", "公告", "投资者关系", "监管", "交易所", "企业信息", "企业信用", "工商",
+    "经营范围", "法定代表人", "注册资本", "成立日期", "统一社会信用代码", "公司简介", "公司介绍", "主营", "主要业务", "业务板块", "产品", "服务",
+)
+
+
+def references(raw: Column) -> Column:
+    """Flat array of {title, url, content, type} from a search response's JSON, nested or not."""
+    item = "struct<title:string,url:string,content:string,type:string>"
+    parsed = F.from_json(raw, f"struct<references:array<{item}>,search_results:array<{item}>>")
+    none = F.array().cast(f"array<{item}>")
+    return F.concat(F.coalesce(parsed["references"], none), F.coalesce(parsed["search_results"], none))
+
+
+def relevant(company: str, title: Column, url: Column, content: Column) -> Column:
+    """Names the company and holds evidence words (which official hosts needn't), and isn't a blocked kind of page."""
+    from factloom.functions.values import AUTHORITATIVE
+
+    # compatibility forms matter for full-width letters and digits only; translate covers them without Python
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
+    narrow = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
+    text = F.lower(F.translate(F.concat_ws("\n", title, url, F.substring(content, 1, 2000)), wide, narrow))
+    name = company.translate(str.maketrans(wide, narrow)).lower()
+    compact = "".join(c for c in name if c.isalnum())
+    named = F.contains(text, F.lit(name)) | F.contains(F.regexp_replace(text, r"(?U)[\W_]+", ""), F.lit(compact)) if compact else F.lit(False)
+    evident = text.rlike("|".join(EVIDENCE)) | host_in(host_of(url), AUTHORITATIVE)
+    return ~text.rlike("|".join(BLOCKED)) & named & evident
+
+
+def mock_sources(companies: DataFrame, name: str = "company") -> DataFrame:
+    """Three deterministic sources per company, for runs without a network."""
+    kinds = (("annual_report", "年度报告", 0.96), ("announcement", "公告", 0.84), ("news", "新闻", 0.68))
+    rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(k).alias("source_type"), F.concat(F.col(name), F.lit(t)).alias("title"), F.lit(s).alias("credibility")) for i, (k, t, s) in enumerate(kinds)])
+    return companies.select(name, F.explode(rows).alias("s")).select(name, "s.*")
