@@ -72,17 +72,26 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, as bytes."""
+        get = self.known.get
         words = [t.split() for t in texts]
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        fresh = self._fresh(new)
-        room = max(0, CACHE_WORDS - len(known))
-        for w in new[:room]:
-            known[w] = fresh.pop(w)
-        if not fresh:
-            return [b"".join([known[w] for w in ws]) for ws in words]
-        get, rest = known.get, fresh.get
-        return [b"".join([x if (x := get(w)) is not None else rest(w) for w in ws]) for ws in words]
+        parts = [list(map(get, ws)) for ws in words]
+        gaps = [i for i, found in enumerate(parts) if None in found]
+        if gaps:
+            new = list({w for i in gaps for w, p in zip(words[i], parts[i], strict=True) if p is None})
+            fresh = self._fresh(new)
+            for i in gaps:
+                parts[i] = [fresh[w] if p is None else p for w, p in zip(words[i], parts[i], strict=True)]
+            for w in new[: max(0, CACHE_WORDS - len(self.known))]:
+                self.known[w] = fresh[w]
+        return [b"".join(x) for x in parts]
+
+    def totals(self, words: dict[bytes, int], size: int) -> np.ndarray:
+        """Count of each id over words with their counts: each distinct word is encoded once."""
+        fresh = self._fresh(list(words))
+        lens = np.fromiter((len(x) for x in fresh.values()), np.int64, len(fresh)) // 4
+        found = np.frombuffer(b"".join(fresh.values()), "<u4")
+        times = np.fromiter((words[w] for w in fresh), np.float64, len(fresh))
+        return np.bincount(found, np.repeat(times, lens), size).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
