@@ -229,8 +229,9 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, fan_in: int = 4) -> None:
         self.spark, self.path, self.fan_in = spark, path or new_path(spark, "index"), fan_in
-        self.parts = max(32, partitions(spark))
-        self.buckets = buckets or self.parts
+        # several homes to a task: their sizes even out, and a task holds one home at a time
+        self.parts = max(32, 4 * partitions(spark))
+        self.buckets = buckets or max(32, partitions(spark))
         self.runs: list[str] = []
 
     def add(self, docs: DataFrame) -> DataFrame:
@@ -440,7 +441,7 @@ def remove_repeats(docs: DataFrame, batches: int = 2, with_text: bool = False, c
         hits = found if hits is None else hits.unionByName(found)
     at = new_path(spark, "windows")
     packed = _packed(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), parts, [])
-    packed.unionByName(hits).repartition(parts, "part").groupBy("part").applyInArrow(_hit_windows(parts, buckets), ROW).write.partitionBy("kind").parquet(at)
+    packed.unionByName(hits).repartition(partitions(spark), "part").groupBy("part").applyInArrow(_hit_windows(parts, buckets), ROW).write.partitionBy("kind").parquet(at)
     windows = spark.read.schema(ROW).parquet(at)
     decided = windows.where(F.col("kind") == ENTRY).repartition(buckets, "part").groupBy("part").applyInArrow(_decide(parts), ROW)
     settled = windows.where(F.col("kind") == LOCAL).unionByName(decided)
@@ -448,7 +449,7 @@ def remove_repeats(docs: DataFrame, batches: int = 2, with_text: bool = False, c
     extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in whole.schema.fields if f.name.startswith("x"))
     both = whole.unionByName(settled, allowMissingColumns=True)
     last = "kept_text string" if with_text else "kept_sha256 string"
-    return both.repartition(parts, "part").groupBy("part").applyInArrow(_finish(len(carry), with_text), f"doc_id long, n_words long, n_removed long, {last}{extra}")
+    return both.repartition(partitions(spark), "part").groupBy("part").applyInArrow(_finish(len(carry), with_text), f"doc_id long, n_words long, n_removed long, {last}{extra}")
 
 
 def cut_documents(docs: DataFrame, batches: int = 2) -> DataFrame:
