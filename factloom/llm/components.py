@@ -1,8 +1,9 @@
 """Connected components of a link table by alternating large-star and small-star rounds.
 
-Each round is two grouped minima and two joins, so no node's neighbours are ever gathered in one task; a hub
-that holds a third of all links is a skewed join side, which adaptive execution splits. Rounds grow with the
-logarithm of the longest chain. Each round is written to the shared folder and the one before is deleted.
+Each round is two grouped minima and two joins, so no node's neighbours are ever gathered in one task. The minima are
+written before they are joined: both join sides are then plain shuffles, and a hub that holds a third of all links
+is a skewed side, which adaptive execution splits. Rounds grow with the logarithm of the longest chain. Each round is
+written to the shared folder and the one before is deleted.
 """
 
 from __future__ import annotations
@@ -15,14 +16,18 @@ from factloom.llm.common import drop_table, materialize
 
 def _stars(links: DataFrame) -> DataFrame:
     both = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*")
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
+    stars = materialize(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "stars")
+    drop_table(low)
+    return stars
 
 
 def _shrink(links: DataFrame) -> DataFrame:
-    low = links.groupBy("a").agg(F.min("b").alias("m"))
+    low = materialize(links.groupBy("a").agg(F.min("b").alias("m")), "low")
     moved = links.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+    step = materialize(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")
+    drop_table(low)
+    return step
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -34,7 +39,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     links = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
     while True:
-        step = materialize(_shrink(_stars(links)), "links")
+        stars = _stars(links)
+        step = _shrink(stars)
+        drop_table(stars)
         drop_table(links)
         now = step.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
         links = step

@@ -159,7 +159,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     members = connected_components(close_links(first.select("fp"), distance, blocks))
     named = first.join(members.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp"))
-    names = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    names = materialize(named.groupBy("label").agg(F.min("rep").alias("component_id")), "names")
     return rows.join(named.select("fp", "label").join(names, "label").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
