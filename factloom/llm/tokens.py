@@ -5,15 +5,22 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
 
-#: Words held by an encoder's cache; later words are encoded anew. Bounds a worker's memory, changes no result.
-CACHE_WORDS = 300_000
+#: Words and runs of letters held by an encoder's caches; later ones are encoded anew. Bounds a worker's memory, changes no result.
+CACHE_WORDS = 500_000
 
-#: Words of letters that composition leaves alone, and ASCII punctuation after them: two pieces of the pre-tokenizer.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: Words of letters that composition leaves alone, in UTF-8 (A-Z, a-z and the letters of U+00C0..U+00FF), and ASCII
+#: punctuation after them: two pieces of the pre-tokenizer.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+
+
+def as_ids(ids: list[int]) -> bytes:
+    """Little-endian 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def byte_letters() -> dict[int, str]:
@@ -33,8 +40,8 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
         self.known: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
+        self.letters: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
         self.alphabet = byte_letters()
         spec = json.loads(self.library.to_str())
         steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -47,27 +54,29 @@ class WordEncoder:
         odd: list[tuple[bytes, str]] = []
         letters, tails, model, alphabet = self.letters, self.tails, self.library.model, self.alphabet
         for w in words:
-            text = w.decode("utf-8")
-            m = _PLAIN.fullmatch(text) if self.direct else None
+            m = _PLAIN.fullmatch(w) if self.direct else None
             if m is None:
-                odd.append((w, text))
+                odd.append((w, w.decode("utf-8")))
                 continue
-            head, tail = m[1].lower(), m[2]
+            head, tail = m.groups()
+            head = head.lower() if head.isascii() else head.decode("utf-8").lower().encode("utf-8")
             ids = letters.get(head)
             if ids is None:
-                ids = np.array([t.id for t in model.tokenize(head.encode().decode("latin-1").translate(alphabet))], "<u4").tobytes()
+                ids = as_ids([t.id for t in model.tokenize(head.decode("latin-1").translate(alphabet))])
                 if len(letters) < CACHE_WORDS:
                     letters[head] = ids
-            end = tails.get(tail)
-            if end is None:
-                end = np.array(self.library.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
-                if len(tails) < CACHE_WORDS:
-                    tails[tail] = end
-            out[w] = ids + end
+            if tail:
+                end = tails.get(tail)
+                if end is None:
+                    end = as_ids(self.library.encode(tail.decode(), add_special_tokens=False).ids)
+                    if len(tails) < CACHE_WORDS:
+                        tails[tail] = end
+                ids += end
+            out[w] = ids
         for at in range(0, len(odd), 4096):
             part = odd[at : at + 4096]
             found = self.library.encode_batch_fast([t for _, t in part], add_special_tokens=False)
-            out.update((w, np.array(f.ids, "<u4").tobytes()) for (w, _), f in zip(part, found, strict=True))
+            out.update((w, as_ids(f.ids)) for (w, _), f in zip(part, found, strict=True))
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
