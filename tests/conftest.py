@@ -11,7 +11,7 @@ sys.path.insert(0, ROOT)
 def spark():
     from factloom.session import session, share_code
 
-    s = session("tests", cores=4, **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+    s = session("tests", cores=4, **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "3g"})
     s.sparkContext.setLogLevel("ERROR")
     yield share_code(s)
     s.stop()
