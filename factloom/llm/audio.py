@@ -10,7 +10,8 @@ broadcast is bounded), and each row is matched against a block through the block
 no shuffle, no pairs but the accepted ones. Equal integers in one task are matched once. Recall against comparing
 every offset of every pair is measured in the tests (0.9 at least).
 
-Null, empty or too short recordings: no integers, no match. Null ids: never a query. Repeated rows: one result each.
+Null, empty or too short recordings: no integers, no match. Null ids: never a query, and left out of the result by
+recording. Repeated rows: pairs for each; by recording, rows of one id share one result.
 """
 
 from __future__ import annotations
@@ -185,13 +186,30 @@ def audio_fingerprints(df: DataFrame, id_col: str, media_col: str, decode: Calla
     return spec.mapInArrow(work, "rec_id long, codes binary")
 
 
+def match_recordings(prints: DataFrame, every: int = 20, min_overlap: int = MIN_OVERLAP, max_error: float = MAX_ERROR, block: int = BLOCK) -> DataFrame:
+    """(rec_id, n_links, best_query, best_offset, best_overlap, best_error): one row per recording, also of those without a match.
+
+    A recording counts all queries that align with it and names the one of least bit error (then of least id). The count
+    is made in the task that matches it, so what leaves a task grows with the recordings, not with the pairs.
+    """
+    found = _search(prints, every, min_overlap, max_error, block, False)
+    least = F.min(F.when(F.col("best_query").isNotNull(), F.struct("best_error", "best_query", "best_offset", "best_overlap")))
+    rows = found.groupBy("rec_id").agg(F.sum("n_links").alias("n_links"), least.alias("b"))
+    return rows.select("rec_id", "n_links", "b.best_query", "b.best_offset", "b.best_overlap", "b.best_error")
+
+
 def find_recordings(prints: DataFrame, every: int = 20, min_overlap: int = MIN_OVERLAP, max_error: float = MAX_ERROR, block: int = BLOCK) -> DataFrame:
     """(query_id, rec_id, offset, overlap, bit_error): rows that align with a query, a row whose id `every` divides, itself excepted."""
+    return _search(prints, every, min_overlap, max_error, block, True)
+
+
+def _search(prints: DataFrame, every: int, min_overlap: int, max_error: float, block: int, pairs: bool) -> DataFrame:
     spark = prints.sparkSession
-    prints = materialize(prints, "prints")
+    prints = materialize(prints if pairs else prints.where("rec_id IS NOT NULL").dropDuplicates(["rec_id"]), "prints")
     asked = prints.where(F.col("rec_id") % every == 0).where(F.length("codes") > 0)
     blocks = max(1, -(-asked.count() // block))
     place = F.pmod(F.xxhash64("rec_id"), F.lit(blocks))
+    names = ["query_id", "rec_id", "offset", "overlap", "bit_error"] if pairs else ["rec_id", "n_links", "best_query", "best_offset", "best_overlap", "best_error"]
     found = None
     for i in range(blocks):
         part = asked.where(place == i).distinct().orderBy("rec_id").toArrow()
@@ -203,18 +221,21 @@ def find_recordings(prints: DataFrame, every: int = 20, min_overlap: int = MIN_O
             for batch in batches:
                 rows = []
                 for rec, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if not codes:
-                        continue
-                    hits = seen.get(codes)
+                    hits = seen.get(codes) if codes else []
                     if hits is None:
                         hits = index.matches(np.frombuffer(codes, "<u4"), min_overlap, max_error)
                         if len(seen) < 10_000:
                             seen[codes] = hits
-                    rows.extend((q, rec, o, n, round(e, 6)) for q, o, n, e in hits if q != rec)
-                cols = list(zip(*rows, strict=True)) or [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["query_id", "rec_id", "offset", "overlap", "bit_error"])
-
-        hits = prints.mapInArrow(work, "query_id long, rec_id long, offset long, overlap long, bit_error double")
+                    hits = [(round(e, 6), q, o, n) for q, o, n, e in hits if q != rec]
+                    if pairs:
+                        rows.extend((q, rec, o, n, e) for e, q, o, n in hits)
+                    else:
+                        e, q, o, n = min(hits, default=(None, None, None, None))
+                        rows.append((rec, len(hits), q, o, n, e))
+                cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+                kinds = [*[pa.int64()] * (len(names) - 1), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+        hits = prints.mapInArrow(work, ", ".join(f"{n} long" for n in names[:-1]) + f", {names[-1]} double")
         found = hits if found is None else found.unionByName(hits)
     return found

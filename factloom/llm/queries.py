@@ -36,9 +36,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fixtures hold no media, so each vector of `embeddings` is heard as a melody (audio.tone_row)."""
+    """The fixtures hold no media, so each vector of `embeddings` is heard as a melody (audio.tone_row).
+
+    One row per recording with its links to the queries, whose ids 20 divides.
+    """
     prints = audio.audio_fingerprints(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", audio.tone_row)
-    return audio.find_recordings(prints)
+    return audio.match_recordings(prints)
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -357,6 +357,8 @@ def test_audio_alignment_and_recall(spark):
     brute = {(q, i) for q in codes if q % 20 == 0 for i in codes if i != q and any(audio.align(codes[q], codes[i], o)[1] <= audio.MAX_ERROR for o in range(-len(codes[i]) + audio.MIN_OVERLAP, len(codes[q]) - audio.MIN_OVERLAP + 1))}
     assert brute and len(got & brute) >= 0.9 * len(brute) and got <= brute
     assert audio.find_recordings(prints.limit(0)).count() == 0
+    by_rec = {x.rec_id: x.n_links for x in audio.match_recordings(prints).collect()}
+    assert by_rec == {i: sum(r == i for _, r in got) for i in [*codes, 1000, 1001]}
 
 
 def test_audio_offset_of_a_cut():
