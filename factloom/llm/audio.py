@@ -11,7 +11,8 @@ no shuffle, no pairs but the accepted ones. Equal integers in one task are match
 every offset of every pair is measured in the tests (0.9 at least).
 
 Null, empty or too short recordings: no integers, no match. Null ids: never a query, and left out of the result by
-recording. Repeated rows: pairs for each; by recording, rows of one id share one result.
+recording. Repeated rows: pairs for each; by recording, rows of one id share one result
+over all their different media, each counted once.
 """
 
 from __future__ import annotations
@@ -205,7 +206,7 @@ def find_recordings(prints: DataFrame, every: int = 20, min_overlap: int = MIN_O
 
 def _search(prints: DataFrame, every: int, min_overlap: int, max_error: float, block: int, pairs: bool) -> DataFrame:
     spark = prints.sparkSession
-    prints = materialize(prints if pairs else prints.where("rec_id IS NOT NULL").dropDuplicates(["rec_id"]), "prints")
+    prints = materialize(prints if pairs else prints.where("rec_id IS NOT NULL").dropDuplicates(["rec_id", "codes"]), "prints")
     asked = prints.where(F.col("rec_id") % every == 0).where(F.length("codes") > 0)
     blocks = max(1, -(-asked.count() // block))
     place = F.pmod(F.xxhash64("rec_id"), F.lit(blocks))

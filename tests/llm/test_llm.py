@@ -361,6 +361,20 @@ def test_audio_alignment_and_recall(spark):
     assert by_rec == {i: sum(r == i for _, r in got) for i in [*codes, 1000, 1001]}
 
 
+def test_audio_query_gives_every_pair(spark, tmp_path):
+    r = np.random.default_rng(4)
+    base = r.normal(size=64)
+    rows = [(i, (base + r.normal(scale=0.01, size=64)).tolist(), 0) for i in (0, 20, 40, 3)] + [(7, r.normal(size=64).tolist(), 0), (7, base.tolist(), 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = Q.op7_audio(spark, str(tmp_path))
+    assert got.columns == ["query_id", "rec_id", "offset", "overlap", "bit_error"]
+    assert {(x.query_id, x.rec_id) for x in got.collect()} == {(q, i) for q in (0, 20, 40) for i in (0, 20, 40, 3, 7) if q != i}
+    # of the two recordings under id 7 one has links, whichever comes first
+    prints = audio.audio_fingerprints(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), "vec_id", "embedding", audio.tone_row)
+    for table in (prints, prints.orderBy("codes"), prints.orderBy(F.desc("codes"))):
+        assert {x.rec_id: x.n_links for x in audio.match_recordings(table.coalesce(1)).collect()} == {0: 2, 20: 2, 40: 2, 3: 3, 7: 3}
+
+
 def test_audio_offset_of_a_cut():
     samples, rate = audio.tone_row(np.random.default_rng(7).normal(size=64))
     whole, part = audio.fingerprint(samples, rate), audio.fingerprint(samples[audio.HOP * 20 :], rate)
