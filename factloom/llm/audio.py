@@ -2,8 +2,9 @@
 
 Samples become pitch-class frames (a windowed Fourier transform folded into twelve classes, smoothed and normalised);
 sixteen box filters over the frames' integral image, each quantised to two bits, pack into one 32-bit integer a
-frame. A recording is a sequence of such integers. Two recordings are aligned by the histogram of offsets at which
-integers agree, and accepted by the share of differing bits over the overlap at the best offset.
+frame. A recording is a sequence of such integers. Two recordings are aligned at every offset at which integers agree,
+and accepted by the share of differing bits over the overlap at the best offset. The overlap is at least `min_overlap`,
+or the whole of the shorter one.
 
 Search: a stated query set against all rows. Queries go out in blocks of at most `BLOCK` recordings (a fixed size, so the
 broadcast is bounded), and each row is matched against a block through the block's sorted integers, in its own task:
@@ -34,6 +35,8 @@ BLOCK = 2048
 MIN_OVERLAP, MAX_ERROR = 48, 0.2
 #: Low bits that may differ when integers are looked up; alignment counts all 32.
 LOOSE = np.uint32(8)
+#: Integers aligned at a time.
+ALIGN = 1 << 20
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -143,10 +146,12 @@ class QueryBlock:
         place = np.concatenate([np.arange(len(p)) for p in self.prints]) if queries else np.zeros(0, np.int64)
         order = np.argsort(codes, kind="stable")
         self.codes, self.owner, self.place = codes[order], owner[order], place[order]
+        self.line = np.concatenate(self.prints) if queries else codes
+        self.sizes = np.array([len(p) for p in self.prints], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
 
     def matches(self, row: np.ndarray, min_overlap: int, max_error: float) -> list[tuple[int, int, int, float]]:
-        """(query, offset, overlap, bit error) of each query that aligns with `row`."""
-        need = min(min_overlap, len(row))
+        """(query, offset, overlap, bit error) of each query that aligns with `row`, at its offset of least error."""
         seen = row >> LOOSE
         lo, hi = np.searchsorted(self.codes, seen), np.searchsorted(self.codes, seen, "right")
         counts = hi - lo
@@ -159,15 +164,23 @@ class QueryBlock:
         key = self.owner[at].astype(np.int64) * span + (self.place[at] - mine) + span // 2
         keys, votes = np.unique(key, return_counts=True)
         owner, offset = keys // span, keys % span - span // 2
-        order = np.lexsort((offset, -votes, owner))
-        first = np.concatenate([[True], owner[order][1:] != owner[order][:-1]])
-        out = []
-        for i in order[first].tolist():
-            q = int(owner[i])
-            overlap, error = align(self.prints[q], row, int(offset[i]))
-            if overlap >= need and error <= max_error:
-                out.append((self.ids[q], int(offset[i]), overlap, error))
-        return out
+        # one vote is enough to try an offset: the low bits may differ in all other places
+        start, end = np.maximum(offset, 0), np.minimum(self.sizes[owner], len(row) + offset)
+        overlap = end - start
+        tried = np.flatnonzero(overlap >= np.minimum(min_overlap, np.minimum(self.sizes[owner], len(row))))
+        errors = np.ones(len(keys))
+        cuts = np.searchsorted(np.cumsum(overlap[tried]), np.arange(ALIGN, int(overlap[tried].sum()) + 1, ALIGN), "right")
+        for some in np.split(tried, np.unique(cuts)):
+            if len(some):
+                n = overlap[some]
+                firsts = np.cumsum(n) - n
+                i = np.arange(int(n.sum())) + np.repeat(start[some] - firsts, n)
+                bits = np.bitwise_count(self.line[i + np.repeat(self.begins[owner[some]], n)] ^ row[i - np.repeat(offset[some], n)])
+                errors[some] = np.add.reduceat(bits, firsts, dtype=np.int64) / (32 * n)
+        good = tried[errors[tried] <= max_error]
+        order = good[np.lexsort((offset[good], -votes[good], errors[good], owner[good]))]
+        best = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])] if len(order) else order
+        return [(self.ids[int(owner[i])], int(offset[i]), int(overlap[i]), float(errors[i])) for i in best]
 
 
 def audio_fingerprints(df: DataFrame, id_col: str, media_col: str, decode: Callable[[object], tuple[np.ndarray, int]] = wav_samples) -> DataFrame:

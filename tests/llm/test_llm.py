@@ -384,6 +384,28 @@ def test_audio_offset_of_a_cut():
         audio.wav_samples(b"no")
 
 
+def test_audio_tries_every_offset():
+    r = np.random.default_rng(8)
+    query, other = (r.integers(0, 1 << 32, 200, dtype=np.uint64).astype(np.uint32) for _ in range(2))
+    row = np.concatenate([query[:60], other[:60]])
+    row[:60] ^= np.uint32(1 << 31)  # one bit of each aligned integer differs where it is looked up, but for four
+    row[:4] ^= np.uint32(1 << 31)
+    row[100:106] = query[50:56]  # most votes, at an offset that fails
+    (found,) = audio.QueryBlock([(1, query[:60])]).matches(row, 48, 0.2)
+    assert found[:3] == (1, 0, 60) and found[3] == 56 / (32 * 60)
+    # a query under the least overlap meets a longer row, as the reverse does
+    for a, b in ((query[10:40], query), (query, query[10:40])):
+        assert [x[2:] for x in audio.QueryBlock([(1, a)]).matches(b, 48, 0.2)] == [(30, 0.0)]
+
+
+def test_audio_recall_on_embeddings(spark, sf_dir):
+    prints = audio.audio_fingerprints(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", audio.tone_row)
+    codes = {x.rec_id: np.frombuffer(x.codes, "<u4") for x in prints.collect()}
+    got = {(x.query_id, x.rec_id) for x in Q.op7_audio(spark, sf_dir).collect()}
+    brute = {(q, i) for q in codes if q % 20 == 0 for i in codes if i != q and any(audio.align(codes[q], codes[i], o)[1] <= audio.MAX_ERROR for o in range(-len(codes[i]) + audio.MIN_OVERLAP, len(codes[q]) - audio.MIN_OVERLAP + 1))}
+    assert got <= brute and len(got) >= 0.9 * len(brute), (len(got), len(brute))
+
+
 # op8
 
 
