@@ -4,6 +4,11 @@ A text is normalised (lower case, punctuation to spaces) as a whole and line by
 bigrams are compared with those of every template whose size lies within the bounds that the threshold allows:
 Dice 2*c/(a+b) >= t with c <= min(a, b) needs b*t/(2-t) <= a <= b*(2-t)/t. One map over whole texts, no shuffle.
 
+Between line and whole text lie windows of words, over line ends too: they start at bigrams of a template where enough
+of its bigrams follow (a window that reaches t holds at least b*t/(2-t) of them) and take lengths from the least to the
+most that the bounds allow. For templates of over 16 bigrams lengths go in steps of 1/16 of the template, above 32
+starts in steps of 1/32 of it after the first. The SQL has no windows: its Dice is a lower bound.
+
 Null, empty or wordless text: no licence (null), dice 0. Ties: the smaller template name. Repeated rows: one result each.
 """
 
@@ -11,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,27 +63,96 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """(name, text) of the whole licences in `license_texts`, for windows only."""
+    return ()
+
+
+def full_templates(threshold: float = THRESHOLD) -> list[tuple[str, int, int, list[str]]]:
+    """`templates` of the full texts."""
+    return _sized(full_texts(), threshold)
+
+
 def templates(threshold: float = THRESHOLD) -> list[tuple[str, int, int, list[str]]]:
     """(name, least size, most size, bigrams) of each template."""
+    return _sized(NOTICES + TEXTS, threshold)
+
+
+def _sized(texts: tuple[tuple[str, str], ...], threshold: float) -> list[tuple[str, int, int, list[str]]]:
     out = []
-    for name, text in NOTICES + TEXTS:
+    for name, text in texts:
         grams = bigrams(text)
         n = len(grams)
         out.append((name, math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9), grams))
     return out
 
 
+def windows(known: list[tuple[str, int, int, list[str]]], texts: tuple[tuple[str, str], ...]) -> list[tuple[str, int, int, int, list[int], list[str]]]:
+    """(name, least shared bigrams, most words apart, step of starts, window lengths, bigrams) of each template."""
+    out = []
+    for (name, lo, hi, grams), (_, text) in zip(known, texts, strict=True):
+        n, long = len(grams), max(len(re.sub(r"[^\w]+|_", " ", text.lower()).split()) - 1, 1)
+        most = max(hi, hi * long // n)
+        out.append((name, lo, most, max(1, n // 32), sorted({*range(lo, most + 1, max(1, n // 16)), long, most}), grams))
+    return out
+
+
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _better(m: Column, s: Column) -> Column:
+    """The greater Dice, then the smaller name."""
+    return F.when((s["dice"] > m["dice"]) | ((s["dice"] == m["dice"]) & (s["name"] < m["name"])), s).otherwise(m)
+
+
+def _window_hit(text: Column, threshold: float) -> Column:
+    """Best (dice, name) of the windows of a text; 0 and null if none reaches the threshold."""
+    none = F.struct(F.lit(0.0).alias("dice"), F.lit(None).cast("string").alias("name"))
+    # one literal a template: its bigrams are cut apart when the plan is folded
+    known = windows(templates(threshold) + full_templates(threshold), NOTICES + TEXTS + full_texts())
+    table = F.array(*[
+        F.struct(F.lit(name).alias("name"), F.lit(need).alias("need"), F.lit(most).alias("most"), F.lit(step).alias("step"), F.split(F.lit(",".join(map(str, lens))), ",").cast("array<int>").alias("lens"), F.split(F.lit("|".join(grams)), r"\|").alias("grams"))
+        for name, need, most, step, lens, grams in known
+    ])
+    vocabulary = sorted({g for *_, grams in known for g in grams})
+
+    def of_template(t: Column, pairs: Column, hits: Column) -> Column:
+        own = F.filter(hits, lambda h: F.array_contains(t["grams"], h["b"]))
+
+        def score(s: Column, n: Column) -> Column:
+            return _bind(F.array_distinct(F.slice(pairs, s["i"] + 1, n)), lambda w: F.struct((F.lit(2.0) * F.size(F.array_intersect(w, t["grams"])) / (F.size(w) + F.size(t["grams"]))).alias("dice"), t["name"].alias("name")))
+
+        def scored(own: Column) -> Column:
+            dense = F.filter(own, lambda h, k: F.get(own, k + t["need"] - 1)["i"] - h["i"] < t["most"])
+            starts = F.filter(dense, lambda h, k: k % t["step"] == 0)
+            return F.flatten(F.transform(starts, lambda s: F.transform(t["lens"], lambda n: score(s, n))))
+
+        return _bind(own, scored)
+
+    def of_pairs(pairs: Column) -> Column:
+        hits = F.filter(F.transform(pairs, lambda b, i: F.struct(i.alias("i"), b.alias("b"))), lambda h: h["b"].isin(vocabulary))
+        return _bind(hits, lambda hits: F.flatten(F.transform(F.filter(table, lambda t: F.size(hits) >= t["need"]), lambda t: of_template(t, pairs, hits))))
+
+    found = _bind(_words(text), lambda words: _bind(_pairs(words), of_pairs))
+    return F.aggregate(F.filter(found, lambda s: s["dice"] >= threshold), none, _better)
+
+
 def _words(unit: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(unit), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
+def _pairs(words: Column) -> Column:
+    return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def _bigrams(words: Column) -> Column:
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(pairs)
+    return F.array_distinct(_pairs(words))
 
 
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, license, dice, n_lines) per row: best template of any unit, its Dice, and how many lines match some template."""
+    """(doc_id, license, dice, n_lines) per row: best template of any unit or window, its Dice, and how many lines match some template."""
     known = templates(threshold)
     table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.array(*map(F.lit, g)).alias("grams")) for n, lo, hi, g in known])
     least = min(lo for _, lo, _, _ in known)
@@ -105,8 +180,9 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
             (m["lines"] + u["line"]).alias("lines"),
         ),
     )
-    rows = docs.select(F.col(id_col).alias("doc_id"), top.alias("top"))
-    return rows.select("doc_id", F.col("top.name").alias("license"), F.round("top.dice", 6).alias("dice"), F.col("top.lines").cast("long").alias("n_lines"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), top.alias("top"), _window_hit(text, threshold).alias("window"))
+    rows = rows.withColumn("hit", _better(F.struct("top.dice", "top.name"), F.col("window")))
+    return rows.select("doc_id", F.col("hit.name").alias("license"), F.round("hit.dice", 6).alias("dice"), F.col("top.lines").cast("long").alias("n_lines"))
 
 
 def oracle(threshold: float = THRESHOLD) -> str:

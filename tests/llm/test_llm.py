@@ -417,6 +417,21 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_between_line_and_whole_text(spark):
+    def wrapped(text, n=9):
+        w = text.split()
+        return "\n".join(" * " + " ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+    texts = dict(licenses.TEXTS)
+    rows = [(i, prose(400, i) + "\n\n" + wrapped(texts[name]) + "\n" + prose(500, 50 + i), name, 1.0) for i, name in enumerate(("MIT", "ISC", "Apache-2.0", "Zlib", "GPL-3.0"))]
+    rows += [(10, prose(90, 70) + " Licensed under the MIT License. Contact " + prose(60, 71), "MIT", 1.0), (11, prose(900, 72), None, 0.0)]
+    inserted = texts["MIT"].split()
+    rows.append((12, prose(300, 73) + " " + " ".join(inserted[:80] + ["but", "not"] * 12 + inserted[80:]) + " " + prose(300, 74), "MIT", None))
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    for i, _, name, dice in rows:
+        assert got[i].license == name and (got[i].dice >= 0.8 if dice is None else got[i].dice == dice), i
+
+
 @pytest.mark.parametrize("name", ["op8_licenses", "op9_mix"])
 def test_sql(spark, sf_dir, name):
     import sys
