@@ -7,7 +7,8 @@ Dice 2*c/(a+b) >= t with c <= min(a, b) needs b*t/(2-t) <= a <= b*(2-t)/t. One m
 Between line and whole text lie windows of words, over line ends too: they start at bigrams of a template where enough
 of its bigrams follow (a window that reaches t holds at least b*t/(2-t) of them) and take lengths from the least to the
 most that the bounds allow. For templates of over 16 bigrams lengths go in steps of 1/16 of the template, above 32
-starts in steps of 1/32 of it after the first. The SQL has no windows: its Dice is a lower bound.
+starts in steps of 1/32 of it after the first; from 256 on both in steps of 1/8. "All rights reserved" counts in a window
+only where no licence is found. The SQL has no windows: its Dice is a lower bound.
 
 Null, empty or wordless text: no licence (null), dice 0. Ties: the smaller template name. Repeated rows: one result each.
 """
@@ -15,6 +16,7 @@ Null, empty or wordless text: no licence (null), dice 0. Ties: the smaller templ
 from __future__ import annotations
 
 import math
+import pkgutil
 import re
 from collections.abc import Callable
 
@@ -56,6 +58,11 @@ TEXTS = (
     ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
 )
 
+#: Whole licences, files of `license_texts`.
+WHOLE = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense")
+#: Headers that differ from GPL-3.0's in the licence's name or version.
+HEADERS = (("GPL-2.0", "", "2"), ("LGPL-2.1", "Lesser", "2.1"), ("LGPL-3.0", "Lesser", "3"), ("AGPL-3.0", "Affero", "3"))
+
 
 def bigrams(text: str) -> list[str]:
     """Distinct word bigrams of a template, sorted."""
@@ -64,8 +71,13 @@ def bigrams(text: str) -> list[str]:
 
 
 def full_texts() -> tuple[tuple[str, str], ...]:
-    """(name, text) of the whole licences in `license_texts`, for windows only."""
-    return ()
+    """(name, text) of the whole licences in `license_texts` and of more GNU headers, for windows only."""
+    whole = [(name, (pkgutil.get_data("factloom.llm", f"license_texts/{name}.txt") or b"").decode()) for name in WHOLE]
+    header = next(t for n, t in TEXTS if n == "GPL-3.0")
+    for name, kind, version in HEADERS:
+        text = header.replace("General", f"{kind} General").replace("version 3", f"version {version}")
+        whole += [(name, text), (name, text.replace("This program", "This library"))][: 2 if kind == "Lesser" else 1]
+    return tuple(whole)
 
 
 def full_templates(threshold: float = THRESHOLD) -> list[tuple[str, int, int, list[str]]]:
@@ -93,7 +105,7 @@ def windows(known: list[tuple[str, int, int, list[str]]], texts: tuple[tuple[str
     for (name, lo, hi, grams), (_, text) in zip(known, texts, strict=True):
         n, long = len(grams), max(len(re.sub(r"[^\w]+|_", " ", text.lower()).split()) - 1, 1)
         most = max(hi, hi * long // n)
-        out.append((name, lo, most, max(1, n // 32), sorted({*range(lo, most + 1, max(1, n // 16)), long, most}), grams))
+        out.append((name, lo, most, max(1, n // (32 if n < 256 else 8)), sorted({*range(lo, most + 1, max(1, n // (16 if n < 256 else 8))), long, most}), grams))
     return out
 
 
@@ -136,7 +148,13 @@ def _window_hit(text: Column, threshold: float) -> Column:
         return _bind(hits, lambda hits: F.flatten(F.transform(F.filter(table, lambda t: F.size(hits) >= t["need"]), lambda t: of_template(t, pairs, hits))))
 
     found = _bind(_words(text), lambda words: _bind(_pairs(words), of_pairs))
-    return F.aggregate(F.filter(found, lambda s: s["dice"] >= threshold), none, _better)
+    good = F.filter(found, lambda s: s["dice"] >= threshold)
+
+    def best(good: Column) -> Column:
+        licence = F.aggregate(F.filter(good, lambda s: s["name"] != "all-rights-reserved"), none, _better)
+        return _bind(licence, lambda x: F.when(x["dice"] > 0, x).otherwise(F.aggregate(good, none, _better)))
+
+    return _bind(good, best)
 
 
 def _words(unit: Column) -> Column:
