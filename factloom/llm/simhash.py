@@ -28,6 +28,9 @@ from factloom.llm.components import connected_components
 
 BITS, SEED = 64, 42
 MAX_BUCKET = 1 << 20
+#: Near copies of the pipeline stage: least 5-word Jaccard, bands and minima to a band (a pair at 0.8 shares none of 20 bands in 3 of 100 000).
+SIMILAR, BANDS, BAND = 0.8, 20, 4
+_MINS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
@@ -163,15 +166,80 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(named.select("fp", "label").join(names, "label").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """`docs` with one row of each component: the row whose id names it. Repeated rows of that id count as copies.
+def _bands(text: bytes) -> list[int]:
+    """Keys of `BANDS` bands of `BAND` minima each over the 5-word shingles; none under five words."""
+    grams = shingles(text)
+    if not grams:
+        return []
+    hashes = np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams))
+    low = np.full(len(_MINS), ~np.uint64(0))
+    for at in range(0, len(hashes), 4096):
+        x = hashes[at : at + 4096, None] * _MINS
+        low = np.minimum(low, (x ^ x >> np.uint64(29)).min(axis=0))
+    return [xxh64_intdigest(row.tobytes(), SEED) - (1 << 63) for row in low.reshape(BANDS, BAND)]
+
+
+def shingles(text: bytes, width: int = 5) -> set[bytes]:
+    words = text.lower().split()
+    return {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
+
+
+def _features(base: DataFrame) -> DataFrame:
+    """(digest, fp, bands) of (digest, text)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in as_bytes(batch.column(1))]
+            fps = np.array([fingerprint(t) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array(map(_bands, texts), pa.list_(pa.int64()))], ["digest", "fp", "bands"])
+
+    return base.select("digest", "text").mapInArrow(work, "digest long, fp long, bands array<long>")
+
 
-    Rows with a null id can't be named: one row of each null-named component stays when the component holds no other id,
-    and all other null-id rows go with their component.
+def _alike(pairs: DataFrame) -> DataFrame:
+    """(a, b) of the rows (a, b, one, two) whose texts share at least `SIMILAR` of their 5-word shingles."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for one, two in zip(as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
+                x, y = shingles(one or b""), shingles(two or b"")
+                keep.append(len(x & y) >= SIMILAR * len(x | y))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    return pairs.select("a", "b", "one", "two").mapInArrow(work, "a long, b long")
+
+
+def _labels(base: DataFrame, distance: int) -> DataFrame:
+    """(digest, fp, label) of each text of `base` (digest, text): texts of one component share the label.
+
+    Links are fingerprints within `distance` bits and, between the components of these, texts of 5-word Jaccard at least
+    `SIMILAR`. Texts that share a band of minima meet; each is compared with the least of its bucket, in `BANDS` bands.
     """
-    found = simhash_components(docs.select("doc_id", "text"), distance=distance)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"])).select(*[docs[c] for c in docs.columns], stays["copies"])
-    alone = kept.where("copies = 1").select(*docs.columns)
-    again = kept.where("copies > 1").select(*docs.columns).dropDuplicates(["doc_id"])
+    found = materialize(_features(base).dropDuplicates(["digest"]), "features")
+    fps = found.select("fp").distinct()
+    members = connected_components(close_links(fps, distance)).withColumnRenamed("node", "fp")
+    known = materialize(found.join(members, "fp", "left").select("digest", "fp", F.coalesce("component", "fp").alias("label"), "bands"), "labels")
+    banded = known.select("digest", "label", F.posexplode("bands").alias("band", "key"))
+    heads = banded.groupBy("band", "key").agg(F.min(F.struct("label", "digest")).alias("head"), F.max("label").alias("top")).where("head.label <> top").select("band", "key", F.col("head.label").alias("a"), F.col("head.digest").alias("x"))
+    met = banded.join(heads, ["band", "key"]).where("label <> a").select("a", F.col("label").alias("b"), "x", F.col("digest").alias("y")).distinct()
+    met = materialize(met, "met")
+    needed = met.select(F.col("x").alias("digest")).union(met.select("y")).distinct()
+    texts = materialize(base.select("digest", "text").join(needed, "digest", "left_semi").dropDuplicates(["digest"]), "texts")
+    pairs = met.join(texts.select(F.col("digest").alias("y"), F.col("text").alias("two")), "y").join(texts.select(F.col("digest").alias("x"), F.col("text").alias("one")), "x")
+    more = connected_components(materialize(_alike(pairs).distinct(), "alike")).withColumnsRenamed({"node": "label", "component": "whole"})
+    return materialize(known.join(more, "label", "left").select("digest", "fp", F.coalesce("whole", "label").alias("label")), "joined")
+
+
+def drop_near_copies(docs: DataFrame, distance: int = 4) -> DataFrame:
+    """`docs` with exactly one row of each component (`_labels`): the one of least (doc_id, fingerprint, text digest), null ids last."""
+    base = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
+    labels = _labels(base, distance)
+    rows = base.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies")).join(labels, "digest")
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", "digest", "copies")).alias("first"))
+    stays = first.select("label", F.col("first.doc_id").alias("doc_id"), F.col("first.digest").alias("digest"), F.col("first.copies").alias("copies"))
+    same = F.xxhash64(docs["text"].cast("string")).eqNullSafe(stays["digest"]) & docs["doc_id"].eqNullSafe(stays["doc_id"])
+    kept = docs.join(stays, same).select(*[docs[c] for c in docs.columns], stays["copies"].alias("_copies"), stays["label"].alias("_label"))
+    alone = kept.where("_copies = 1").select(*docs.columns)
+    again = kept.where("_copies > 1").dropDuplicates(["_label"]).select(*docs.columns)
     return alone.unionByName(again)

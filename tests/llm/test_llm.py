@@ -128,6 +128,33 @@ def test_simhash(spark, odd, empty):
     assert kept.columns == table.columns and kept.where("doc_id = 10").count() == 1 and kept.where("doc_id >= 100").count() == 0
 
 
+def test_near_copies_keep_one_row_of_each_component(spark):
+    texts = [prose(60, 200 + i) for i in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (5, texts[2]), (7, texts[3]), (7, texts[4]), (None, None), (9, texts[5]), (9, texts[5])]
+    got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").withColumn("label", F.lit("x")))
+    assert Counter(tuple(r)[:2] for r in got.collect()) == Counter([(None, texts[0]), (None, texts[1]), (5, texts[2]), (7, texts[3]), (7, texts[4]), (None, None), (9, texts[5])])
+
+
+def test_near_copies_by_five_words(spark):
+    def jaccard(a, b):
+        x, y = simhash.shingles(a.encode()), simhash.shingles(b.encode())
+        return len(x & y) / len(x | y)
+
+    rows, far = [], 0
+    for i in range(40):
+        words = prose(150, 300 + i).split()
+        other = words[:]
+        for k in range(1 + i % 3):
+            other[20 + 40 * k] = "changed"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        assert jaccard(rows[-2][1], rows[-1][1]) >= 0.8
+        far += (simhash.fingerprint(rows[-2][1].encode()) ^ simhash.fingerprint(rows[-1][1].encode())).bit_count() > 4
+    rows.append((999, " ".join(prose(150, 300).split()[:90] + prose(60, 700).split())))
+    assert far > 5 and jaccard(rows[0][1], rows[-1][1]) < 0.8
+    got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == {*range(0, 80, 2), 999}
+
+
 def test_large_buckets_link_by_midpoints(spark):
     r = random.Random(2)
     base = [r.getrandbits(64) for _ in range(3)]
@@ -432,6 +459,14 @@ def test_licenses_between_line_and_whole_text(spark):
         assert got[i].license == name and (got[i].dice >= 0.8 if dice is None else got[i].dice == dice), i
 
 
+def test_whole_licences(spark):
+    known = [x for x in licenses.full_texts() if len(x[1]) < 16_000]
+    rows = [(i, f"Copyright (c) 2021 A. Person\n\n{t}\n" + prose(60, i)) for i, (_, t) in enumerate(known)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i].license for i in got} == {i: name for i, (name, _) in enumerate(known)}
+    assert {"BSD-3-Clause", "Apache-2.0", "Unlicense", "AGPL-3.0"} <= {r.license for r in got.values()} and all(r.dice >= 0.97 for r in got.values())
+
+
 @pytest.mark.parametrize("name", ["op8_licenses", "op9_mix"])
 def test_sql(spark, sf_dir, name):
     import sys
