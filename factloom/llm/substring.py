@@ -8,7 +8,8 @@ merge-joined bucket by bucket with every run; anchors met in two documents are h
 is added and, above `fan_in` runs, all runs are merged into one.
 
 Hits are verified: only documents with hits are read again, every window of a hit anchor is digested (anchor and an
-independent 64-bit hash of the 13 words: 128 bits in all), and the smallest document of each digest decides.
+independent 64-bit hash of the 13 words: 128 bits in all), and the smallest document of each digest decides. An index
+that outlives the call keeps the windows of its documents, which decide with them.
 
 Hot passages: a task sends each anchor and each digest once, with its smallest document; the other documents of
 that task are decided in the task itself. So a passage in a third of all documents costs one entry a task.
@@ -37,7 +38,7 @@ from factloom.llm.common import as_bytes, drop_path, new_path, partitions
 WINDOW, GRAM = 13, 7
 CHUNK_WORDS = 8_000_000
 ROW = "part int, kind int, doc_id long, a binary, b binary, c binary, d binary"
-ENTRY, LOCAL, RUN, HIT = range(4)
+ENTRY, LOCAL, RUN, HIT, SEEN = range(5)
 
 _ODD = np.random.Generator(np.random.PCG64(20240501)).integers(0, 2**63, 2 * WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPAN = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -131,17 +132,27 @@ def _by_home(out: _Rows, kind: int, docs: np.ndarray, keys: np.ndarray, parts: i
     out.split(kind, home[order], [(docs[order], True), (keys[order], False)])
 
 
-def _entries(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
-    """Rows of ROW: for each task and bucket its sorted distinct anchors (ENTRY), and hits decided in the task (LOCAL)."""
+def _first_windows(low: np.ndarray, win: np.ndarray, me: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows (anchor, hash) with the smallest document of each, in order."""
+    order = np.lexsort((me, win, low))
+    low, win, me = low[order], win[order], me[order]
+    one = np.ones(len(low), bool)
+    one[1:] = (low[1:] != low[:-1]) | (win[1:] != win[:-1])
+    return low[one], win[one], me[one]
+
+
+def _entries(docs: DataFrame, buckets: int, parts: int, keep: bool = False) -> DataFrame:
+    """Rows of ROW: for each task and bucket its sorted distinct anchors (ENTRY), and hits decided in the task (LOCAL); with `keep` also its distinct windows (SEEN)."""
     spec = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         ids: list[np.ndarray] = []
+        seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal keys, ids, held
+            nonlocal keys, ids, seen, held
             out = _Rows()
             if keys:
                 key, doc = np.concatenate(keys), np.concatenate(ids)
@@ -158,7 +169,10 @@ def _entries(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
                 _by_home(out, LOCAL, doc[many], key[many], parts)
                 key, doc, flag = key[first], doc[first], many[first].astype(np.uint32)
                 out.split(ENTRY, _bucket(key, buckets), [(key, True), (doc, False), (flag, False)])
-            keys, ids, held = [], [], 0
+            if seen:
+                low, win, me = _first_windows(*(np.concatenate(x) for x in zip(*seen, strict=True)))
+                out.split(SEEN, _bucket(low, buckets), [(low, True), (win, False), (me, False)])
+            keys, ids, seen, held = [], [], [], 0
             return out.take()
 
         for batch in batches:
@@ -166,11 +180,15 @@ def _entries(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
                 words = (raw or b"").split()
                 if len(words) < WINDOW:
                     continue
-                low = np.unique(anchors(word_hashes(words)))
+                hashes = word_hashes(words)
+                every = anchors(hashes)
+                low = np.unique(every)
+                if keep:
+                    seen.append((every, window_hashes(hashes), np.full(len(every), doc, np.int64)))
                 keys.append(low)
                 ids.append(np.full(len(low), doc, np.int64))
                 held += len(words)
-                if held > CHUNK_WORDS:
+                if held > (CHUNK_WORDS // 4 if keep else CHUNK_WORDS):
                     yield flush()
         yield flush()
 
@@ -224,21 +242,55 @@ def _compact(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([out.take()])
 
 
+def _compact_seen(table: pa.Table) -> pa.Table:
+    out = _Rows()
+    columns = (np.concatenate([unpack(x, t, up) for x in table.column(c).to_pylist()]) for c, t, up in (("a", "u8", True), ("b", "u8", False), ("c", "i8", False)))
+    low, win, me = _first_windows(*columns)
+    out.add(table.column("part")[0].as_py(), SEEN, None, pack(low, True), pack(win), pack(me))
+    return pa.Table.from_batches([out.take()])
+
+
 class FingerprintIndex:
-    """Runs of anchors under `path` (in the shared folder unless given); batches must come in ascending id order."""
+    """Runs of anchors under `path` (in the shared folder unless given); batches must come in ascending id order.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, fan_in: int = 4) -> None:
+    With `keep` each run has its documents' windows beside it (anchor, hash, smallest document: up to 24 bytes a word
+    before compression), so that later calls verify hits against documents they don't hold. Runs under `path` are opened again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, fan_in: int = 4, keep: bool = True) -> None:
         self.spark, self.path, self.fan_in = spark, path or new_path(spark, "index"), fan_in
         # several homes to a task: their sizes even out, and a task holds one home at a time
         self.parts = max(32, 4 * partitions(spark))
-        self.buckets = buckets or max(32, partitions(spark))
+        self.keep = keep
+        stored = [int(n.rsplit("-", 1)[1]) for n in self._list("") if n.startswith("buckets-")]
+        if stored and buckets not in (None, stored[0]):
+            raise ValueError(f"the index at {self.path} has {stored[0]} buckets")
+        self.buckets = stored[0] if stored else buckets or max(32, partitions(spark))
         self.runs: list[str] = []
+        self.seen: list[str] = []
+        if path and not stored:
+            self._fs("")[0].mkdirs(self._fs(f"buckets-{self.buckets}")[1])
+        for name in sorted(self._list("")):
+            # a batch counts once its hits are out, a merged run once all of it is written
+            if name.startswith("batch-") and "_SUCCESS" in self._list(f"{name}/out"):
+                self.runs += [f"{self.path}/{name}/out/kind={RUN}"] if f"kind={RUN}" in self._list(f"{name}/out") else []
+                self.seen += [f"{self.path}/{name}/map/kind={SEEN}"] if f"kind={SEEN}" in self._list(f"{name}/map") else []
+            elif name.startswith(("merged-", "seen-")) and "_SUCCESS" in self._list(name):
+                (self.runs if name.startswith("merged-") else self.seen).append(f"{self.path}/{name}")
+
+    def _fs(self, below: str) -> tuple:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{below}".rstrip("/"))
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
+    def _list(self, below: str) -> list[str]:
+        fs, where = self._fs(below)
+        return [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Hits of one batch against the index and itself, as rows of ROW by the documents' home; the batch's run is added."""
         if len(self.runs) >= self.fan_in:
             self.compact()
-        rows = _entries(docs, self.buckets, self.parts)
+        rows = _entries(docs, self.buckets, self.parts, self.keep)
         at = f"{self.path}/batch-{len(self.runs)}-{new_path(self.spark, 'b').rsplit('-', 1)[1]}"
         rows.write.partitionBy("kind").parquet(f"{at}/map")
         mapped = self.spark.read.schema(ROW).parquet(f"{at}/map")
@@ -248,10 +300,16 @@ class FingerprintIndex:
         entries.repartition(self.buckets, "part").groupBy("part").applyInArrow(_merge(self.parts), ROW).write.partitionBy("kind").parquet(f"{at}/out")
         self.runs.append(f"{at}/out/kind={RUN}")
         self._settle(f"{at}/out/kind={RUN}")
+        if f"kind={SEEN}" in self._list(f"{at.rsplit('/', 1)[1]}/map"):
+            self.seen.append(f"{at}/map/kind={SEEN}")
         drop_path(self.spark, f"{at}/map/kind={ENTRY}")
         out = self.spark.read.schema(ROW).parquet(f"{at}/out").where(F.col("kind") == HIT)
         return out.unionByName(self.spark.read.schema(ROW).parquet(f"{at}/map").where(F.col("kind") == LOCAL))
 
+    def windows(self) -> DataFrame | None:
+        """Windows of all documents so far, as rows of ROW (SEEN) by bucket."""
+        return self.spark.read.schema(ROW).parquet(*self.seen).withColumn("kind", F.lit(SEEN)) if self.seen else None
+
     def _run(self, path: str) -> DataFrame:
         return self.spark.read.schema(ROW).parquet(path).withColumn("kind", F.lit(RUN))
 
@@ -270,7 +328,12 @@ class FingerprintIndex:
             rows = rows.unionByName(self._run(run))
         rows.repartition(self.buckets, "part").groupBy("part").applyInArrow(_compact, ROW).write.parquet(at)
         self.runs = [at]
-        for run in old:
+        windows, past = self.windows(), self.seen
+        if windows is not None:
+            at = f"{self.path}/seen-{new_path(self.spark, 's').rsplit('-', 1)[1]}"
+            windows.repartition(self.buckets, "part").groupBy("part").applyInArrow(_compact_seen, ROW).write.parquet(at)
+            self.seen = [at]
+        for run in [*old, *(past if windows is not None else [])]:
             drop_path(self.spark, run)
 
 
@@ -354,12 +417,19 @@ def _decide(parts: int):
 
     def work(table: pa.Table) -> pa.Table:
         out = _Rows()
-        low, win, me, spot = (np.concatenate([unpack(x, t, up) for x in table.column(c).to_pylist()]) for c, t, up in (("a", "u8", True), ("b", "u8", False), ("c", "i8", False), ("d", "u8", False)))
+        kinds = table.column("kind").to_pylist()
+        if ENTRY not in kinds:
+            return pa.Table.from_batches([out.take()])
+        low, win, me = (np.concatenate([unpack(x, t, up) for x in table.column(c).to_pylist()]) for c, t, up in (("a", "u8", True), ("b", "u8", False), ("c", "i8", False)))
+        # windows of the index (SEEN) have no place in a text of this call
+        sizes = [len(unpack(a, "u8", True)) if kind == SEEN else 0 for kind, a in zip(kinds, table.column("a").to_pylist(), strict=True)]
+        spot = np.concatenate([np.zeros(n, np.uint64) if kind == SEEN else unpack(d, "u8") for kind, n, d in zip(kinds, sizes, table.column("d").to_pylist(), strict=True)])
+        here = np.concatenate([np.zeros(n, bool) if kind == SEEN else np.ones(len(unpack(d, "u8")), bool) for kind, n, d in zip(kinds, sizes, table.column("d").to_pylist(), strict=True)])
         order = np.lexsort((me, win, low))
-        low, win, me, spot = low[order], win[order], me[order], spot[order]
+        low, win, me, spot, here = low[order], win[order], me[order], spot[order], here[order]
         starts = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (win[1:] != win[:-1])]))
         least = np.repeat(me[starts], np.diff(np.concatenate([starts, [len(low)]])))
-        later = me > least
+        later = here & (me > least)
         _settled(out, LOCAL, me[later], (spot[later] >> np.uint64(32)).astype(np.uint32), spot[later].astype(np.uint32), parts)
         return pa.Table.from_batches([out.take()])
 
@@ -430,10 +500,11 @@ def in_batches(docs: DataFrame, batches: int) -> list[DataFrame]:
 def remove_repeats(docs: DataFrame, batches: int = 2, with_text: bool = False, carry: tuple[str, ...] = (), index: FingerprintIndex | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256 or kept_text, x0..) per row of `docs`; x are the `carry` columns.
 
-    Documents go into the index in `batches` ascending id ranges; the verification then runs once over all hits.
+    Documents go into the index in `batches` ascending id ranges; the verification then runs once over all hits. What
+    `index` holds from earlier calls cuts these documents too; take the rows before the index is added to again.
     """
     spark = docs.sparkSession
-    index = index or FingerprintIndex(spark)
+    index = index or FingerprintIndex(spark, keep=False)
     parts, buckets = index.parts, index.buckets
     hits = None
     for batch in in_batches(docs, batches):
@@ -443,7 +514,9 @@ def remove_repeats(docs: DataFrame, batches: int = 2, with_text: bool = False, c
     packed = _packed(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), parts, [])
     packed.unionByName(hits).repartition(partitions(spark), "part").groupBy("part").applyInArrow(_hit_windows(parts, buckets), ROW).write.partitionBy("kind").parquet(at)
     windows = spark.read.schema(ROW).parquet(at)
-    decided = windows.where(F.col("kind") == ENTRY).repartition(buckets, "part").groupBy("part").applyInArrow(_decide(parts), ROW)
+    open_, past = windows.where(F.col("kind") == ENTRY), index.windows()
+    open_ = open_ if past is None else open_.unionByName(past)
+    decided = open_.repartition(buckets, "part").groupBy("part").applyInArrow(_decide(parts), ROW)
     settled = windows.where(F.col("kind") == LOCAL).unionByName(decided)
     whole = _packed(docs, parts, list(carry))
     extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in whole.schema.fields if f.name.startswith("x"))

@@ -210,6 +210,20 @@ def test_index_compacts_and_still_finds(spark):
     assert len(index.runs) <= 2
 
 
+def test_second_call_is_cut_by_the_first(spark, tmp_path):
+    other = prose(40, 90)
+    rows = [(i, prose(30, 30 + i) + " " + (PASSAGE if i % 3 == 0 else other if i in (4, 10) else prose(20, 60 + i))) for i in range(12)]
+    whole = brute_repeats(rows)
+    got = []
+    for lo, hi in ((0, 3), (3, 5), (5, 8), (8, 12)):
+        index = substring.FingerprintIndex(spark, f"file://{tmp_path}/index", fan_in=2)
+        assert bool(index.runs) == (lo > 0)
+        got += substring.remove_repeats(spark.createDataFrame(rows[lo:hi], "doc_id long, text string"), 1, index=index).collect()
+    assert Counter(tuple(r) for r in got) == whole and sum(r.n_removed for r in got) > 200
+    with pytest.raises(ValueError):
+        substring.FingerprintIndex(spark, f"file://{tmp_path}/index", buckets=index.buckets + 1)
+
+
 def test_cut_documents(spark, plain):
     got = {r.doc_id: r for r in substring.cut_documents(plain).where("doc_id IS NOT NULL").collect()}
     assert 2 not in got and 13 not in got and got[1].text == ODD[0][1] and got[8].text == LONG
@@ -259,6 +273,16 @@ def test_mixing(spark, odd, empty):
     assert out.columns == table.columns and out.count() == sum(r.repeats for r in mixing.mix_sources(table).collect())
 
 
+def test_mixed_documents_with_clashing_columns(spark):
+    rows = [(i, prose(20 + i % 50, i), "en", f"s{i % 4}", 1) for i in range(60)] + [(1, prose(n, 800 + k), "en", "s1", 1) for k, n in enumerate((30, 30, 30, 45, 45, 45))]
+    table = spark.createDataFrame(rows, SCHEMA)
+    for docs in (table, table.withColumn("size", F.lit("x"))):
+        out = mixing.mixed_documents(docs)
+        assert out.columns == docs.columns
+        plan = mixing.mix_sources(table).groupBy("doc_id", "size").agg(F.sum("repeats").alias("n")).where("n > 0").collect()
+        assert Counter((r.doc_id, len(split(r.text))) for r in out.collect()) == Counter({(r.doc_id, r["size"]): r.n for r in plan})
+
+
 # tokens: op3, op4, op6
 
 TEXTS = [r[1] or "" for r in ODD] + ["don't o' rock'n'roll 12345 8,900.5 İstanbul ǅ ﬁ", "ΑΣ ΣΑΣ. x́. Straße ÿ' µª×÷", "a b　c d", "x" * 300]
