@@ -88,12 +88,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     by their rank, so each keeps a count of its own.
     """
     plan = mix_sources(docs).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows"), F.sum("repeats").alias("repeats"))
-    keyed = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")) if "size" not in docs.columns else docs
     names = docs.columns
-    same = keyed["doc_id"].eqNullSafe(plan["doc_id"]) & keyed["source"].eqNullSafe(plan["source"]) & (keyed["size"] == plan["size"])
-    met = keyed.join(plan, same).select(*[keyed[c] for c in names], plan["rows"].alias("_rows"), plan["repeats"].alias("_repeats"))
+    keyed = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    same = keyed["doc_id"].eqNullSafe(plan["doc_id"]) & keyed["source"].eqNullSafe(plan["source"]) & (keyed["_size"] == plan["size"])
+    met = keyed.join(plan, same).select(*[keyed[c] for c in names], keyed["_size"], plan["rows"].alias("_rows"), plan["repeats"].alias("_repeats"))
     one = met.where("_rows = 1").withColumn("_n", F.col("_repeats"))
-    rank = F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("text"))
+    rank = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text"))
     many = met.where("_rows > 1").withColumn("_n", F.floor(F.col("_repeats") / F.col("_rows")) + F.when(rank <= F.col("_repeats") % F.col("_rows"), 1).otherwise(0))
     both = one.unionByName(many).where("_n > 0")
     return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*names)
