@@ -124,11 +124,11 @@ def _window_hit(text: Column, threshold: float) -> Column:
     none = F.struct(F.lit(0.0).alias("dice"), F.lit(None).cast("string").alias("name"))
     # one literal a template: its bigrams are cut apart when the plan is folded
     known = windows(templates(threshold) + full_templates(threshold), NOTICES + TEXTS + full_texts())
-    table = F.array(*[
+    tables = [F.array(*[
         F.struct(F.lit(name).alias("name"), F.lit(need).alias("need"), F.lit(most).alias("most"), F.lit(step).alias("step"), F.split(F.lit(",".join(map(str, lens))), ",").cast("array<int>").alias("lens"), F.split(F.lit("|".join(grams)), r"\|").alias("grams"))
-        for name, need, most, step, lens, grams in known
-    ])
-    vocabulary = sorted({g for *_, grams in known for g in grams})
+        for name, need, most, step, lens, grams in known if (len(grams) >= 256) == large
+    ]) for large in (False, True)]
+    vocabulary = sorted({g for *_, grams in known if len(grams) < 256 for g in grams})
 
     def of_template(t: Column, pairs: Column, hits: Column) -> Column:
         own = F.filter(hits, lambda h: F.array_contains(t["grams"], h["b"]))
@@ -144,8 +144,12 @@ def _window_hit(text: Column, threshold: float) -> Column:
         return _bind(own, scored)
 
     def of_pairs(pairs: Column) -> Column:
-        hits = F.filter(F.transform(pairs, lambda b, i: F.struct(i.alias("i"), b.alias("b"))), lambda h: h["b"].isin(vocabulary))
-        return _bind(hits, lambda hits: F.flatten(F.transform(F.filter(table, lambda t: F.size(hits) >= t["need"]), lambda t: of_template(t, pairs, hits))))
+        placed = F.transform(pairs, lambda b, i: F.struct(i.alias("i"), b.alias("b")))
+        hits = F.filter(placed, lambda h: h["b"].isin(vocabulary))
+        short = _bind(hits, lambda hits: F.flatten(F.transform(F.filter(tables[0], lambda t: F.size(hits) >= t["need"]), lambda t: of_template(t, pairs, hits))))
+        # whole licences are looked for only in texts that hold enough of their bigrams
+        near = F.filter(tables[1], lambda t: (F.size(pairs) >= t["need"]) & (F.size(F.array_intersect(pairs, t["grams"])) >= t["need"]))
+        return F.concat(short, F.flatten(F.transform(near, lambda t: of_template(t, pairs, placed))))
 
     found = _bind(_words(text), lambda words: _bind(_pairs(words), of_pairs))
     good = F.filter(found, lambda s: s["dice"] >= threshold)
