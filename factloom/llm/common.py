@@ -19,9 +19,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset, in local runs only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = spark.conf.get("factloom.shared.dir", None)
         if not folder:
             folder = "file://" + tempfile.mkdtemp(prefix="factloom-")
@@ -33,10 +35,10 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/factloom/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write `df` once as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -52,6 +54,24 @@ def drop_table(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)  # an empty table has one file too: Spark writes its schema
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of the bytes behind a plan, from the sizes of its files; 0 where Spark doesn't know. Nothing is read."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 50 else 0
+
+
+def unused(names: list[str], *wanted: str) -> list[str]:
+    """Each wanted column name, lengthened until no name of a table is like it."""
+    taken = {n.lower() for n in names}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding it."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -8,27 +8,29 @@ puts the rows there, so any file system it knows will do and a lost task is writ
 
 A block decodes on its own by a table of 2**LIMIT entries; its bit-offset checkpoints let all strides decode side by side.
 
-Null or empty text: the end id alone. Null ids come first. Equal ids stay side by side, in the order of their ids'
-checksums. Empty table: no blocks.
+Texts are encoded once: the ids are stored in the width that the vocabulary needs, counted, put in doc_id order and then
+packed, so that the second pass shuffles compressed ids and not texts.
+
+Null or empty text: the end id alone. Null ids come first. Ties: equal doc_ids stay side by side, in the order of their
+ids' checksums, then of the ids. Repeated rows: stored each. Very long texts: whole; a block ends after the document that
+fills it. Empty table: no blocks. Extra columns: ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import as_bytes, new_path, partitions
+from factloom.llm.common import as_bytes, drop_table, materialize, new_path, partitions
 from factloom.llm.tokens import grouped, word_encoder
 
 LIMIT, STRIDE, BLOCK_TOKENS, END_ID = 20, 1024, 1 << 20, 2
-#: Distinct words that a task counts before it encodes them; bounds its memory, changes no result.
-TOTAL_WORDS = 400_000
 BLOCK = "shard int, block int, doc_ids array<long>, n_tokens array<int>, checkpoints array<long>, payload binary"
 
 
@@ -113,28 +115,43 @@ def decode_table(lengths: np.ndarray, codes: np.ndarray, limit: int = LIMIT) ->
     return table
 
 
-def token_totals(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> np.ndarray:
-    """Global count of each id. The driver holds one number per vocabulary entry, however large the corpus."""
+def encoded_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, crc, width, ids): each text's ids and `end_id`, zstd over numbers of `width` bytes; crc is that of 32-bit ids."""
+    spec = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
-        counts = np.zeros(max(encoder.size, end_id + 1), np.int64)
-        words: Counter[bytes] = Counter()
+        width = 2 if max(encoder.size, end_id + 1) <= 1 << 16 else 4
+        end, small = np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                counts[end_id] += 1
-                words.update((text or b"").split())
-                if len(words) > TOTAL_WORDS:
-                    counts += encoder.totals(words, len(counts))
-                    words.clear()
-        counts += encoder.totals(words, len(counts))
+            texts = [t or b"" for t in as_bytes(batch.column(1))]
+            for s, e in grouped(texts):
+                found = [data + end for data in encoder.encode(texts[s:e])]
+                ids = [small.compress(np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes()) for x in found]
+                crcs = pa.array([zlib.crc32(x) for x in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[s:e], crcs, pa.array(np.full(e - s, width, np.int32)), pa.array(ids, pa.binary())], ["doc_id", "crc", "width", "ids"])
+
+    return spec.mapInArrow(work, "doc_id long, crc long, width int, ids binary")
+
+
+def token_totals(encoded: DataFrame) -> np.ndarray:
+    """Global count of each id. The driver holds one number per vocabulary entry, however large the corpus."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, big = np.zeros(1, np.int64), zstandard.ZstdDecompressor()
+        for batch in batches:
+            width, packed = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for s, e in grouped(packed):
+                ids = np.frombuffer(b"".join(map(big.decompress, packed[s:e])), f"<u{width[s]}")
+                found = np.bincount(ids, minlength=len(counts))
+                found[: len(counts)] += counts
+                counts = found
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    table = rows.toArrow()
+    table = encoded.select("width", "ids").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
-    totals = np.zeros(int(ids.max(initial=end_id)) + 1, np.int64)
+    totals = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
     totals[ids] = n
     return totals
 
@@ -142,40 +159,38 @@ def token_totals(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> np.nd
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, limit: int = LIMIT, block_tokens: int = BLOCK_TOKENS, stride: int = STRIDE) -> None:
     """Write the ids of all documents, each followed by `end_id`, in ascending doc_id order under `path`."""
     spark = docs.sparkSession
-    lengths = code_lengths(token_totals(docs, tokenizer, end_id), limit)
+    encoded = materialize(encoded_ids(docs, tokenizer, end_id), "ids", "uncompressed")
+    lengths = code_lengths(token_totals(encoded), limit)
     spark.createDataFrame([(lengths.tobytes(), limit, stride)], "lengths binary, bits int, stride int").coalesce(1).write.parquet(f"{path}/codes")
-    end = np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, codes = word_encoder(tokenizer), canonical(lengths)
-        shard, block, held, tokens = TaskContext.get().partitionId(), 0, [], 0
+        codes, big = canonical(lengths), zstandard.ZstdDecompressor()
+        shard, block, tokens = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple[int | None, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal block, held, tokens
-            ids = np.frombuffer(b"".join(x[1] for x in held), "<u4")
-            payload, marks = encode_block(ids, lengths, codes, stride)
-            row = [[shard], [block], [[x[0] for x in held]], [[len(x[1]) // 4 for x in held]], [marks.tolist()], [payload]]
+            payload, marks = encode_block(np.concatenate([x[1] for x in held]), lengths, codes, stride)
+            row = [[shard], [block], [[x[0] for x in held]], [[len(x[1]) for x in held]], [marks.tolist()], [payload]]
             kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
             block, held, tokens = block + 1, [], 0
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], ["shard", "block", "doc_ids", "n_tokens", "checkpoints", "payload"])
 
         for batch in batches:
-            texts = [t or b"" for t in as_bytes(batch.column(1))]
-            docs_ = batch.column(0).to_pylist()
-            for s, e in grouped(texts):
-                for i, data in enumerate(encoder.encode(texts[s:e]), s):
-                    held.append((docs_[i], data + end))
-                    tokens += len(data) // 4 + 1
-                    if tokens >= block_tokens:
-                        yield flush()
+            for doc, width, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                held.append((doc, np.frombuffer(big.decompress(data), f"<u{width}")))
+                tokens += len(held[-1][1])
+                if tokens >= block_tokens:
+                    yield flush()
         if held:
             yield flush()
 
-    spec = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = spec.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(work, BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    first = F.col("doc_id").asc_nulls_first()
+    ordered = encoded.repartitionByRange(partitions(spark), first).sortWithinPartitions(first, "crc", "ids")
+    ordered.select("doc_id", "width", "ids").mapInArrow(work, BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    drop_table(encoded)
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

@@ -5,18 +5,22 @@ depends on the window's words alone, so equal windows have equal anchors while o
 positions are anchors. The index is a set of immutable runs; a run holds, per bucket (range of the hash), the
 sorted anchors of one batch with the smallest document that has each. A batch is combined per task, sorted, and
 merge-joined bucket by bucket with every run; anchors met in two documents are hits; then the batch's own run
-is added and, above `fan_in` runs, all runs are merged into one.
+is added. Runs have levels: `fan_in` runs of one level are merged into one of the next, so an entry is rewritten as often
+as there are levels. A manifest beside the runs names those that count; an index opened again starts from it.
 
-Hits are verified: only documents with hits are read again, every window of a hit anchor is digested (anchor and an
-independent 64-bit hash of the 13 words: 128 bits in all), and the smallest document of each digest decides. An index
-that outlives the call keeps the windows of its documents, which decide with them.
+Hits are verified: every window of a hit anchor is digested (anchor and a second hash of the 13 words from words hashed
+with another seed: 128 bits in all; the words themselves are not compared), and the smallest document of each digest
+decides. An index that outlives the call keeps the windows of its documents, which decide with them. Only texts of
+documents with hits are shuffled; a bitmap of hashed ids, of at most `FILTER_BITS` bits, tells them from the rest, which
+are finished where they are read. Where more documents have hits than the bitmap tells apart, more texts are shuffled.
 
 Hot passages: a task sends each anchor and each digest once, with its smallest document; the other documents of
 that task are decided in the task itself. So a passage in a third of all documents costs one entry a task.
 
 Null text: no words. Null id: never earlier than another, so such rows are neither indexed nor cut. Rows that
-share an id: each is judged on its own text, none cuts another. Texts under 13 words: no window. Empty table:
-empty result. Extra columns: ignored, or handed through by `cut_documents`.
+share an id: each is judged on its own text, none cuts another. Texts under 13 words: no window. Very long texts: whole,
+one at a time. Ties and repeated rows: one result each. Empty table: empty result. Extra columns: ignored, or handed
+through by `cut_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,18 +29,22 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from factloom.llm.common import as_bytes, drop_path, new_path, partitions
+from factloom.llm.common import as_bytes, drop_path, materialize, new_path, partitions, plan_bytes
 
 WINDOW, GRAM = 13, 7
 CHUNK_WORDS = 8_000_000
+#: Most bits of the bitmap of documents with hits (8 MB), and bytes of input to a bucket and to a home.
+FILTER_BITS, BUCKET_BYTES, HOME_BYTES = 1 << 26, 64 << 20, 32 << 20
 ROW = "part int, kind int, doc_id long, a binary, b binary, c binary, d binary"
 ENTRY, LOCAL, RUN, HIT, SEEN = range(5)
 
@@ -61,6 +69,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
 
+def second_hashes(words: list[bytes]) -> np.ndarray:
+    """Hashes of the words under another seed, for the windows' digests."""
+    return np.fromiter((xxh64_intdigest(w, 1) for w in words), np.uint64, len(words))
+
+
 def anchors(words: np.ndarray) -> np.ndarray:
     """Anchor of each window (start order); no window: empty."""
     if len(words) < WINDOW:
@@ -184,7 +197,7 @@ def _entries(docs: DataFrame, buckets: int, parts: int, keep: bool = False) -> D
                 every = anchors(hashes)
                 low = np.unique(every)
                 if keep:
-                    seen.append((every, window_hashes(hashes), np.full(len(every), doc, np.int64)))
+                    seen.append((every, window_hashes(second_hashes(words)), np.full(len(every), doc, np.int64)))
                 keys.append(low)
                 ids.append(np.full(len(low), doc, np.int64))
                 held += len(words)
@@ -250,107 +263,154 @@ def _compact_seen(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([out.take()])
 
 
+class Run(NamedTuple):
+    """An immutable run: folders of its anchors and windows below the index (None: no windows kept), level and id range."""
+
+    anchors: str
+    windows: str | None
+    level: int
+    first: int
+    last: int
+
+
 class FingerprintIndex:
     """Runs of anchors under `path` (in the shared folder unless given); batches must come in ascending id order.
 
     With `keep` each run has its documents' windows beside it (anchor, hash, smallest document: up to 24 bytes a word
-    before compression), so that later calls verify hits against documents they don't hold. Runs under `path` are opened again.
+    before compression), so that later calls verify hits against documents they don't hold, and a manifest is written after
+    each change; the newest whole one is opened again. `size` (bytes of input) sets the buckets and homes of a new index.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, fan_in: int = 4, keep: bool = True) -> None:
-        self.spark, self.path, self.fan_in = spark, path or new_path(spark, "index"), fan_in
-        # several homes to a task: their sizes even out, and a task holds one home at a time
-        self.parts = max(32, 4 * partitions(spark))
-        self.keep = keep
-        stored = [int(n.rsplit("-", 1)[1]) for n in self._list("") if n.startswith("buckets-")]
-        if stored and buckets not in (None, stored[0]):
-            raise ValueError(f"the index at {self.path} has {stored[0]} buckets")
-        self.buckets = stored[0] if stored else buckets or max(32, partitions(spark))
-        self.runs: list[str] = []
-        self.seen: list[str] = []
-        if path and not stored:
-            self._fs("")[0].mkdirs(self._fs(f"buckets-{self.buckets}")[1])
-        for name in sorted(self._list("")):
-            # a batch counts once its hits are out, a merged run once all of it is written
-            if name.startswith("batch-") and "_SUCCESS" in self._list(f"{name}/out"):
-                self.runs += [f"{self.path}/{name}/out/kind={RUN}"] if f"kind={RUN}" in self._list(f"{name}/out") else []
-                self.seen += [f"{self.path}/{name}/map/kind={SEEN}"] if f"kind={SEEN}" in self._list(f"{name}/map") else []
-            elif name.startswith(("merged-", "seen-")) and "_SUCCESS" in self._list(name):
-                (self.runs if name.startswith("merged-") else self.seen).append(f"{self.path}/{name}")
-
-    def _fs(self, below: str) -> tuple:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{below}".rstrip("/"))
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+    MANIFEST = "anchors string, windows string, level int, first long, last long, buckets int, parts int"
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, fan_in: int = 4, keep: bool = True, size: int = 0) -> None:
+        self.spark, self.path, self.fan_in, self.keep = spark, path or new_path(spark, "index"), fan_in, keep
+        self.runs: list[Run] = []
+        self.spent: list[str] = []
+        stored = sorted(n for n in self._list("") if n.startswith("manifest-") and "_SUCCESS" in self._list(n))
+        self.version = int(stored[-1].rsplit("-", 1)[1]) if stored else 0
+        rows = spark.read.schema(self.MANIFEST).parquet(f"{self.path}/{stored[-1]}").collect() if stored else []
+        self.runs = sorted((Run(*r[:5]) for r in rows), key=lambda r: r.first)
+        known = rows[0]["buckets"] if rows else None
+        if known and buckets not in (None, known):
+            raise ValueError(f"the index at {self.path} has {known} buckets")
+        self.buckets = known or buckets or max(32, partitions(spark), min(1 << 14, size // BUCKET_BYTES))
+        # two homes to a task at least: their sizes even out, and a task holds one home at a time
+        self.parts = rows[0]["parts"] if rows else max(32, 2 * partitions(spark), min(1 << 14, size // HOME_BYTES))
 
     def _list(self, below: str) -> list[str]:
-        fs, where = self._fs(below)
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{below}".rstrip("/"))
+        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         return [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
 
+    def _rows(self, folders: list[str], kind: int) -> DataFrame:
+        return self.spark.read.schema(ROW).parquet(*[f"{self.path}/{f}" for f in folders]).withColumn("kind", F.lit(kind))
+
+    @property
+    def last(self) -> int | None:
+        """Greatest id indexed so far."""
+        return max((r.last for r in self.runs), default=None)
+
     def add(self, docs: DataFrame) -> DataFrame:
         """Hits of one batch against the index and itself, as rows of ROW by the documents' home; the batch's run is added."""
-        if len(self.runs) >= self.fan_in:
-            self.compact()
-        rows = _entries(docs, self.buckets, self.parts, self.keep)
-        at = f"{self.path}/batch-{len(self.runs)}-{new_path(self.spark, 'b').rsplit('-', 1)[1]}"
-        rows.write.partitionBy("kind").parquet(f"{at}/map")
-        mapped = self.spark.read.schema(ROW).parquet(f"{at}/map")
+        first, last = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
+        if first is None:
+            return self.spark.createDataFrame([], ROW)
+        if self.runs and first <= self.last:
+            raise ValueError(f"id {first} isn't after the indexed ids (up to {self.last})")
+        self.compact()
+        name = f"batch-{new_path(self.spark, 'b').rsplit('-', 1)[1]}"
+        _entries(docs, self.buckets, self.parts, self.keep).write.partitionBy("kind").parquet(f"{self.path}/{name}/map")
+        mapped = self.spark.read.schema(ROW).parquet(f"{self.path}/{name}/map")
         entries = mapped.where(F.col("kind") == ENTRY)
-        for run in self.runs:
-            entries = entries.unionByName(self._run(run))
-        entries.repartition(self.buckets, "part").groupBy("part").applyInArrow(_merge(self.parts), ROW).write.partitionBy("kind").parquet(f"{at}/out")
-        self.runs.append(f"{at}/out/kind={RUN}")
-        self._settle(f"{at}/out/kind={RUN}")
-        if f"kind={SEEN}" in self._list(f"{at.rsplit('/', 1)[1]}/map"):
-            self.seen.append(f"{at}/map/kind={SEEN}")
-        drop_path(self.spark, f"{at}/map/kind={ENTRY}")
-        out = self.spark.read.schema(ROW).parquet(f"{at}/out").where(F.col("kind") == HIT)
-        return out.unionByName(self.spark.read.schema(ROW).parquet(f"{at}/map").where(F.col("kind") == LOCAL))
+        if self.runs:
+            entries = entries.unionByName(self._rows([r.anchors for r in self.runs], RUN))
+        entries.repartition(self.buckets, "part").groupBy("part").applyInArrow(_merge(self.parts), ROW).write.partitionBy("kind").parquet(f"{self.path}/{name}/out")
+        drop_path(self.spark, f"{self.path}/{name}/map/kind={ENTRY}")
+        if f"kind={RUN}" in self._list(f"{name}/out"):  # a batch without any window leaves no run behind
+            self.runs.append(Run(f"{name}/out/kind={RUN}", f"{name}/map/kind={SEEN}" if self.keep else None, 0, first, last))
+            self._note()
+        self.spent += [f"{self.path}/{name}/out/kind={HIT}", f"{self.path}/{name}/map/kind={LOCAL}"]
+        out = self.spark.read.schema(ROW).parquet(f"{self.path}/{name}/out").where(F.col("kind") == HIT)
+        return out.unionByName(mapped.where(F.col("kind") == LOCAL))
 
     def windows(self) -> DataFrame | None:
         """Windows of all documents so far, as rows of ROW (SEEN) by bucket."""
-        return self.spark.read.schema(ROW).parquet(*self.seen).withColumn("kind", F.lit(SEEN)) if self.seen else None
+        kept = [r.windows for r in self.runs if r.windows]
+        return self._rows(kept, SEEN) if kept else None
 
-    def _run(self, path: str) -> DataFrame:
-        return self.spark.read.schema(ROW).parquet(path).withColumn("kind", F.lit(RUN))
+    def forget_hits(self) -> None:
+        """Delete the hits of past batches; their DataFrames can't be read any more."""
+        for path in self.spent:
+            drop_path(self.spark, path)
+        self.spent = []
 
-    def _settle(self, run: str) -> None:
-        """A batch without any window leaves no run behind."""
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(run)
-        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-            self.runs.remove(run)
+    def _note(self) -> None:
+        if self.keep:
+            self.version += 1
+            rows = [(*r, self.buckets, self.parts) for r in self.runs]
+            self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.parquet(f"{self.path}/manifest-{self.version:09d}")
 
     def compact(self) -> None:
-        """Merge all runs into one; the old ones go once the new one is written."""
-        old, at = self.runs, f"{self.path}/merged-{new_path(self.spark, 'm').rsplit('-', 1)[1]}"
-        rows = self._run(old[0])
-        for run in old[1:]:
-            rows = rows.unionByName(self._run(run))
-        rows.repartition(self.buckets, "part").groupBy("part").applyInArrow(_compact, ROW).write.parquet(at)
-        self.runs = [at]
-        windows, past = self.windows(), self.seen
-        if windows is not None:
-            at = f"{self.path}/seen-{new_path(self.spark, 's').rsplit('-', 1)[1]}"
-            windows.repartition(self.buckets, "part").groupBy("part").applyInArrow(_compact_seen, ROW).write.parquet(at)
-            self.seen = [at]
-        for run in [*old, *(past if windows is not None else [])]:
-            drop_path(self.spark, run)
-
-
-def _packed(docs: DataFrame, parts: int, carry: list[str]) -> DataFrame:
-    """Documents as rows of ROW by their home (text compressed in `a`), followed by the columns to hand through."""
-    spec = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(carry)])
-    extra = [f for f in spec.schema.fields if f.name.startswith("x")]
+        """Merge the runs of each full level into one of the next; the old ones go once a manifest names the new one."""
+        level = 0
+        while level <= max((r.level for r in self.runs), default=-1):
+            old = [r for r in self.runs if r.level == level]
+            if len(old) >= self.fan_in:
+                tag = new_path(self.spark, "m").rsplit("-", 1)[1]
+                self._rows([r.anchors for r in old], RUN).repartition(self.buckets, "part").groupBy("part").applyInArrow(_compact, ROW).write.parquet(f"{self.path}/merged-{tag}")
+                kept = [r.windows for r in old if r.windows]
+                if kept:
+                    self._rows(kept, SEEN).repartition(self.buckets, "part").groupBy("part").applyInArrow(_compact_seen, ROW).write.parquet(f"{self.path}/seen-{tag}")
+                new = Run(f"merged-{tag}", f"seen-{tag}" if kept else None, level + 1, min(r.first for r in old), max(r.last for r in old))
+                self.runs = sorted([r for r in self.runs if r.level != level] + [new], key=lambda r: r.first)
+                self._note()
+                for folder in [*(r.anchors for r in old), *kept]:
+                    drop_path(self.spark, f"{self.path}/{folder}")
+            level += 1
+
+
+def _id_filter(hits: DataFrame, docs: int) -> np.ndarray:
+    """Bitmap of the hashed ids of all documents in `hits`, four bits a document of the call, at most FILTER_BITS."""
+    bits = min(FILTER_BITS, 1 << max(10, (4 * docs).bit_length()))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(bits >> 6, np.uint64)
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                at = _mix(np.unique(unpack(packed, "i8", True)).view(np.uint64)) & np.uint64(bits - 1)
+                np.bitwise_or.at(held, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        used = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(held[used].view(np.int64))], ["word", "bits"])
+
+    found = hits.select("a").mapInArrow(work, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _met(ids: pa.Array, bitmap: np.ndarray) -> np.ndarray:
+    """Whether each id may have hits; null ids have none."""
+    at = _mix(ids.fill_null(0).to_numpy(False).astype(np.int64).view(np.uint64)) & np.uint64(64 * len(bitmap) - 1)
+    return ids.is_valid().to_numpy(False) & (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) > 0)
+
+
+def _spec(docs: DataFrame, carry: list[str]) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(carry)])
+
+
+def _packed(docs: DataFrame, parts: int, carry: list[str], sent: Broadcast) -> DataFrame:
+    """Documents that may have hits as rows of ROW by their home (text compressed in `a`), followed by the columns to hand through."""
+    spec = _spec(docs, carry)
+    extra = spec.schema.fields[2:]
     schema = f"{ROW}" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in extra)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small = zstandard.ZstdCompressor(level=1)
+        small = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            ids = batch.column(0)
-            alone = np.array([zlib.crc32(t or b"") % parts for t in texts], np.int64)
-            home = np.where(ids.is_valid().to_numpy(False), _home(ids.fill_null(0).to_numpy(False), parts), alone)
-            n = len(texts)
+            batch = batch.filter(pa.array(_met(batch.column(0), sent.value)))
+            ids, texts, n = batch.column(0), as_bytes(batch.column(1)), batch.num_rows
+            home = _home(ids.to_numpy(False), parts) if n else np.zeros(0, np.int64)
             blank = pa.nulls(n, pa.binary())
             packed = pa.array([None if t is None else small.compress(t) for t in texts], pa.binary())
             base = [pa.array(home.astype(np.int32)), pa.array(np.full(n, ENTRY, np.int32)), ids, packed, blank, blank, blank]
@@ -359,6 +419,21 @@ def _packed(docs: DataFrame, parts: int, carry: list[str]) -> DataFrame:
     return spec.mapInArrow(work, schema)
 
 
+def _untouched(docs: DataFrame, carry: list[str], with_text: bool, sent: Broadcast, schema: str) -> DataFrame:
+    """Results of the documents without hits, finished where they are read."""
+    names = ["doc_id", "n_words", "n_removed", "kept_text" if with_text else "kept_sha256", *(f"x{i}" for i in range(len(carry)))]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(~_met(batch.column(0), sent.value)))
+            words = [(t or b"").split() for t in as_bytes(batch.column(1))]
+            last = batch.column(1) if with_text else pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string())
+            counts = pa.array(map(len, words), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(np.zeros(len(words), np.int64)), last, *batch.columns[2:]], names)
+
+    return _spec(docs, carry).mapInArrow(work, schema)
+
+
 def _hit_windows(parts: int, buckets: int):
     """Digests of the windows of hit anchors in one home partition; those with a smaller document there are settled."""
 
@@ -385,10 +460,10 @@ def _hit_windows(parts: int, buckets: int):
             if s == e:
                 continue
             text = big.decompress(raw)
-            words = word_hashes(text.split())
-            low = anchors(words)
+            words = text.split()
+            low = anchors(word_hashes(words))
             at = np.flatnonzero(np.isin(low, key[s:e]))
-            for x, y in zip(got, (low[at], window_hashes(words)[at] if len(at) else low[:0], np.full(len(at), me, np.int64), np.full(len(at), zlib.crc32(text), np.uint32), at.astype(np.uint32)), strict=True):
+            for x, y in zip(got, (low[at], window_hashes(second_hashes(words))[at] if len(at) else low[:0], np.full(len(at), me, np.int64), np.full(len(at), zlib.crc32(text), np.uint32), at.astype(np.uint32)), strict=True):
                 x.append(y)
         if not got[0]:
             return pa.Table.from_batches([out.take()])
@@ -497,35 +572,42 @@ def in_batches(docs: DataFrame, batches: int) -> list[DataFrame]:
     return [docs.where((F.lit(True) if lo is None else F.col("doc_id") > lo) & (F.lit(True) if hi is None else F.col("doc_id") <= hi)) for lo, hi in edges]
 
 
-def remove_repeats(docs: DataFrame, batches: int = 2, with_text: bool = False, carry: tuple[str, ...] = (), index: FingerprintIndex | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = 3, with_text: bool = False, carry: tuple[str, ...] = (), index: FingerprintIndex | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256 or kept_text, x0..) per row of `docs`; x are the `carry` columns.
 
     Documents go into the index in `batches` ascending id ranges; the verification then runs once over all hits. What
-    `index` holds from earlier calls cuts these documents too; take the rows before the index is added to again.
+    `index` holds from earlier calls cuts these documents too, and their ids must come after it. An index of this call
+    alone has levels of two runs, so that three batches meet a compacted one, and is deleted when its hits are verified.
     """
-    spark = docs.sparkSession
-    index = index or FingerprintIndex(spark, keep=False)
+    spark, own, carry = docs.sparkSession, index is None, list(carry)
+    index = index or FingerprintIndex(spark, keep=False, fan_in=2, size=plan_bytes(docs))
     parts, buckets = index.parts, index.buckets
     hits = None
     for batch in in_batches(docs, batches):
         found = index.add(batch.select("doc_id", "text"))
         hits = found if hits is None else hits.unionByName(found)
+    sent = spark.sparkContext.broadcast(_id_filter(hits, docs.count()))
     at = new_path(spark, "windows")
-    packed = _packed(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), parts, [])
+    packed = _packed(docs.select("doc_id", "text"), parts, [], sent)
     packed.unionByName(hits).repartition(partitions(spark), "part").groupBy("part").applyInArrow(_hit_windows(parts, buckets), ROW).write.partitionBy("kind").parquet(at)
+    index.forget_hits()
     windows = spark.read.schema(ROW).parquet(at)
     open_, past = windows.where(F.col("kind") == ENTRY), index.windows()
     open_ = open_ if past is None else open_.unionByName(past)
     decided = open_.repartition(buckets, "part").groupBy("part").applyInArrow(_decide(parts), ROW)
-    settled = windows.where(F.col("kind") == LOCAL).unionByName(decided)
-    whole = _packed(docs, parts, list(carry))
-    extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in whole.schema.fields if f.name.startswith("x"))
+    settled = materialize(windows.where(F.col("kind") == LOCAL).unionByName(decided), "settled")
+    drop_path(spark, at)
+    if own:
+        drop_path(spark, index.path)
+    whole = _packed(docs, parts, carry, sent)
+    extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in whole.schema.fields[7:])
+    schema = f"doc_id long, n_words long, n_removed long, {'kept_text' if with_text else 'kept_sha256'} string{extra}"
     both = whole.unionByName(settled, allowMissingColumns=True)
-    last = "kept_text string" if with_text else "kept_sha256 string"
-    return both.repartition(partitions(spark), "part").groupBy("part").applyInArrow(_finish(len(carry), with_text), f"doc_id long, n_words long, n_removed long, {last}{extra}")
+    cut = both.repartition(partitions(spark), "part").groupBy("part").applyInArrow(_finish(len(carry), with_text), schema)
+    return _untouched(docs, carry, with_text, sent, schema).unionByName(cut)
 
 
-def cut_documents(docs: DataFrame, batches: int = 2) -> DataFrame:
+def cut_documents(docs: DataFrame, batches: int = 3) -> DataFrame:
     """`docs` (columns of documents) with repeated words cut out of the texts; rows that lose every word go."""
     carry = [c for c in docs.columns if c not in ("doc_id", "text")]
     found = remove_repeats(docs, batches, True, tuple(carry)).where("n_removed = 0 OR n_removed < n_words")

@@ -8,8 +8,6 @@ import re
 import struct
 from functools import lru_cache
 
-import numpy as np
-
 #: Words and runs of letters held by an encoder's caches; later ones are encoded anew. Bounds a worker's memory, changes no result.
 CACHE_WORDS = 500_000
 
@@ -94,14 +92,6 @@ class WordEncoder:
                 self.known[w] = fresh[w]
         return [b"".join(x) for x in parts]
 
-    def totals(self, words: dict[bytes, int], size: int) -> np.ndarray:
-        """Count of each id over words with their counts: each distinct word is encoded once."""
-        fresh = self._fresh(list(words))
-        lens = np.fromiter((len(x) for x in fresh.values()), np.int64, len(fresh)) // 4
-        found = np.frombuffer(b"".join(fresh.values()), "<u4")
-        times = np.fromiter((words[w] for w in fresh), np.float64, len(fresh))
-        return np.bincount(found, np.repeat(times, lens), size).astype(np.int64)
-
 
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
