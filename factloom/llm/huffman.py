@@ -11,8 +11,8 @@ A block decodes on its own by a table of 2**LIMIT entries; its bit-offset checkp
 Texts are encoded once: the ids are stored in the width that the vocabulary needs, counted, put in doc_id order and then
 packed, so that the second pass shuffles compressed ids and not texts.
 
-Null or empty text: the end id alone. Null ids come first. Ties: equal doc_ids stay side by side, in the order of their
-ids' checksums, then of the ids. Repeated rows: stored each. Very long texts: whole; a block ends after the document that
+Null or empty text: the end id alone. Null ids come first. Ties: equal doc_ids stay side by side, in the order of the
+texts' first 16 bytes, then of their ids' checksums and ids. Repeated rows: stored each. Very long texts: whole; a block ends after the document that
 fills it. Empty table: no blocks. Extra columns: ignored.
 """
 
@@ -116,7 +116,7 @@ def decode_table(lengths: np.ndarray, codes: np.ndarray, limit: int = LIMIT) ->
 
 
 def encoded_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, crc, width, ids): each text's ids and `end_id`, zstd over numbers of `width` bytes; crc is that of 32-bit ids."""
+    """(doc_id, head, crc, width, ids): each text's ids and `end_id`, zstd over numbers of `width` bytes; head and crc order ties."""
     spec = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,9 +129,10 @@ def encoded_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFr
                 found = [data + end for data in encoder.encode(texts[s:e])]
                 ids = [small.compress(np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes()) for x in found]
                 crcs = pa.array([zlib.crc32(x) for x in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[s:e], crcs, pa.array(np.full(e - s, width, np.int32)), pa.array(ids, pa.binary())], ["doc_id", "crc", "width", "ids"])
+                heads = pa.array([t[:16] for t in texts[s:e]], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[s:e], heads, crcs, pa.array(np.full(e - s, width, np.int32)), pa.array(ids, pa.binary())], ["doc_id", "head", "crc", "width", "ids"])
 
-    return spec.mapInArrow(work, "doc_id long, crc long, width int, ids binary")
+    return spec.mapInArrow(work, "doc_id long, head binary, crc long, width int, ids binary")
 
 
 def token_totals(encoded: DataFrame) -> np.ndarray:
@@ -188,7 +189,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID,
             yield flush()
 
     first = F.col("doc_id").asc_nulls_first()
-    ordered = encoded.repartitionByRange(partitions(spark), first).sortWithinPartitions(first, "crc", "ids")
+    ordered = encoded.repartitionByRange(partitions(spark), first).sortWithinPartitions(first, "head", "crc", "ids")
     ordered.select("doc_id", "width", "ids").mapInArrow(work, BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     drop_table(encoded)
 
