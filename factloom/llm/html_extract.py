@@ -9,7 +9,8 @@ The model is trained here, by gradient ascent on the conditional likelihood, on
 makes: `TRAIN_PAGES` pages of several layouts, a documented bound that doesn't grow with the corpus.
 
 Null, empty or text-free html: empty text. Broken markup: tags are closed as browsers close them, and a `<` that starts no
-tag is text. Repeated rows: one result each. Extra columns: ignored.
+tag is text; elements nested deeper than `DEPTH` replace each other. Very long or broken pages: whole, in linear time.
+Ties and repeated rows: one result each. Empty table: empty result. Extra columns: ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 #: Words of page furniture in short blocks.
 FURNITURE = frozenset("cookie cookies subscribe newsletter advertisement sponsored copyright login register menu privacy terms share comments reply related search home contact".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)", re.S)
+DEPTH = 256
+
+_NAME, _MARK = re.compile(r"[a-zA-Z][^\s/>]*"), re.compile("[>\"']")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CLOSERS = {t: re.compile(f"</{t}\\s*>", re.I) for t in UNREAD}
@@ -45,6 +48,71 @@ _CLOSERS = {t: re.compile(f"</{t}\\s*>", re.I) for t in UNREAD}
 Path = tuple[tuple[str, str], ...]
 
 
+class _Ends:
+    """Ends of a page's tags. Every quote is followed once, so pages of broken tags take linear time too."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.quotes, self.asked, self.bare = html, {}, (0, _at(_MARK, html, 0)), (0, html.find(">"))
+
+    def plain(self, at: int) -> int:
+        """First `>` from `at` on; -1: none. Asked in ascending order."""
+        if -1 < self.bare[1] < at:
+            self.bare = at, self.html.find(">", at)
+        return self.bare[1]
+
+    def quoted(self, at: int) -> int:
+        """First `>` from `at` on that stands in no quotes; -1: none. Asked in ascending order."""
+        if -1 < self.asked[1] < at:
+            self.asked = at, _at(_MARK, self.html, at)
+        mark, trail = self.asked[1], []
+        while mark >= 0 and self.html[mark] != ">":
+            if mark in self.quotes:
+                mark = self.quotes[mark]
+                break
+            trail.append(mark)
+            close = self.html.find(self.html[mark], mark + 1)
+            mark = _at(_MARK, self.html, close + 1) if close >= 0 else -1
+        self.quotes.update(dict.fromkeys(trail, mark))
+        return mark
+
+
+def _at(what: re.Pattern[str], text: str, start: int) -> int:
+    found = what.search(text, start)
+    return found.start() if found else -1
+
+
+def tokens(html: str) -> Iterator[tuple[str, bool, str, int]]:
+    """(tag or empty, closing, attributes or text, end) in page order; a caller may send the place to go on from."""
+    ends, at, n = _Ends(html), 0, len(html)
+    while at < n:
+        if html[at] != "<":
+            stop = html.find("<", at)
+            stop = n if stop < 0 else stop
+            token = "", False, html[at:stop], stop
+        elif html.startswith("<!--", at):
+            stop = html.find("-->", at + 4)
+            at = n if stop < 0 else stop + 3
+            continue
+        elif (plain := ends.plain(at)) < 0:  # no tag any more
+            stop = html.find("<!--", at)
+            stop = n if stop < 0 else stop
+            token = "", False, html[at:stop], stop
+        elif html[at + 1] in "!?":
+            at = plain + 1
+            continue
+        else:
+            closing = html[at + 1] == "/"
+            name = _NAME.match(html, at + 1 + closing)
+            if name is None:
+                token = "", False, "<", at + 1
+            else:
+                stop = ends.quoted(name.end())
+                stop = plain if stop < 0 else stop
+                token = name[0].lower(), closing, html[name.end() : stop], stop + 1
+        jump = yield token
+        at = jump or token[3]
+
+
 def blocks(html: str) -> list[tuple[Path, str, float]]:
     """(path, text, share of linked characters) of each leaf block in page order; a path holds (tag, class and id)."""
     out: list[tuple[Path, str, float]] = []
@@ -62,51 +130,57 @@ def blocks(html: str) -> list[tuple[Path, str, float]]:
             parts.clear()
         linked = total = 0
 
-    at, end = 0, len(html)
-    while at < end:
-        m = _TOKEN.match(html, at)
-        at = m.end()
-        if m[7] is not None:
-            text = unescape(m[7])
+    counts: dict[str, int] = {}
+
+    def leave(depth: int) -> None:
+        for tag, _ in stack[depth:]:
+            counts[tag] -= 1
+        del stack[depth:]
+
+    stream, jump = tokens(html), None
+    while True:
+        try:
+            tag, closing, rest, at = stream.send(jump)
+        except StopIteration:
+            break
+        jump = None
+        if not tag:
+            text = unescape(rest)
             parts.append(text)
             n = len(text.strip())
             total += n
             linked += n * in_link
-            continue
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        closing = m[1] or m[4]
-        if tag == "br":
+        elif tag == "br":
             parts.append(" ")
         elif tag == "a":
             in_link = not closing
         elif tag in INLINE or tag in VOID and tag != "hr":
             pass
         elif tag in UNREAD:
-            if not closing and not (m[3] or m[6] or "").endswith("/"):
+            if not closing and not rest.endswith("/"):
                 found = _CLOSERS[tag].search(html, at)
-                at = found.end() if found else end
+                jump = found.end() if found else len(html)
         elif closing:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if counts.get(tag):
+                leave(max(i for i, x in enumerate(stack) if x[0] == tag))
         else:
             flush()
             if tag == "hr":
                 continue
-            ends, bounds = CLOSES.get(tag, ()), HOLDS.get(tag, ())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in bounds:
-                    break
-                if stack[i][0] in ends or stack[i][0] == "p":
-                    del stack[i:]
-                    break
-            if tag not in ("html", "body") or all(t != tag for t, _ in stack):
-                names = " ".join(x for g in _NAMES.findall(m[3] or m[6] or "") for x in g if x).lower()
+            ends, bounds = {"p", *CLOSES.get(tag, ())}, HOLDS.get(tag, ())
+            if any(counts.get(t) for t in ends):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] in bounds:
+                        break
+                    if stack[i][0] in ends:
+                        leave(i)
+                        break
+            if tag not in ("html", "body") or not counts.get(tag):
+                names = " ".join(x for g in _NAMES.findall(rest) for x in g if x).lower()
+                leave(DEPTH - 1)
                 stack.append((tag, names))
+                counts[tag] = counts.get(tag, 0) + 1
     flush()
     return out
 

@@ -57,9 +57,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH sizes AS (
+WITH RECURSIVE sizes AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS digest
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS digest
   FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 weighed AS (
@@ -74,13 +74,25 @@ levels AS (
 free AS (SELECT *, (SELECT arg_min(level, place) FROM levels WHERE cap > level * weight) AS free_level FROM levels),
 targets AS (SELECT source, source_size, round(least(cap, coalesce(free_level * weight, cap)), 6) AS target FROM free),
 plan AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.source, d.digest, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS whole,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto
-  FROM sizes d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(size * least(whole + CASE WHEN target - whole * source_size > 0 AND target - whole * source_size - upto >= size / 2.0 THEN 1 ELSE 0 END, 3) AS BIGINT) AS taken
-FROM plan
+         t.target - whole * t.source_size AS rest,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto,
+         rest > 0 AND upto + d.size <= rest AS extra
+  FROM sizes d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+gaps AS (SELECT source, any_value(rest) - sum(CASE WHEN extra THEN size ELSE 0 END) AS free FROM plan WHERE rest > 0 GROUP BY source),
+lengths AS (SELECT source, size, count(*) AS docs FROM plan WHERE rest > 0 AND size > 0 AND NOT extra GROUP BY source, size),
+-- the longest length that still fits, as many as there are or fit, then the next shorter one
+fill(source, size, free, take) AS (
+  SELECT source, CAST(9223372036854775807 AS BIGINT), CAST(free AS DOUBLE), CAST(0 AS BIGINT) FROM gaps
+  UNION ALL
+  SELECT f.source, max(l.size), any_value(f.free) - max(l.size) * least(arg_max(l.docs, l.size), CAST(floor(any_value(f.free) / max(l.size)) AS BIGINT)),
+         least(arg_max(l.docs, l.size), CAST(floor(any_value(f.free) / max(l.size)) AS BIGINT))
+  FROM fill f JOIN lengths l ON f.source IS NOT DISTINCT FROM l.source AND l.size < f.size AND l.size <= f.free GROUP BY f.source),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source, size, extra ORDER BY digest) AS place FROM plan)
+SELECT r.doc_id, r.size, r.source_size, r.target,
+       CAST(r.size * least(r.whole + CASE WHEN r.extra OR r.place <= coalesce(f.take, 0) THEN 1 ELSE 0 END, 3) AS BIGINT) AS taken
+FROM ranked r LEFT JOIN fill f ON r.source IS NOT DISTINCT FROM f.source AND r.size = f.size AND NOT r.extra
 """
 
 

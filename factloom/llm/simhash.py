@@ -6,10 +6,12 @@ Copies collapse to one fingerprint first. Rows meet on the key; inside one key's
 compared with those not yet reached (a breadth-first forest), so a bucket of m near copies gives at most
 m - 1 links, never all pairs, while no link between different groups is lost. A bucket above `MAX_BUCKET`
 fingerprints isn't held: its rows go out as midpoints within distance/2 flips of the bits outside the key
-(close pairs share a midpoint, and sharing one proves closeness), which meet by a grouped minimum.
+(close pairs share a midpoint, and sharing one proves closeness), which meet by a grouped minimum. So `distance` is even.
 
 Null or empty text: fingerprint zero, linked like any other. Null ids: the row keeps its fingerprint and
-component, but never names one. Repeated rows: one result each. Empty table: empty result.
+component, but never names one. Ties and repeated rows: one result each; `drop_near_copies` keeps the least id, then the
+least fingerprint and text digest. Very long texts: whole, hashed in parts. Empty table: empty result. Extra columns:
+ignored, or handed through by `drop_near_copies`, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from factloom.llm.common import as_bytes, materialize, partitions
+from factloom.llm.common import as_bytes, materialize, partitions, unused
 from factloom.llm.components import connected_components
 
 BITS, SEED = 64, 42
-MAX_BUCKET = 1 << 20
+MAX_BUCKET = 1 << 16
 #: Near copies of the pipeline stage: least 5-word Jaccard, bands and minima to a band (a pair at 0.8 shares none of 20 bands in 3 of 100 000).
 SIMILAR, BANDS, BAND = 0.8, 20, 4
 _MINS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,6 +102,8 @@ def _midpoints(fp: int, mask: int, radius: int) -> np.ndarray:
 
 def close_links(fps: DataFrame, distance: int = 4, blocks: int = 6, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """(a, b) over distinct fingerprints in `fps.fp`: a forest of close pairs per bucket, all pairs within `distance`."""
+    if distance % 2:
+        raise ValueError("midpoints need an even distance")
     spark = fps.sparkSession
     masks = block_masks(blocks, distance)
     keyed = fps.select(
@@ -237,9 +241,8 @@ def drop_near_copies(docs: DataFrame, distance: int = 4) -> DataFrame:
     labels = _labels(base, distance)
     rows = base.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies")).join(labels, "digest")
     first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", "digest", "copies")).alias("first"))
-    stays = first.select("label", F.col("first.doc_id").alias("doc_id"), F.col("first.digest").alias("digest"), F.col("first.copies").alias("copies"))
-    same = F.xxhash64(docs["text"].cast("string")).eqNullSafe(stays["digest"]) & docs["doc_id"].eqNullSafe(stays["doc_id"])
-    kept = docs.join(stays, same).select(*[docs[c] for c in docs.columns], stays["copies"].alias("_copies"), stays["label"].alias("_label"))
-    alone = kept.where("_copies = 1").select(*docs.columns)
-    again = kept.where("_copies > 1").dropDuplicates(["_label"]).select(*docs.columns)
-    return alone.unionByName(again)
+    own, digest, stay, copies, label = unused(docs.columns, "own", "digest", "stay", "copies", "label")
+    stays = first.select(F.col("label").alias(label), F.col("first.doc_id").alias(stay), F.col("first.digest").alias(digest), F.col("first.copies").alias(copies))
+    kept = docs.withColumn(own, F.xxhash64(F.col("text").cast("string"))).join(stays, (F.col(own) == F.col(digest)) & F.col("doc_id").eqNullSafe(F.col(stay)))
+    both = kept.where(F.col(copies) == 1).unionByName(kept.where(F.col(copies) > 1).dropDuplicates([label]))
+    return both.select(*[F.col(f"`{c}`") for c in docs.columns])
