@@ -12,7 +12,7 @@ Texts are encoded once: the ids are stored in the width that the vocabulary need
 packed, so that the second pass shuffles compressed ids and not texts.
 
 Null or empty text: the end id alone. Null ids come first. Ties: equal doc_ids stay side by side, in the order of the
-texts' first 16 bytes, then of their ids' checksums and ids. Repeated rows: stored each. Very long texts: whole; a block ends after the document that
+texts' first 16 bytes, then of their ids as stored. Repeated rows: stored each. Very long texts: whole; a block ends after the document that
 fills it. Empty table: no blocks. Extra columns: ignored.
 """
 
@@ -23,12 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import as_bytes, drop_table, materialize, new_path, partitions
-from factloom.llm.tokens import grouped, word_encoder
+from factloom.llm.tokens import as_ids, grouped, word_encoder
 
 LIMIT, STRIDE, BLOCK_TOKENS, END_ID = 20, 1024, 1 << 20, 2
 BLOCK = "shard int, block int, doc_ids array<long>, n_tokens array<int>, checkpoints array<long>, payload binary"
@@ -116,35 +115,31 @@ def decode_table(lengths: np.ndarray, codes: np.ndarray, limit: int = LIMIT) ->
 
 
 def encoded_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, head, crc, width, ids): each text's ids and `end_id`, zstd over numbers of `width` bytes; head and crc order ties."""
+    """(doc_id, head, width, ids): each text's ids and `end_id` in numbers of `width` bytes; head, the text's start, orders ties."""
     spec = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(tokenizer)
-        width = 2 if max(encoder.size, end_id + 1) <= 1 << 16 else 4
-        end, small = np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(level=1)
+        encoder = word_encoder(tokenizer, narrow=end_id < 1 << 16)
+        end = as_ids([end_id], encoder.width)
         for batch in batches:
             texts = [t or b"" for t in as_bytes(batch.column(1))]
             for s, e in grouped(texts):
-                found = [data + end for data in encoder.encode(texts[s:e])]
-                ids = [small.compress(np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes()) for x in found]
-                crcs = pa.array([zlib.crc32(x) for x in found], pa.int64())
+                ids = pa.array([data + end for data in encoder.encode(texts[s:e])], pa.binary())
                 heads = pa.array([t[:16] for t in texts[s:e]], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[s:e], heads, crcs, pa.array(np.full(e - s, width, np.int32)), pa.array(ids, pa.binary())], ["doc_id", "head", "crc", "width", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[s:e], heads, pa.array(np.full(e - s, encoder.width, np.int32)), ids], ["doc_id", "head", "width", "ids"])
 
-    return spec.mapInArrow(work, "doc_id long, head binary, crc long, width int, ids binary")
+    return spec.mapInArrow(work, "doc_id long, head binary, width int, ids binary")
 
 
 def token_totals(encoded: DataFrame) -> np.ndarray:
     """Global count of each id. The driver holds one number per vocabulary entry, however large the corpus."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, big = np.zeros(1, np.int64), zstandard.ZstdDecompressor()
+        counts = np.zeros(1, np.int64)
         for batch in batches:
-            width, packed = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for s, e in grouped(packed):
-                ids = np.frombuffer(b"".join(map(big.decompress, packed[s:e])), f"<u{width[s]}")
-                found = np.bincount(ids, minlength=len(counts))
+            width, stored = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for s, e in grouped(stored):
+                found = np.bincount(np.frombuffer(b"".join(stored[s:e]), f"<u{width[s]}"), minlength=len(counts))
                 found[: len(counts)] += counts
                 counts = found
         used = np.flatnonzero(counts)
@@ -160,14 +155,14 @@ def token_totals(encoded: DataFrame) -> np.ndarray:
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, limit: int = LIMIT, block_tokens: int = BLOCK_TOKENS, stride: int = STRIDE) -> None:
     """Write the ids of all documents, each followed by `end_id`, in ascending doc_id order under `path`."""
     spark = docs.sparkSession
-    encoded = materialize(encoded_ids(docs, tokenizer, end_id), "ids", "uncompressed")
+    encoded = materialize(encoded_ids(docs, tokenizer, end_id), "ids")
     lengths = code_lengths(token_totals(encoded), limit)
     spark.createDataFrame([(lengths.tobytes(), limit, stride)], "lengths binary, bits int, stride int").coalesce(1).write.parquet(f"{path}/codes")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        codes, big = canonical(lengths), zstandard.ZstdDecompressor()
+        codes = canonical(lengths)
         shard, block, tokens = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[int | None, np.ndarray]] = []
 
@@ -181,7 +176,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID,
 
         for batch in batches:
             for doc, width, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                held.append((doc, np.frombuffer(big.decompress(data), f"<u{width}")))
+                held.append((doc, np.frombuffer(data, f"<u{width}")))
                 tokens += len(held[-1][1])
                 if tokens >= block_tokens:
                     yield flush()
@@ -189,7 +184,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID,
             yield flush()
 
     first = F.col("doc_id").asc_nulls_first()
-    ordered = encoded.repartitionByRange(partitions(spark), first).sortWithinPartitions(first, "head", "crc", "ids")
+    ordered = encoded.repartitionByRange(partitions(spark), first).sortWithinPartitions(first, "head", "ids")
     ordered.select("doc_id", "width", "ids").mapInArrow(work, BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     drop_table(encoded)
 

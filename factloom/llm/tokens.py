@@ -16,9 +16,9 @@ CACHE_WORDS = 500_000
 _PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 
 
-def as_ids(ids: list[int]) -> bytes:
-    """Little-endian 32-bit numbers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+def as_ids(ids: list[int], width: int = 4) -> bytes:
+    """Little-endian numbers of `width` bytes (2 or 4)."""
+    return struct.pack(f"<{len(ids)}{'H' if width == 2 else 'I'}", *ids)
 
 
 def byte_letters() -> dict[int, str]:
@@ -31,12 +31,13 @@ def byte_letters() -> dict[int, str]:
 class WordEncoder:
     """Ids of a tokenizers file whose pre-tokenizer drops white space, so words at ASCII white space are independent."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, narrow: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
+        self.width = 2 if narrow and self.size <= 1 << 16 else 4
         self.known: dict[bytes, bytes] = {}
         self.letters: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {}
@@ -50,7 +51,7 @@ class WordEncoder:
         """Ids of words not yet known. Plain words are joined from the ids of their letters and their punctuation."""
         out: dict[bytes, bytes] = {}
         odd: list[tuple[bytes, str]] = []
-        letters, tails, model, alphabet = self.letters, self.tails, self.library.model, self.alphabet
+        letters, tails, model, alphabet, width = self.letters, self.tails, self.library.model, self.alphabet, self.width
         for w in words:
             m = _PLAIN.fullmatch(w) if self.direct else None
             if m is None:
@@ -60,13 +61,13 @@ class WordEncoder:
             head = head.lower() if head.isascii() else head.decode("utf-8").lower().encode("utf-8")
             ids = letters.get(head)
             if ids is None:
-                ids = as_ids([t.id for t in model.tokenize(head.decode("latin-1").translate(alphabet))])
+                ids = as_ids([t.id for t in model.tokenize(head.decode("latin-1").translate(alphabet))], width)
                 if len(letters) < CACHE_WORDS:
                     letters[head] = ids
             if tail:
                 end = tails.get(tail)
                 if end is None:
-                    end = as_ids(self.library.encode(tail.decode(), add_special_tokens=False).ids)
+                    end = as_ids(self.library.encode(tail.decode(), add_special_tokens=False).ids, width)
                     if len(tails) < CACHE_WORDS:
                         tails[tail] = end
                 ids += end
@@ -74,11 +75,11 @@ class WordEncoder:
         for at in range(0, len(odd), 4096):
             part = odd[at : at + 4096]
             found = self.library.encode_batch_fast([t for _, t in part], add_special_tokens=False)
-            out.update((w, as_ids(f.ids)) for (w, _), f in zip(part, found, strict=True))
+            out.update((w, as_ids(f.ids, width)) for (w, _), f in zip(part, found, strict=True))
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, as bytes."""
+        """Little-endian ids of each text, as bytes: of 32 bits, or of 16 in a narrow encoder whose vocabulary allows it."""
         get = self.known.get
         words = [t.split() for t in texts]
         parts = [list(map(get, ws)) for ws in words]
@@ -94,8 +95,8 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def word_encoder(path: str, narrow: bool = False) -> WordEncoder:
+    return WordEncoder(path, narrow)
 
 
 def grouped(texts: list[bytes], most: int = 8_000_000):
