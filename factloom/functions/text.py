@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalize_lines(c: Column) -> Column:
     """White space collapsed in each line, blank lines dropped."""
     lines = F.transform(F.split(c, "\n"), squeeze)
@@ -38,14 +45,20 @@ def chunk_windows(c: Column, size: int, overlap: int) -> Column:
     if size < 1 or not 0 <= overlap < size:
         raise ValueError("needs size >= 1 and 0 <= overlap < size")
     step = size - overlap
-    text = strip(F.coalesce(c, F.lit("")))
-    n = F.length(text)
-    last = F.greatest(F.ceil((n - size) / F.lit(step)), F.lit(0)).cast("int")
-    spans = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.struct(i.alias("chunk_index"), (i * step).alias("char_start"), F.least(i * step + size, n).alias("char_end"), F.substring(text, i * step + 1, F.lit(size)).alias("text")),
-    )
-    return F.when(n > 0, spans).otherwise(F.array().cast("array<struct<chunk_index:int,char_start:int,char_end:int,text:string>>"))
+    none = F.array().cast("array<struct<chunk_index:int,char_start:int,char_end:int,text:string>>")
+
+    def spans(text: Column) -> Column:
+        # the text is cut once into blocks of a step; a chunk joins the few blocks that it covers, so long texts stay linear
+        blocks, n = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)), F.length(text)
+        last = F.greatest(F.ceil((n - size) / F.lit(step)), F.lit(0)).cast("int")
+
+        def chunk(i: Column, parts: Column) -> Column:
+            own = F.substring(F.array_join(F.slice(parts, i + 1, F.lit(-(-size // step))), ""), 1, size)
+            return F.struct(i.alias("chunk_index"), (i * step).alias("char_start"), F.least(i * step + size, n).alias("char_end"), own.alias("text"))
+
+        return F.when(n > 0, bind(blocks, lambda parts: F.transform(F.sequence(F.lit(0), last), lambda i: chunk(i, parts)))).otherwise(none)
+
+    return bind(strip(F.coalesce(c, F.lit(""))), spans)
 
 
 def markdown_table(rows: Column) -> Column:

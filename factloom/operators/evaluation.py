@@ -51,3 +51,37 @@ def coverage(cases: DataFrame, least: float = 0.7) -> DataFrame:
     share = F.round(F.when(n > 0, F.size(F.array_intersect("expected", "observed")) / n).otherwise(1.0), 4)
     out = tidy.withColumns({"coverage": share, "density": F.round(F.when(F.col("n_sources") > 0, F.col("n_facts") / F.col("n_sources")).otherwise(0.0), 4), "missing": F.array_except("expected", "observed"), "unexpected": F.array_except("observed", "expected")})
     return out.withColumn("passed", (F.col("n_sources") > 0) & (F.col("n_facts") > 0) & (F.col("coverage") >= least))
+
+
+def paired_summary(rows: DataFrame, systems: tuple[str, ...]) -> DataFrame:
+    """(system, metrics, p50, p95) over queries (relevant_count, and per system `<s>_recall`, `<s>_ndcg`, `<s>_mrr`, `<s>_returned`, `<s>_ms`).
+
+    Quality is averaged over queries with relevant items, false positives are the share of the others that got an answer;
+    p95 is the value at the place that 95 % of the queries don't exceed.
+    """
+    positive = F.col("relevant_count") > 0
+    out = None
+    for s in systems:
+        means = [F.round(F.avg(F.when(positive, F.col(f"{s}_{m}"))), 6).alias(m) for m in ("recall", "ndcg", "mrr")]
+        wrong = F.round(F.avg(F.when(~positive, (F.col(f"{s}_returned") > 0).cast("double"))), 6).alias("false_positive_rate")
+        part = rows.agg(F.lit(s).alias("system"), *means, F.count_if(positive).alias("positives"), F.count_if(~positive).alias("negatives"), wrong, F.round(F.percentile(f"{s}_ms", 0.5), 6).alias("p50"), F.percentile_approx(f"{s}_ms", 0.95, 1_000_000).alias("p95"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def hit_rate(fused: DataFrame, relevant: DataFrame, query: str, item: str, k: int = 10) -> DataFrame:
+    """(hit_rate): share of the queries of `relevant` with a relevant item among their first k."""
+    hits = fused.where(F.col("rank") <= k).join(relevant.select(query, item).distinct(), [query, item], "left_semi").select(query).distinct().withColumn("hit", F.lit(1))
+    return relevant.select(query).distinct().join(hits, query, "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("hit_rate"))
+
+
+def section_completeness(reports: DataFrame) -> DataFrame:
+    """(completeness): share of reports (content, required) that hold every section they must."""
+    return reports.agg(F.round(F.avg(F.forall("required", lambda s: F.contains(F.col("content"), s)).cast("double")), 6).alias("completeness"))
+
+
+def required(dataset: DataFrame) -> DataFrame:
+    """A dataset that an evaluation can't do without; empty ones are refused."""
+    if dataset.isEmpty():
+        raise ValueError("an evaluation dataset must not be empty")
+    return dataset

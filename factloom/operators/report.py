@@ -80,3 +80,43 @@ def risk_summary(counts: dict[str, Column], claims: Column) -> Column:
     """Deterministic summary: facts per status and the first claims."""
     told = F.concat_ws("，", *[F.concat(F.lit(f"{k} "), v.cast("string"), F.lit(" 条")) for k, v in counts.items()])
     return F.concat(F.lit("校验状态："), told, F.lit("。\n"), numbered(F.slice(claims, 1, 5)))
+
+
+#: Strength of a task's evidence with what it allows, labels of verdicts, and headings of reports.
+STRENGTHS = (
+    ("较高", "已经拿到官方披露正文或官方 PDF，可以支撑后续事实核验。"),
+    ("中等", "目前只有官方入口，缺少具体披露正文；财务和经营结论仍需补证。"),
+    ("偏低", "高权威来源不足，现有材料更适合作线索，不适合作确定结论。"),
+)
+VERDICT_LABELS = {"verified": "已核对", "conflicted": "口径不一致", "insufficient": "线索待补证", "outdated": "信息偏旧", "rejected": "已排除"}
+
+
+def evidence_strength(official_body: Column, high: Column) -> Column:
+    """struct<strength, limitation> from the numbers of official texts and of sources of high authority."""
+    level = [F.struct(F.lit(a).alias("strength"), F.lit(b).alias("limitation")) for a, b in STRENGTHS]
+    return F.when(official_body > 0, level[0]).when(high > 0, level[1]).otherwise(level[2])
+
+
+def source_summary(sources: DataFrame, by: str) -> DataFrame:
+    """(by, strength, official_body, entry_page, background, low, summary) of sources (layer, credibility)."""
+    from factloom.functions.values import authority, official_body
+
+    layer, level = F.col("layer"), authority(F.col("credibility"))
+    entry = F.coalesce(layer == "official_entry_page", F.lit(False))
+    counts = {"official_body": official_body(layer), "entry_page": entry, "background": ~official_body(layer) & ~entry, "low": level == "low", "high": level == "high"}
+    g = sources.groupBy(by).agg(*[F.count_if(c).alias(n) for n, c in counts.items()]).withColumn("s", evidence_strength(F.col("official_body"), F.col("high")))
+    lines = (("本次证据强度：", F.col("s.strength"), "。"), ("官方/监管/交易所正文：", F.col("official_body"), " 条。"), ("官方入口但不是正文：", F.col("entry_page"), " 条。"), ("第三方背景材料：", F.col("background"), " 条。"), ("低可信来源：", F.col("low"), " 条。"), ("解读：", F.col("s.limitation"), ""))
+    text = F.concat_ws("\n", F.lit("## 来源质量摘要"), *[F.concat(F.lit(f"- {a}"), v.cast("string"), F.lit(b)) for a, v, b in lines])
+    return g.select(by, "s.strength", "official_body", "entry_page", "background", "low", text.alias("summary"))
+
+
+def audit_section(decisions: DataFrame, by: str) -> DataFrame:
+    """(by, audit): the appendix of a task's decisions (pos, message, status_counts map), with counts by the name of the status."""
+    from factloom.functions.values import lookup
+
+    pairs = F.array_sort(F.transform(F.map_entries("status_counts"), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("n"))))
+    counts = F.array_join(F.transform(pairs, lambda p: F.concat(lookup(p["k"], VERDICT_LABELS, F.lit(VERDICT_LABELS["insufficient"])), F.lit(" "), p["n"].cast("string"), F.lit(" 条"))), "；")
+    line = F.concat(F.lit("- "), "message", F.when(F.size("status_counts") > 0, F.concat(F.lit("\n- 校验统计："), counts)).otherwise(""))
+    g = decisions.select(by, F.struct("pos", line.alias("line")).alias("x")).groupBy(by).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    head = "\n\n## 附录：处理记录\n\n以下记录用于解释为什么某些内容没有形成结论。"
+    return g.select(by, F.concat_ws("\n", F.lit(head), F.transform("x", lambda x: x["line"])).alias("audit"))

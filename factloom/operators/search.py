@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,11 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.sources.staging import staged
 
 #: The public Okapi parameters, and the fusion constant.
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
-#: Queries sent out at a time.
-QUERY_BLOCK = 2048
+#: Queries, and (query, term) pairs, sent out at a time; most documents without a query token that fill a query's list.
+QUERY_BLOCK, TERM_BLOCK, MOST_FILLER = 2048, 200_000, 1000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -146,25 +148,58 @@ def expand(q: Column, words: Column) -> Column:
 def bm25(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """(query_id, doc_id, score, rank): Okapi BM25 top k per query; documents without a query token score 0 and rank by id.
 
-    Postings of query terms only are kept (a semi join on the distinct terms before the counts), and sums are
-    combined before each shuffle.
+    Documents are tokenized once into a staged table. The query terms go out in blocks of at most `TERM_BLOCK` (query, term)
+    pairs, so what is sent has a fixed size; a task scores its documents in place and keeps k of them per query.
     """
-    bag = docs.select(F.col(doc_id), T.tokens(F.col(text_col)).alias("tokens"))
-    sizes = bag.select(doc_id, F.size("tokens").alias("dl"))
-    stats = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    tf = bag.select(doc_id, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy(doc_id, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(F.broadcast(stats)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # stats: one row
-    mean = raw.agg(F.avg("idf").alias("mean_idf"))
-    asked = queries.select(F.col(query_id), F.explode(T.tokens(F.col(text_col))).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    idf = raw.join(asked.select("term").distinct(), "term").crossJoin(F.broadcast(mean))  # mean: one row
-    idf = idf.select("term", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    post = tf.join(idf, "term")
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = post.join(asked, "term").groupBy(query_id, doc_id).agg(F.round(F.sum(F.col("qtf") * weight), 6).alias("score"))
+    spark = docs.sparkSession
+    bag = staged(docs.select(F.col(doc_id).alias("doc"), T.tokens(F.col(text_col)).alias("tokens")), "tokens")
+    n, avgdl = bag.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
+    terms = bag.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = staged(terms.withColumn("idf", F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))), "terms")
+    mean = terms.agg(F.avg("idf")).first()[0]
+    asked = queries.select(F.col(query_id).alias("query"), F.explode(T.tokens(F.col(text_col))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = asked.join(terms, "term").select("query", "term", (F.col("qtf") * F.when(F.col("idf") < 0, EPSILON * F.lit(mean)).otherwise(F.col("idf"))).alias("weight"))
+    asked = staged(asked, "asked")
+    blocks = max(1, -(-asked.count() // TERM_BLOCK))
+    kind = {f.name: f.dataType.simpleString() for f in asked.schema.fields + bag.schema.fields}
+    scored = None
+    for i in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i).toArrow()
+        wanted: dict[str, list[tuple]] = {}
+        for q, term, weight in zip(*(part.column(c).to_pylist() for c in ("query", "term", "weight")), strict=True):
+            wanted.setdefault(term, []).append((q, weight))
+        sent = spark.sparkContext.broadcast(wanted)
+
+        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            best: dict[object, list[tuple]] = {}
+            known = sent.value
+
+            def top(rows: list[tuple]) -> list[tuple]:
+                return sorted(rows)[: max(0, k)]
+
+            for batch in batches:
+                for doc, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    scores: dict[object, float] = {}
+                    for term, tf in Counter(filter(known.__contains__, tokens)).items():
+                        share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(tokens) / avgdl))
+                        for q, weight in known[term]:
+                            scores[q] = scores.get(q, 0.0) + weight * share
+                    for q, score in scores.items():
+                        rows = best.setdefault(q, [])
+                        rows.append((-round(score, 6), doc))
+                        if len(rows) > 4 * k + 64:
+                            best[q] = top(rows)
+            out = [(q, doc, -score) for q, rows in best.items() for score, doc in top(rows)]
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], part.schema.field("query").type), pa.array(cols[1], batch_type), pa.array(cols[2], pa.float64())], ["query", "doc", "score"])
+
+        batch_type = bag.limit(0).toArrow().schema.field("doc").type
+        hits = bag.mapInArrow(work, f"query {kind['query']}, doc {kind['doc']}, score double")
+        scored = hits if scored is None else scored.unionByName(hits)
+    scored = staged(scored, "scored").select(F.col("query").alias(query_id), F.col("doc").alias(doc_id), "score")
     # k unmatched documents per query are enough to fill its top k; with k matches they are never seen
-    first = docs.select(F.col(doc_id)).orderBy(doc_id).limit(k)
-    filler = queries.select(query_id).distinct().join(F.broadcast(first), F.lit(True)).select(query_id, doc_id, F.lit(0.0).alias("score"))
+    first = F.array(*[F.lit(r[0]) for r in bag.select("doc").where("doc IS NOT NULL").orderBy("doc").limit(min(max(k, 0), MOST_FILLER)).collect()])
+    filler = queries.select(query_id).distinct().select(query_id, F.explode(first).alias(doc_id), F.lit(0.0).alias("score"))
     filler = filler.join(scored.select(query_id, doc_id), [query_id, doc_id], "left_anti")
     ranked = scored.unionByName(filler).withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(doc_id))))
     return ranked.where(F.col("rank") <= k)
@@ -178,6 +213,41 @@ def fuse(ranked: DataFrame, query_id: str, doc_id: str, top: int = 30, k: int =
     return out.where(F.col("rank") <= top).select(query_id, doc_id, "rrf", "rank")
 
 
+def expanded(queries: DataFrame, query_id: str, text_col: str, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, part, text): each query's ordered distinct expansions, from the text itself (part 0) on."""
+    words = keywords(queries, query_id, text_col, stop_words=stop_words).groupBy(query_id).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("words"))
+    met = queries.select(query_id, text_col).join(words, query_id, "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    return met.select(query_id, F.posexplode(expand(F.col(text_col), F.col("words"))).alias("part", "text"))
+
+
+def reranked(hits: DataFrame, by: str, score: Column, k: int) -> DataFrame:
+    """The k hits of greatest `score` of each `by`, stable on their former rank."""
+    scored = hits.withColumn("score", F.round(score, 6)).withColumnRenamed("rank", "old")
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "old")))
+    return ranked.where(F.col("rank") <= k).drop("old")
+
+
+def hybrid(docs: DataFrame, queries: DataFrame, k: int, depth: int = 50, top: int = 30, reranker: str = "embedding", expand_queries: bool = True) -> DataFrame:
+    """(item_id, doc_id, score, rank) of queries (item_id, text, vector) over documents (doc_id, text, vector).
+
+    Each expansion of a query is searched by vector and by BM25 to `depth`; the lists are fused by reciprocal rank, and the
+    `top` of each query are reranked: by cosine, or by token recall for any other `reranker`. Expansions have their
+    query's vector. Documents or queries without a vector have no dense hits and a cosine of 0.
+    """
+    depth = max(depth, k)
+    parts = expanded(queries, "item_id", "text") if expand_queries else queries.select("item_id", F.lit(0).alias("part"), "text")
+    parts = staged(parts.select(F.struct("item_id", "part").alias("x"), "text").select((F.col("x.item_id") * 16 + F.col("x.part")).alias("part_id"), "x.item_id", "x.part", "text"), "parts")
+    vectors = docs.select(F.col("doc_id").alias("vec_id"), F.col("vector").alias("embedding"))
+    dense = batch_knn(vectors, queries.select(F.col("item_id").alias("vec_id"), F.col("vector").alias("embedding")), depth)
+    dense = parts.select("item_id", "part").join(dense.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "rank"), "item_id").select("item_id", F.col("part").alias("list_no"), "doc_id", "rank")
+    sparse = bm25(docs, parts, depth, query_id="part_id").join(parts.select("part_id", "item_id", "part"), "part_id")
+    sparse = sparse.select("item_id", (F.col("part") + 16).alias("list_no"), "doc_id", "rank")
+    fused = fuse(dense.unionByName(sparse), "item_id", "doc_id", top)
+    met = fused.select("item_id", "doc_id", "rank").join(docs.select("doc_id", F.col("text").alias("found"), F.col("vector").alias("theirs")), "doc_id").join(queries.select("item_id", F.col("text").alias("asked"), F.col("vector").alias("own")), "item_id")
+    score = F.coalesce(cosine(F.col("own"), F.col("theirs")), F.lit(0.0)) if reranker == "embedding" else overlap_recall(F.col("asked"), F.col("found"))
+    return reranked(met, "item_id", score, k).select("item_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+
+
 def overlap_recall(query: Column, text: Column) -> Column:
     """Share of the query's distinct tokens that the text has; 0 for a query without tokens."""
     q = T.token_set(query)

@@ -59,20 +59,105 @@ class TimeScope:
         return self.years or tuple(range(as_of - 1, as_of - 1 - (self.window or 0), -1))
 
 
+#: Phrases for one year, for this year, of exclusion, and of comparison.
+ONE_YEAR = "近一年|过去一年|过去1年|最近一年|上年|去年|当期|本报告期|最新(?:一期|财报|年报)|今年|本年度|当年"
+ONLY, COMPARING = "仅|只要|仅限|只看|专门|单独|不要其他年份", "对比|比较|变化|趋势|逐年|历年|各年|多年"
+
+
 def time_scope(question: str) -> TimeScope | None:
-    """Scope of a question, or None if it names no time."""
-    text = re.sub(r"\s+", "", question)
+    """Scope of a question, or None if it names no time. Years that a question names exclude others unless it compares or names over two."""
+    text = question.replace(" ", "")
     years = tuple(dict.fromkeys(int(y) for y in re.findall(r"20\d{2}", text)))
+    counted = re.search(r"近(\d{1,2})年", text) or re.search(f"近([{''.join(CHINESE_DIGITS)}])年", text)
     window = None
-    if m := re.search(r"最?近(\d{1,2}|[一二两三四五六七八九十])年", text):
-        window = int(m[1]) if m[1].isdigit() else CHINESE_DIGITS[m[1]]
-    elif re.search("最近一年|近一年|过去一年|上一年|去年|今年|本年度|当年", text):
+    if counted:
+        window = CHINESE_DIGITS.get(counted[1]) or int(counted[1])
+    elif re.search(ONE_YEAR, text):
         window = 1
-    if not years and window is None:
+    if window is None and not years:
         return None
-    window = None if window is None else min(10, max(1, window))
-    compares = re.search("对比|比较|相比|变化|趋势|至|到|-", text)
-    return TimeScope(years, window, bool(re.search("仅|只要|只看|只需", text)) or bool(years) and not compares and len(years) <= 2)
+    named = 0 < len(years) <= 2 and not re.search(COMPARING, text)
+    return TimeScope(years, window and min(10, max(1, window)), named or bool(re.search(ONLY, text)))
+
+
+def valid_scope(window: object, years: object, strict: object) -> TimeScope | None:
+    """Scope that a model inferred: the window held to 1..10, years to 1990..2100, anything else dropped."""
+    def number(x: object) -> int | None:
+        try:
+            return int(x)  # type: ignore[call-overload]
+        except (TypeError, ValueError):
+            return None
+
+    span = number(window)
+    good = tuple(dict.fromkeys(y for y in map(number, years if isinstance(years, list) else []) if y is not None and 1990 <= y <= 2100))
+    return None if span is None and not good else TimeScope(good, None if span is None else min(10, max(1, span)), bool(strict))
+
+
+def lookback_years(scope: TimeScope | None, default: int = 4) -> int:
+    """How many years back a search goes: the window and one more, or as many as reach the default."""
+    return default if scope is None or scope.window is None else max(scope.window + 1, 2)
+
+
+def in_scope(period: Column, years: tuple[int, ...]) -> Column:
+    """Whether a period lies in the years; a period without a year always does."""
+    year = F.regexp_extract(period, r"(20\d{2})", 1).try_cast("int")
+    return year.isNull() | year.isin(*years) if years else F.lit(True)
+
+
+def scope_rank(period: Column, years: tuple[int, ...]) -> Column:
+    """Sort key: in-scope periods first, then the newest."""
+    year = F.coalesce(F.regexp_extract(period, r"(20\d{2})", 1).try_cast("int"), F.lit(0))
+    return F.struct(F.when(year.isin(*years), 0).otherwise(1).alias("outside"), (-year).alias("age"))
+
+
+#: Order of families in answers.
+FAMILY_ORDER = ("rd", "revenue", "profit", "revenue_segment", "capacity", "business")
+
+
+def metric_family(metric: Column) -> Column:
+    """Family that a metric's own name puts it in."""
+    m = F.lower(F.coalesce(metric, F.lit("")))
+    return F.when(F.startswith(m, F.lit("r&d")), "rd").when(F.contains(m, F.lit("profit")), "profit").when(F.startswith(m, F.lit("revenue_segment")), "revenue_segment").when(m == "", "unknown").otherwise(m)
+
+
+def family_rank(metric: Column, claim: Column, wanted: Column) -> Column:
+    """Place of a fact's family among the wanted ones: its own place, 2 if it only touches one, else 9; 5 if none is wanted."""
+    own = metric_family(metric)
+    rank = F.when(F.size(wanted) == 0, 5)
+    for i, name in enumerate(FAMILY_ORDER):
+        rank = rank.when(F.array_contains(wanted, name) & F.startswith(own, F.lit(name.split("_")[0])), i)
+    return rank.when(in_families(metric, claim, wanted), 2).otherwise(9)
+
+
+def preferred_only(facts: DataFrame, by: str, wanted: Column) -> DataFrame:
+    """Facts (metric_name) without those that a better metric of their family makes needless, per `by`.
+
+    Total revenue drops segments where revenue but no structure is wanted; a family's preferred metric drops its others.
+    One grouped aggregate per `by` says which preferred metrics are there.
+    """
+    rows = facts.withColumn("wanted", wanted).withColumn("own", metric_family(F.col("metric_name")))
+    preferred = {f[0]: f[4] for f in FAMILIES}
+    here = rows.groupBy(by).agg(F.collect_set(F.when(F.col("metric_name").isin(*preferred.values()) | (F.col("own") == "revenue"), F.col("metric_name"))).alias("here"))
+    plain = F.array_contains("wanted", "revenue") & ~F.array_contains("wanted", "revenue_structure")
+    segment = plain & F.array_contains("here", "revenue") & (F.col("own") == "revenue_segment")
+    beaten = F.lit(False)
+    for name, best in preferred.items():
+        beaten = beaten | ((F.col("own") == name) & F.array_contains("wanted", name) & F.array_contains("here", best) & (F.coalesce("metric_name", F.lit("")) != best))
+    return rows.join(here, by).where(~segment & ~beaten).drop("wanted", "own", "here")
+
+
+def conflicted_fallback(verified: DataFrame, conflicted: DataFrame, by: str, wanted: Column, strict: Column) -> DataFrame:
+    """Verified facts, and for strict questions without any the conflicted ones of a wanted family, marked as such."""
+    first = verified.withColumn("conflicted", F.lit(False))
+    fits = conflicted.where(strict & (F.size(wanted) > 0) & in_families(F.col("metric_name"), F.col("claim"), wanted))
+    return first.unionByName(fits.join(verified.select(by).distinct(), by, "left_anti").withColumn("conflicted", F.lit(True)))
+
+
+def rank_verified(facts: DataFrame, by: str) -> DataFrame:
+    """Facts (disclosure_kind, published_at, confidence, pos) of each `by` in report order: kind of disclosure, newest, surest."""
+    kind = F.coalesce(V.lookup(F.col("disclosure_kind"), {"annual": 0, "semi_annual": 1, "interim": 2, "media": 3}), F.lit(2))
+    order = [kind, F.desc(F.coalesce(F.unix_timestamp("published_at"), F.lit(0))), F.desc(F.coalesce("confidence", F.lit(0.0))), F.asc("pos")]
+    return facts.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
 
 
 def quality(period: Column, value: Column, confidence: Column) -> Column:
@@ -110,10 +195,10 @@ def time_filter(facts: DataFrame, by: str, years: tuple[int, ...], strict: bool,
     return met.where(keep).drop("any_in", "spare", "in_scope", "year")
 
 
-def rank_answers(facts: DataFrame, by: str, years: tuple[int, ...], top: int = 8) -> DataFrame:
-    """Top facts per question: in-scope years, newest, model facts, quality."""
+def rank_answers(facts: DataFrame, by: str, years: tuple[int, ...], top: int = 8, wanted: Column | None = None) -> DataFrame:
+    """Top facts per question: in-scope years, newest, family (where `wanted` names some), model facts, quality."""
     year = F.coalesce(F.regexp_extract("period", r"(20\d{2})", 1).try_cast("int"), F.lit(0))
-    order = [F.when(year.isin(*years), 0).otherwise(1), F.desc(year), F.when(F.col("confidence") >= 1.0, 0).otherwise(1), F.desc("quality"), F.asc("pos")]
+    order = [F.when(year.isin(*years), 0).otherwise(1), F.desc(year), *([] if wanted is None else [family_rank(F.col("metric_name"), F.col("claim"), wanted)]), F.when(F.col("confidence") >= 1.0, 0).otherwise(1), F.desc("quality"), F.asc("pos")]
     return facts.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= top)
 
 
@@ -141,6 +226,12 @@ def grounded(evidence: DataFrame, by: str, top: int = 3, snippet: int = 300) ->
     return ranked.select(by, "rank", "source_id", redact(F.substring(F.regexp_replace("text", r"(?U)\s+", " "), 1, snippet)).alias("excerpt"))
 
 
+#: Lines about the task itself, claims of outside sources, and openings that are cut.
+META_LINES = ("根据您(的)?(要求|提供)", "请注意", "由于您提供", "(?i)INSUFFICIENT|VERIFIED|CONFLICTED", r"(?i)status\s*=", "以下(是|为).{0,12}(分析|观察)", "无法(得出|形成).{0,8}可靠结论", "建议以.{0,20}(为准|查阅)")
+EXTERNAL_CLAIM = "（来源[：:]|来源[：:][^）]{0,40}年?报|据.{0,8}年?报|巨潮|上交所|港交所"
+LEADS = "^(?:根据您的要求|基于当前报告)[，,]"
+
+
 def risk_lines(df: DataFrame, id_col: str, text_col: str, most: int = 5, limit: int = 220, least: int = 12) -> DataFrame:
     """(id, rank, line): lines freed of Markdown, long enough, cut, the first of each 48-character start, at most `most` a text."""
     lines = df.select(F.col(id_col), F.posexplode(F.split(F.col(text_col), r"\r?\n")).alias("pos", "raw"))
@@ -148,7 +239,10 @@ def risk_lines(df: DataFrame, id_col: str, text_col: str, most: int = 5, limit:
     for pattern in (r"^#{1,4}\s+", r"^[-*•]\s*", r"^\d+[.、．]\s*"):
         c = F.regexp_replace(c, pattern, "")
     c = F.regexp_replace(F.regexp_replace(c, r"\*{1,2}([^*]+)\*{1,2}", "$1"), r"^[ \-*\t]+|[ \-*\t]+$", "")
-    kept = lines.select(id_col, "pos", c.alias("line")).where(F.length("line") >= least).select(id_col, "pos", truncated(F.col("line"), limit).alias("line"))
+    line = F.col("line")
+    useful = ~line.rlike("|".join(META_LINES)) & (~line.rlike(EXTERNAL_CLAIM) | F.contains(line, F.lit("引用")))
+    kept = lines.select(id_col, "pos", c.alias("line")).where(F.length("line") >= least).where(useful)
+    kept = kept.withColumn("line", strip(F.regexp_replace("line", LEADS, ""))).select(id_col, "pos", truncated(F.col("line"), limit).alias("line"))
     firsts = kept.groupBy(id_col, F.substring("line", 1, 48).alias("start")).agg(F.min(F.struct("pos", "line")).alias("x")).select(id_col, "x.pos", "x.line")
     return firsts.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy("pos"))).where(F.col("rank") <= most).select(id_col, "rank", "line")
 

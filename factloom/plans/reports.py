@@ -89,9 +89,15 @@ def reference_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("page_id", "r.title", "r.url", scans.relevant("Acme", F.col("r.title"), F.col("r.url"), F.col("r.content")).alias("relevant"))
 
 
-@query("mock_sources", "SELECT r_name AS company, CAST(pos AS INTEGER) AS pos, ['annual_report', 'announcement', 'news'][pos + 1] AS source_type, r_name || ['年度报告', '公告', '新闻'][pos + 1] AS title, [0.96, 0.84, 0.68][pos + 1]::DOUBLE AS credibility FROM region, (SELECT unnest([0, 1, 2]) AS pos)")
+@query(
+    "mock_sources",
+    """
+SELECT r_name AS company, CAST(pos AS INTEGER) AS pos, 'other' AS source_type, '[MOCK 演示占位] ' || r_name || ' - ' || ['非真实年度报告', '非真实公告', '非真实新闻'][pos + 1] AS title,
+       'mock://local/' || r_name || '/placeholder-' || ['annual-report', 'announcement', 'news'][pos + 1] AS url, 0.61::DOUBLE AS credibility FROM region, (SELECT unnest([0, 1, 2]) AS pos)
+""",
+)
 def mock_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.mock_sources(table(spark, sf_dir, "region").select(F.col("r_name").alias("company")))
+    return scans.mock_sources(table(spark, sf_dir, "region").select(F.col("r_name").alias("company"))).select("company", "pos", "source_type", "title", "url", "credibility")
 
 
 @query(

@@ -147,40 +147,61 @@ def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where("rank <= 5").select("item_id", "doc_id", "overlap", "rank")
 
 
+EXPANDED = f"""
+words AS (SELECT item_id, token, count(*) AS hits, min(pos) AS first_pos FROM (SELECT item_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM (SELECT item_id, regexp_extract_all(text, '{TOKEN}') AS t FROM benchmark)) GROUP BY ALL),
+keyed AS (SELECT item_id, string_agg(token, ' ' ORDER BY hits DESC, first_pos) AS text FROM (SELECT * FROM words QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, first_pos) <= 8) GROUP BY item_id),
+pieces AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[？?；;]'), lambda x: trim(x)), lambda x: length(x) >= 6)[1:3] AS p FROM benchmark
+           WHERE length(text) >= 40 OR length(text) - length(regexp_replace(text, '[?？]', '', 'g')) >= 2),
+every AS (SELECT item_id, 0 AS part, trim(text) AS text FROM benchmark UNION ALL SELECT item_id, 1, text FROM keyed UNION ALL SELECT item_id, 1 + generate_subscripts(p, 1), unnest(p) FROM pieces),
+firsts AS (SELECT item_id, text, min(part) AS part FROM every WHERE text <> '' GROUP BY ALL),
+parts AS (SELECT item_id, text, row_number() OVER (PARTITION BY item_id ORDER BY part) - 1 AS part, item_id * 16 + row_number() OVER (PARTITION BY item_id ORDER BY part) - 1 AS part_id FROM firsts)
+"""
+HYBRID = f"""
+WITH {EXPANDED}, {BM25.replace("FROM benchmark", "FROM parts").replace("benchmark", "parts").replace("item_id", "part_id")},
+vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+near AS (SELECT b.item_id, e.vec_id AS doc_id, round(list_cosine_similarity(q.v, e.v), 6) AS score FROM benchmark b JOIN vectors q ON q.vec_id = b.item_id, vectors e WHERE e.vec_id IN (SELECT doc_id FROM documents)),
+dense AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM near QUALIFY rank <= 50),
+lists AS (SELECT item_id, part AS list_no, doc_id, rank FROM parts JOIN dense USING (item_id) UNION ALL SELECT item_id, part + 16, doc_id, rank FROM sparse JOIN parts USING (part_id)),
+g AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, min((list_no, rank)) AS seen FROM lists GROUP BY ALL),
+fused AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, seen, doc_id) AS old FROM g QUALIFY old <= 30)
+"""
+
+
 @query(
     "hybrid_search",
-    f"""
-WITH {BM25}, {RECALL},
-dense AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS rank
-          FROM (SELECT DISTINCT item_id, doc_id, round(len(list_intersect(qs, ds)) / greatest(len(qs), 1), 6) AS overlap FROM asked JOIN tf USING (term) JOIN sets USING (doc_id) JOIN qsets USING (item_id)) QUALIFY rank <= 50),
-lists AS (SELECT item_id, 1 AS list_no, doc_id, rank FROM dense UNION ALL SELECT item_id, 2, doc_id, rank FROM sparse),
-g AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, min((list_no, rank)) AS seen FROM lists GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, seen, doc_id) AS rank FROM g QUALIFY rank <= 30)
-SELECT item_id, r.doc_id, round(rrf, 6) AS score, CAST(rank AS INTEGER) AS rank, d.source FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE rank <= 5
+    HYBRID + """
+, s AS (SELECT f.item_id, f.doc_id, old, round(coalesce(list_cosine_similarity(q.v, e.v), 0.0), 6) AS cos FROM fused f LEFT JOIN vectors q ON q.vec_id = f.item_id LEFT JOIN vectors e ON e.vec_id = f.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY cos DESC, old) AS rank FROM s QUALIFY rank <= 5)
+SELECT item_id, r.doc_id, round(cos, 4) AS score, CAST(rank AS INTEGER) AS rank, d.source FROM r JOIN documents d ON d.doc_id = r.doc_id
 """,
 )
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 and token recall, each to depth 50, fused by reciprocal rank and joined to the source.
+    """Vectors and BM25 over each expansion of a query, fused, reranked by cosine and joined to the source.
 
-    Candidates of both lists come from shared terms (an equi-join), never from all pairs of queries and documents.
+    A document's vector is the one of its id, a query's that of its item; documents without one are found by words alone.
     """
-    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    sparse = S.bm25(docs, asked, 50).select("item_id", F.lit(2).alias("list_no"), "doc_id", "rank")
-    from factloom.functions.text import token_set
-
-    # recall needs lower-cased distinct tokens; candidates are documents that share a token in its own case
-    from factloom.functions.text import tokens
-
-    terms = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    wanted = asked.select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    pairs = terms.join(wanted, "term").select("item_id", "doc_id").distinct()
-    low_terms = docs.select("doc_id", F.explode(token_set(F.col("text"))).alias("term"))
-    low_wanted = asked.select("item_id", F.size(token_set(F.col("text"))).alias("size"), F.explode(token_set(F.col("text"))).alias("term"))
-    common = low_terms.join(low_wanted, "term").groupBy("item_id", "doc_id", "size").agg(F.count(F.lit(1)).alias("common"))
-    scored = common.join(pairs, ["item_id", "doc_id"], "left_semi").select("item_id", "doc_id", F.round(F.col("common") / F.greatest("size", F.lit(1)), 6).alias("overlap"))
-    dense = scored.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("overlap"), "doc_id"))).where("rank <= 50")
-    fused = S.fuse(dense.select("item_id", F.lit(1).alias("list_no"), "doc_id", "rank").unionByName(sparse), "item_id", "doc_id")
-    return fused.where("rank <= 5").join(docs.select("doc_id", "source"), "doc_id").select("item_id", "doc_id", F.round("rrf", 6).alias("score"), "rank", "source")
+    docs, asked = _with_vectors(spark, sf_dir)
+    return S.hybrid(docs, asked, 5).join(docs.select("doc_id", "source"), "doc_id").select("item_id", "doc_id", "score", "rank", "source")
+
+
+@query(
+    "hybrid_search_lexical",
+    HYBRID + f""", {RECALL},
+s AS (SELECT item_id, doc_id, old, round(len(list_intersect(qs, ds)) / greatest(len(qs), 1), 6) AS overlap FROM fused JOIN sets USING (doc_id) JOIN qsets USING (item_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, old) AS rank FROM s QUALIFY rank <= 5)
+SELECT item_id, doc_id, round(overlap, 4) AS score, CAST(rank AS INTEGER) AS rank FROM r
+""",
+)
+def hybrid_search_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search with the reranker that unknown backends fall back to."""
+    docs, asked = _with_vectors(spark, sf_dir)
+    return S.hybrid(docs, asked, 5, reranker="lexical")
+
+
+def _with_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    docs = table(spark, sf_dir, "documents").join(vectors, F.col("doc_id") == F.col("vec_id"), "left").select("doc_id", "text", "source", "vector")
+    return docs, table(spark, sf_dir, "benchmark").join(vectors, F.col("item_id") == F.col("vec_id"), "left").select("item_id", "text", "vector")
 
 
 @query(

@@ -14,7 +14,8 @@ from factloom.functions.values import LAYERS, host_in, host_of, layer_priority
 #: Boundaries and unread elements of readable text.
 BREAKS = frozenset("p br li tr h1 h2 h3".split())
 UNREAD = frozenset("script style noscript".split())
-SOURCE_TYPES = ("annual_report", "announcement", "government", "news", "hiring", "other")
+#: Types of sources.
+SOURCE_TYPES = ("annual_report", "announcement", "official_pdf", "official_disclosure_page", "news", "official_website", "government", "patent", "hiring", "other")
 
 
 def local_documents(spark: SparkSession, root: str, pattern: str = "*.{txt,md}") -> DataFrame:
@@ -149,7 +150,8 @@ def focus_windows(c: Column, words: tuple[str, ...], most: int = 20_000, head: i
 def ranked_announcements(catalog: DataFrame, years: tuple[int, ...] = (), strict: bool = False) -> DataFrame:
     """Primary annual and half-year reports of a catalog (url, title, published), one per URL, in the order they are read."""
     title = F.col("title")
-    rows = catalog.where(title.rlike("年度报告|半年度报告") & ~title.rlike("摘要|英文|取消|更正")).dropDuplicates(["url"])
+    rows = catalog.where(title.rlike("年度报告|半年度报告") & ~title.rlike("摘要|英文|取消|更正"))
+    rows = rows.groupBy("url").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "url"]), F.struct("published", "title")).alias("x")).select("url", "x.*")
     year = F.regexp_extract(title, r"(20\d{2})", 1).try_cast("int")
     if years and strict:
         rows = rows.where(year.isNull() | year.isin(*years))
@@ -191,8 +193,55 @@ def relevant(company: str, title: Column, url: Column, content: Column) -> Colum
     return ~text.rlike("|".join(BLOCKED)) & named & evident
 
 
+#: Titles, paths and figures of the made sources.
+MOCK_SCORE = 0.61
+MOCK = (
+    ("非真实年度报告", "placeholder-annual-report", "2024-04-25", "MOCK演示指标：2024年营收为100亿元，2024年净利润为10亿元，2024年研发投入为5亿元；"),
+    ("非真实公告", "placeholder-announcement", "2024-08-02", "MOCK演示指标：2024年营收为120亿元，2024年净利润为8亿元。"),
+    ("非真实新闻", "placeholder-news", "2025-01-10", "MOCK演示指标：2024年研发投入为5亿元。"),
+)
+
+
 def mock_sources(companies: DataFrame, name: str = "company") -> DataFrame:
-    """Three deterministic sources per company, for runs without a network."""
-    kinds = (("annual_report", "年度报告", 0.96), ("announcement", "公告", 0.84), ("news", "新闻", 0.68))
-    rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(k).alias("source_type"), F.concat(F.col(name), F.lit(t)).alias("title"), F.lit(s).alias("credibility")) for i, (k, t, s) in enumerate(kinds)])
+    """Three made sources per company, for runs without a network; their texts hold the figures alone, not the notices round them."""
+    c = F.col(name)
+    rows = F.array(*[
+        F.struct(
+            F.lit(i).alias("pos"), F.concat(F.lit("[MOCK 演示占位] "), c, F.lit(f" - {title}")).alias("title"), F.concat(F.lit("mock://local/"), c, F.lit(f"/{path}")).alias("url"),
+            F.lit("other").alias("source_type"), F.lit(day).cast("date").alias("published_at"), F.lit(text).alias("raw_content"), F.lit(MOCK_SCORE).alias("credibility"),
+        )
+        for i, (title, path, day, text) in enumerate(MOCK)
+    ])
     return companies.select(name, F.explode(rows).alias("s")).select(name, "s.*")
+
+
+def merged_text(snippet: Column, body: Column) -> Column:
+    """A reference's text: its body, after the snippet where the body doesn't hold it."""
+    s, b = normalize_lines(F.coalesce(snippet, F.lit(""))), normalize_lines(F.coalesce(body, F.lit("")))
+    return F.when((s != "") & (b != "") & ~F.contains(b, s), F.concat(s, F.lit("\n\n"), b)).when(b != "", b).otherwise(s)
+
+
+def sources_of_references(refs: DataFrame, company: str, allowed: tuple[str, ...] = ()) -> DataFrame:
+    """(title, url, source_type, layer, credibility, raw_content, fetched, pos) of (title, url, content, body, type, pos), best first by `rank`.
+
+    The first of each URL counts; other hosts than the allowed ones and irrelevant texts go. Without a title: a fixed one.
+    """
+    from factloom.functions.values import credibility, source_layer, source_type
+
+    rows = refs.where("coalesce(url, '') <> ''").withColumn("title", F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise("百度 AI 搜索引用"))
+    rows = rows.where(host_in(host_of(F.col("url")), allowed)) if allowed else rows
+    one = rows.groupBy("url").agg(F.min_by(F.struct("title", "content", "body", "type", "pos"), "pos").alias("x")).select("url", "x.*")
+    one = one.withColumn("raw_content", merged_text(F.col("content"), F.col("body")))
+    one = one.where(F.col("raw_content") != "").where(relevant(company, F.col("title"), F.col("url"), F.col("raw_content")))
+    return one.select(
+        "title", "url", source_type(F.col("title"), F.col("url"), F.col("type")).alias("source_type"), source_layer(F.col("title"), F.col("url")).alias("layer"),
+        credibility(F.col("title"), F.col("url")).alias("credibility"), "raw_content", (F.coalesce("body", F.lit("")) != "").alias("fetched"), "pos",
+    )
+
+
+def company_code(companies: DataFrame, asked: str) -> DataFrame:
+    """(code, name, exchange) of the listed company meant: code or name equal, else a name that holds the words or lies in them."""
+    name = F.col("name")
+    fit = F.when((F.col("code") == asked) | (name == asked), 0).when(F.contains(name, F.lit(asked)) | F.contains(F.lit(asked), name), 1)
+    exchange = F.when(F.substring("code", 1, 1).isin("6", "9"), "sse").when(F.substring("code", 1, 1).isin("4", "8"), "bse").otherwise("szse")
+    return companies.withColumn("fit", fit).where("fit IS NOT NULL").orderBy("fit", "code").limit(1).select("code", "name", exchange.alias("exchange"))
