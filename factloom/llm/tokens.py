@@ -80,17 +80,17 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian ids of each text, as bytes: of 32 bits, or of 16 in a narrow encoder whose vocabulary allows it."""
-        get = self.known.get
+        known, get = self.known, self.known.get
         words = [t.split() for t in texts]
         parts = [list(map(get, ws)) for ws in words]
         gaps = [i for i, found in enumerate(parts) if None in found]
         if gaps:
-            new = list({w for i in gaps for w, p in zip(words[i], parts[i], strict=True) if p is None})
-            fresh = self._fresh(new)
+            new = list(set().union(*(words[i] for i in gaps)).difference(known))
+            known.update(self._fresh(new))
             for i in gaps:
-                parts[i] = [fresh[w] if p is None else p for w, p in zip(words[i], parts[i], strict=True)]
-            for w in new[: max(0, CACHE_WORDS - len(self.known))]:
-                self.known[w] = fresh[w]
+                parts[i] = list(map(get, words[i]))
+            for w in new[: max(0, len(known) - CACHE_WORDS)]:
+                del known[w]
         return [b"".join(x) for x in parts]
 
 
