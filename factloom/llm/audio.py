@@ -11,9 +11,10 @@ broadcast is bounded), and each row is matched against a block through the block
 no shuffle, no pairs but the accepted ones. Equal integers in one task are matched once. Recall against comparing
 every offset of every pair is measured in the tests (0.9 at least).
 
-Null, empty or too short recordings: no integers, no match. Null ids: never a query, and left out of the result by
-recording. Repeated rows: pairs for each; by recording, rows of one id share one result
-over all their different media, each counted once.
+Null, empty or too short recordings: no integers, no match; so with media that can't be read (24-bit samples too).
+Null ids: never a query, and left out of the results by recording. Repeated rows: pairs for each; by recording, rows of
+one id share one result over all their different media, each counted once. Ties: offsets of equal error by votes, then the
+smaller. Very long recordings: whole. Empty table: empty result. Extra columns: ignored.
 """
 
 from __future__ import annotations
@@ -217,6 +218,18 @@ def find_recordings(prints: DataFrame, every: int = 20, min_overlap: int = MIN_O
     return _search(prints, every, min_overlap, max_error, block, True)
 
 
+def matches_by_recording(prints: DataFrame, every: int = 20, min_overlap: int = MIN_OVERLAP, max_error: float = MAX_ERROR, block: int = BLOCK) -> DataFrame:
+    """(rec_id, n_links, matches): one row per recording with the list of all queries that align with it, by query id.
+
+    A match is (query_id, offset, overlap, bit_error), as in `find_recordings`; none is left out, so lists grow with the queries.
+    """
+    prints = materialize(prints.where("rec_id IS NOT NULL"), "recordings")
+    found = find_recordings(prints, every, min_overlap, max_error, block)
+    lists = found.groupBy("rec_id").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("query_id", "offset", "overlap", "bit_error")))).alias("matches"))
+    rows = prints.select("rec_id").distinct().join(lists, "rec_id", "left")
+    return rows.select("rec_id", F.coalesce(F.size("matches"), F.lit(0)).alias("n_links"), F.coalesce("matches", F.array().cast(lists.schema["matches"].dataType)).alias("matches"))
+
+
 def _search(prints: DataFrame, every: int, min_overlap: int, max_error: float, block: int, pairs: bool) -> DataFrame:
     spark = prints.sparkSession
     prints = materialize(prints if pairs else prints.where("rec_id IS NOT NULL").dropDuplicates(["rec_id", "codes"]), "prints")

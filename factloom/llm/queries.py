@@ -38,10 +38,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixtures hold no media, so each vector of `embeddings` is heard as a melody (audio.tone_row).
 
-    One row per pair of a query, whose id 20 divides, and a recording that aligns with it.
+    One row per recording, with the list of the queries, whose ids 20 divides, that align with it.
     """
     prints = audio.audio_fingerprints(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", audio.tone_row)
-    return audio.find_recordings(prints)
+    return audio.matches_by_recording(prints)
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
