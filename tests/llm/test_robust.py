@@ -79,19 +79,3 @@ def test_targets_on_the_fixtures(spark):
 def test_odd_distances_are_refused(spark):
     with pytest.raises(ValueError, match="even"):
         simhash.close_links(spark.createDataFrame([(1,), (2,)], "fp long"), distance=3)
-
-
-def test_matches_by_recording_are_the_pairs(spark):
-    import numpy as np
-
-    from factloom.llm import audio
-
-    r = np.random.default_rng(4)
-    lines = [r.integers(0, 2**32, 120, dtype=np.uint32) for _ in range(6)]
-    rows = [(i, lines[i % 6][i % 7 :].astype("<u4").tobytes()) for i in range(60)] + [(None, lines[0].tobytes()), (61, b"")]
-    prints = spark.createDataFrame(rows, "rec_id long, codes binary")
-    pairs = Counter((x.query_id, x.rec_id, x.offset, x.overlap, x.bit_error) for x in audio.find_recordings(prints.where("rec_id IS NOT NULL")).collect())
-    got = audio.matches_by_recording(prints).collect()
-    assert sorted(x.rec_id for x in got) == [*range(60), 61] and pairs
-    assert Counter((m.query_id, x.rec_id, m.offset, m.overlap, m.bit_error) for x in got for m in x.matches) == pairs
-    assert all(x.n_links == len(x.matches) for x in got)
