@@ -11,9 +11,10 @@ broadcast is bounded), and each row is matched against a block through the block
 no shuffle, no pairs but the accepted ones. Equal integers in one task are matched once. Recall against comparing
 every offset of every pair is measured in the tests (0.9 at least).
 
-Null, empty or too short recordings: no integers, no match. Null ids: never a query, and left out of the result by
-recording. Repeated rows: pairs for each; by recording, rows of one id share one result
-over all their different media, each counted once.
+Null, empty or too short recordings: no integers, no match; so with media that can't be read (24-bit samples too).
+Null ids: never a query, and left out of the result by recording. Repeated rows: pairs for each; by recording, rows of
+one id share one result over all their different media, each counted once. Ties: offsets of equal error by votes, then the
+smaller. Very long recordings: whole. Empty table: empty result. Extra columns: ignored.
 """
 
 from __future__ import annotations

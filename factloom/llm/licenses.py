@@ -11,6 +11,7 @@ starts in steps of 1/32 of it after the first; from 256 on both in steps of 1/8.
 only where no licence is found. The SQL has no windows: its Dice is a lower bound.
 
 Null, empty or wordless text: no licence (null), dice 0. Ties: the smaller template name. Repeated rows: one result each.
+Very long texts: whole. Empty table: empty result. Extra columns: ignored.
 """
 
 from __future__ import annotations

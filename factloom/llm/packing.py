@@ -6,7 +6,9 @@ partial partitions with the largest imbalances are merged, large loads of one ag
 until one partition into k near-equal windows is left. If a window exceeds the capacity, k rises and the group is
 packed again. Groups bound memory and time per task at any corpus size and cost a fraction of a window each.
 
-Null or empty text: the end id alone. Null ids are kept. Repeated rows: packed once each. Empty table: empty result.
+Null or empty text: the end id alone. Null ids are kept. Ties and repeated rows: packed once each, in the order of length,
+id, place and checksum; rows alike in all of these share a group. Very long texts: whole, a piece for each window. Empty
+table: empty result. Extra columns: ignored.
 """
 
 from __future__ import annotations
