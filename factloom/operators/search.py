@@ -165,30 +165,36 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", qu
     scored = None
     for i in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i).toArrow()
-        wanted: dict[str, list[tuple]] = {}
+        names = sorted(set(part.column("query").to_pylist()))
+        places: dict[str, tuple[list[int], list[float]]] = {}
+        index = {q: i for i, q in enumerate(names)}
         for q, term, weight in zip(*(part.column(c).to_pylist() for c in ("query", "term", "weight")), strict=True):
-            wanted.setdefault(term, []).append((q, weight))
-        sent = spark.sparkContext.broadcast(wanted)
+            at, weights = places.setdefault(term, ([], []))
+            at.append(index[q])
+            weights.append(weight)
+        sent = spark.sparkContext.broadcast((names, {t: (np.array(x), np.array(w)) for t, (x, w) in places.items()}))
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, known = sent.value
             best: dict[object, list[tuple]] = {}
-            known = sent.value
+            least = np.full(len(names), -np.inf)  # what a document must reach to enter a query's list
 
             def top(rows: list[tuple]) -> list[tuple]:
                 return sorted(rows)[: max(0, k)]
 
             for batch in batches:
                 for doc, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    scores: dict[object, float] = {}
+                    scores = np.zeros(len(names))
                     for term, tf in Counter(filter(known.__contains__, tokens)).items():
-                        share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(tokens) / avgdl))
-                        for q, weight in known[term]:
-                            scores[q] = scores.get(q, 0.0) + weight * share
-                    for q, score in scores.items():
-                        rows = best.setdefault(q, [])
-                        rows.append((-round(score, 6), doc))
+                        at, weights = known[term]
+                        scores[at] += weights * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(tokens) / avgdl)))
+                    scores = np.round(scores, 6)
+                    for i in np.flatnonzero((scores != 0) & (scores >= least)).tolist():
+                        rows = best.setdefault(names[i], [])
+                        rows.append((-float(scores[i]), doc))
                         if len(rows) > 4 * k + 64:
-                            best[q] = top(rows)
+                            best[names[i]] = rows = top(rows)
+                            least[i] = -rows[-1][0] if rows else np.inf
             out = [(q, doc, -score) for q, rows in best.items() for score, doc in top(rows)]
             cols = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], part.schema.field("query").type), pa.array(cols[1], batch_type), pa.array(cols[2], pa.float64())], ["query", "doc", "score"])
