@@ -2,10 +2,12 @@
 
 Every line is judged on its own (symbols, navigation, boilerplate, punctuation); failing lines go; a
 document is rejected when its base rules fail or the failing lines hold more than `max_lost` of its words.
+A line without a sentence end, or with more than two thirds of its words after the last one, fails by punctuation.
 The work is one map over whole texts: no shuffle, memory bounded by one Arrow batch.
 
 Null or empty text: no words, so base_failed is true and kept false. Repeated rows: one result each.
-Extra columns: ignored. Very long texts: judged whole.
+Ties between repeated lines or windows: all count alike. Empty table: empty result. Extra columns: ignored, or handed
+through by `clean_documents`. Very long texts: judged whole.
 """
 
 from __future__ import annotations
@@ -25,16 +27,36 @@ SYMBOLS = b"#*$%&|<>"
 #: Sentence ends of the scripts met in web text.
 TERMINALS = ".!?…。！？；:;।؟۔"
 CLOSERS = "\"')]}»”’›」』）"
-#: Phrases of page furniture; a short line holding one is boilerplate.
+#: Phrases of page furniture in the languages of the corpus, in lower case; a short line holding one is boilerplate.
 BOILERPLATE = (
+    # English
     "accept all cookies", "we use cookies", "cookie policy", "privacy policy", "terms of service", "terms of use",
     "sign up for our newsletter", "subscribe to our", "enable javascript", "javascript is disabled", "click here to",
     "share on facebook", "share on twitter", "follow us on", "skip to content", "back to top", "lorem ipsum",
     "page not found", "all rights reserved",
+    # German
+    "alle cookies akzeptieren", "wir verwenden cookies", "diese website verwendet cookies", "datenschutzerklärung",
+    "allgemeine geschäftsbedingungen", "newsletter abonnieren", "bitte aktivieren sie javascript", "zum inhalt springen",
+    "nach oben scrollen", "seite nicht gefunden", "alle rechte vorbehalten",
+    # French
+    "accepter tous les cookies", "nous utilisons des cookies", "politique de confidentialité", "mentions légales",
+    "conditions générales d'utilisation", "abonnez-vous à notre", "veuillez activer javascript", "aller au contenu",
+    "retour en haut", "page introuvable", "tous droits réservés",
+    # Spanish
+    "aceptar todas las cookies", "utilizamos cookies", "política de privacidad", "política de cookies", "aviso legal",
+    "términos y condiciones", "suscríbete a nuestro", "habilite javascript", "saltar al contenido", "volver arriba",
+    "página no encontrada", "todos los derechos reservados",
 )
-NAVIGATION = re.compile(r"\s[|›»·•/>]\s|^\s*(?:home|menu|login|log in|sign in|search|next|previous)\s*$", re.I)
+#: Separators between links, or a line that is one word of a menu (English, German, French, Spanish).
+NAVIGATION = re.compile(
+    r"\s[|›»·•/>]\s|^\s*(?:home|menu|login|log in|sign in|search|next|previous"
+    r"|startseite|menü|anmelden|suche|weiter|zurück|accueil|connexion|rechercher|suivant|précédent"
+    r"|inicio|menú|iniciar sesión|buscar|siguiente|anterior)\s*$",
+    re.I,
+)
 
 _STRAY = bytes(range(0x80, 0xC0))
+_FURNITURE = re.compile("|".join(map(re.escape, BOILERPLATE)))
 _TERMINAL = re.compile(f"[{re.escape(TERMINALS)}][{re.escape(CLOSERS)}]*(?:\\s|$)")
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
@@ -71,13 +93,21 @@ def line_fails(line: bytes, n_words: int) -> str | None:
     text = line.decode("utf-8", "replace")
     if (cuts := len(NAVIGATION.findall(text))) and 3 * (cuts + 1) >= n_words:
         return "navigation"
-    if n_words <= 25 and any(p in text.lower() for p in BOILERPLATE):
+    if n_words <= 25 and _FURNITURE.search(text.lower()):
         return "boilerplate"
-    if n_words > 2 and not _TERMINAL.search(text):
+    if n_words > 2 and 3 * trailing_words(text) > 2 * n_words:
         return "punctuation"
     return None
 
 
+def trailing_words(text: str) -> int:
+    """Words of a line after its last sentence end: none in a whole sentence, all where no sentence ends."""
+    end = 0
+    for found in _TERMINAL.finditer(text):
+        end = found.end()
+    return len(text[end:].encode("utf-8", "replace").split())
+
+
 def judge(raw: bytes, max_lost: float) -> tuple[tuple, bytes]:
     """The contract's figures and verdict of one text, and the text without its failing lines."""
     words = raw.split()

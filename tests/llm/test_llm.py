@@ -94,6 +94,49 @@ def test_quality_rules_by_line():
     assert quality.judge((bad + "\nOnly this one stays.").encode(), 0.5)[0][6] is False
 
 
+    assert quality.line_fails(b"Mr. Smith Home Products Contact", 5) == "punctuation"
+    assert quality.line_fails("Wir verwenden Cookies für Ihren Besuch.".encode(), 6) == "boilerplate"
+    assert quality.line_fails("Politique de confidentialité du site.".encode(), 5) == "boilerplate"
+    assert quality.line_fails("Accueil".encode(), 1) == "navigation"
+
+
+def brute_line_fails(line):
+    words = re.findall(r"[^\x20\x09-\x0D]+", line)
+    n = len(words)
+    if n > 2 and 2 * sum(c in "#*$%&|<>" for c in line) > n:
+        return True
+    menu = line.strip().lower() in set(
+        "home menu login search next previous startseite menü anmelden suche weiter zurück accueil connexion rechercher suivant précédent inicio menú buscar siguiente anterior".split()
+    ) | {"log in", "sign in", "iniciar sesión"}
+    cuts, i = 0, 0
+    while i + 2 < len(line):
+        if line[i].isspace() and line[i + 1] in "|›»·•/>" and line[i + 2].isspace():
+            cuts, i = cuts + 1, i + 3
+        else:
+            i += 1
+    if menu or (cuts and 3 * (cuts + 1) >= n):
+        return True
+    if n <= 25 and any(p in line.lower() for p in quality.BOILERPLATE):
+        return True
+    after = n
+    for i, word in enumerate(words):
+        if word.rstrip("\"')]}»”’›」』）")[-1:] in set(".!?…。！？；:;।؟۔"):
+            after = n - i - 1
+    return n > 2 and 3 * after > 2 * n
+
+
+def test_quality_verdict_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    want = Counter()
+    for r in docs.collect():
+        lines = [x for x in (r.text or "").split("\n") if x.strip()]
+        lost = sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines if brute_line_fails(x))
+        figures = brute_quality(r.text)
+        want[(r.doc_id, not figures[5] and lost <= 0.5 * figures[0])] += 1
+    got = Counter((r.doc_id, r.kept) for r in quality.quality_rules(docs).collect())
+    assert got == want and {k for _, k in got} == {True, False}
+
+
 # op5
 
 
