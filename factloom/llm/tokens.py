@@ -6,7 +6,9 @@ import json
 import os
 import re
 import struct
+from collections.abc import Callable
 from functools import lru_cache
+from itertools import islice
 
 #: Words and runs of letters held by an encoder's caches; later ones are encoded anew. Bounds a worker's memory, changes no result.
 CACHE_WORDS = 500_000
@@ -28,6 +30,23 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Cache(dict):
+    """Ids by word: a word not held is made once by `make`. Look-ups stay in C, so texts need one pass."""
+
+    def __init__(self, make: Callable[[bytes], bytes]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.make(word)
+        return ids
+
+    def trim(self, most: int) -> None:
+        """Forget the words that came last, beyond `most`."""
+        for word in list(islice(reversed(self), max(0, len(self) - most))):
+            del self[word]
+
+
 class WordEncoder:
     """Ids of a tokenizers file whose pre-tokenizer drops white space, so words at ASCII white space are independent."""
 
@@ -38,60 +57,35 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
         self.width = 2 if narrow and self.size <= 1 << 16 else 4
-        self.known: dict[bytes, bytes] = {}
-        self.letters: dict[bytes, bytes] = {}
-        self.tails: dict[bytes, bytes] = {}
+        self.known, self.letters, self.rest = Cache(self._word), Cache(self._letters), Cache(self._whole)
         self.alphabet = byte_letters()
         spec = json.loads(self.library.to_str())
         steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         #: Plain words go to the model directly only under the rules that this relies on.
         self.direct = steps == ["NFC", "Replace", "Lowercase"] and spec["model"]["type"] == "BPE" and "[\\p{L}]+" in str(spec["pre_tokenizer"]).replace("\\\\", "\\")
 
-    def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words not yet known. Plain words are joined from the ids of their letters and their punctuation."""
-        out: dict[bytes, bytes] = {}
-        odd: list[tuple[bytes, str]] = []
-        letters, tails, model, alphabet, width = self.letters, self.tails, self.library.model, self.alphabet, self.width
-        for w in words:
-            m = _PLAIN.fullmatch(w) if self.direct else None
-            if m is None:
-                odd.append((w, w.decode("utf-8")))
-                continue
-            head, tail = m.groups()
-            head = head.lower() if head.isascii() else head.decode("utf-8").lower().encode("utf-8")
-            ids = letters.get(head)
-            if ids is None:
-                ids = as_ids([t.id for t in model.tokenize(head.decode("latin-1").translate(alphabet))], width)
-                if len(letters) < CACHE_WORDS:
-                    letters[head] = ids
-            if tail:
-                end = tails.get(tail)
-                if end is None:
-                    end = as_ids(self.library.encode(tail.decode(), add_special_tokens=False).ids, width)
-                    if len(tails) < CACHE_WORDS:
-                        tails[tail] = end
-                ids += end
-            out[w] = ids
-        for at in range(0, len(odd), 4096):
-            part = odd[at : at + 4096]
-            found = self.library.encode_batch_fast([t for _, t in part], add_special_tokens=False)
-            out.update((w, as_ids(f.ids, width)) for (w, _), f in zip(part, found, strict=True))
-        return out
+    def _whole(self, piece: bytes) -> bytes:
+        return as_ids(self.library.encode(piece.decode("utf-8"), add_special_tokens=False).ids, self.width)
+
+    def _letters(self, word: bytes) -> bytes:
+        return as_ids([t.id for t in self.library.model.tokenize(word.decode("latin-1").translate(self.alphabet))], self.width)
+
+    def _word(self, word: bytes) -> bytes:
+        """Ids of one word. Plain words are joined from the ids of their letters and their punctuation."""
+        plain = _PLAIN.fullmatch(word) if self.direct else None
+        if plain is None:
+            return self._whole(word)
+        head, tail = plain.groups()
+        ids = self.letters[head.lower() if head.isascii() else head.decode("utf-8").lower().encode("utf-8")]
+        return ids + self.rest[tail] if tail else ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian ids of each text, as bytes: of 32 bits, or of 16 in a narrow encoder whose vocabulary allows it."""
-        get = self.known.get
-        words = [t.split() for t in texts]
-        parts = [list(map(get, ws)) for ws in words]
-        gaps = [i for i, found in enumerate(parts) if None in found]
-        if gaps:
-            new = list({w for i in gaps for w, p in zip(words[i], parts[i], strict=True) if p is None})
-            fresh = self._fresh(new)
-            for i in gaps:
-                parts[i] = [fresh[w] if p is None else p for w, p in zip(words[i], parts[i], strict=True)]
-            for w in new[: max(0, CACHE_WORDS - len(self.known))]:
-                self.known[w] = fresh[w]
-        return [b"".join(x) for x in parts]
+        find = self.known.__getitem__
+        out = [b"".join(map(find, t.split())) for t in texts]
+        for held in (self.known, self.letters, self.rest):
+            held.trim(CACHE_WORDS)
+        return out
 
 
 @lru_cache(maxsize=2)
