@@ -32,6 +32,8 @@ BITS, SEED = 64, 42
 MAX_BUCKET = 1 << 16
 #: Near copies of the pipeline stage: least 5-word Jaccard, bands and minima to a band (a pair at 0.8 shares none of 20 bands in 3 of 100 000).
 SIMILAR, BANDS, BAND = 0.8, 20, 4
+#: Texts of a bucket that all others are compared with: the least, and others chosen anew in each band.
+HEADS = 3
 _MINS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -218,15 +220,22 @@ def _labels(base: DataFrame, distance: int) -> DataFrame:
     """(digest, fp, label) of each text of `base` (digest, text): texts of one component share the label.
 
     Links are fingerprints within `distance` bits and, between the components of these, texts of 5-word Jaccard at least
-    `SIMILAR`. Texts that share a band of minima meet; each is compared with the least of its bucket, in `BANDS` bands.
+    `SIMILAR`. Texts that share a band of minima meet in a bucket; each is compared with `HEADS` of them, in `BANDS` bands,
+    so a pair is missed where every bucket that it shares has other heads, all unlike one of the two.
     """
     found = materialize(_features(base).dropDuplicates(["digest"]), "features")
     fps = found.select("fp").distinct()
     members = connected_components(close_links(fps, distance)).withColumnRenamed("node", "fp")
     known = materialize(found.join(members, "fp", "left").select("digest", "fp", F.coalesce("component", "fp").alias("label"), "bands"), "labels")
     banded = known.select("digest", "label", F.posexplode("bands").alias("band", "key"))
-    heads = banded.groupBy("band", "key").agg(F.min(F.struct("label", "digest")).alias("head"), F.max("label").alias("top")).where("head.label <> top").select("band", "key", F.col("head.label").alias("a"), F.col("head.digest").alias("x"))
-    met = banded.join(heads, ["band", "key"]).where("label <> a").select("a", F.col("label").alias("b"), "x", F.col("digest").alias("y")).distinct()
+    least = F.min(F.struct("label", "digest")).alias("h0")
+    seeded = [F.min(F.struct(F.xxhash64("digest", "band", F.lit(i)).alias("by"), "label", "digest")).alias(f"h{i}") for i in range(1, HEADS)]
+    buckets = banded.groupBy("band", "key").agg(least, *seeded, F.max("label").alias("top")).where("h0.label <> top")
+    each = F.explode(F.array(*[F.struct(F.col(f"h{i}.label").alias("a"), F.col(f"h{i}.digest").alias("x")) for i in range(HEADS)]))
+    heads = buckets.select("band", "key", each.alias("head")).select("band", "key", "head.*")
+    ends = F.sort_array(F.array(F.struct(F.col("x").alias("of"), F.col("a").alias("label")), F.struct(F.col("digest").alias("of"), F.col("label").alias("label"))))
+    met = banded.join(heads, ["band", "key"]).where("label <> a").select(ends.alias("e"))
+    met = met.select(F.col("e")[0]["label"].alias("a"), F.col("e")[1]["label"].alias("b"), F.col("e")[0]["of"].alias("x"), F.col("e")[1]["of"].alias("y")).distinct()
     met = materialize(met, "met")
     needed = met.select(F.col("x").alias("digest")).union(met.select("y")).distinct()
     texts = materialize(base.select("digest", "text").join(needed, "digest", "left_semi").dropDuplicates(["digest"]), "texts")
