@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import audio, html_extract, huffman, licenses, mixing, packing, quality, simhash, substring, token_counts
+from factloom.llm import audio, clusters, html_extract, huffman, licenses, mixing, packing, phrases, pieces, quality, simhash, substring, token_counts
 from factloom.llm.common import read_table
 
 
@@ -56,6 +56,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.coded_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clusters.centroid_clusters(read_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 OP9_SQL = r"""
 WITH RECURSIVE sizes AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -97,8 +110,11 @@ FROM ranked r LEFT JOIN fill f ON r.source IS NOT DISTINCT FROM f.source AND r.s
 
 
 def queries() -> dict:
-    return {"op1_html": op1_html, "op2_substring": op2_substring, "op3_pack": op3_pack, "op4_huffman": op4_huffman, "op6_token_counts": op6_token_counts, "op5_simhash": op5_simhash, "op7_audio": op7_audio, "op8_licenses": op8_licenses, "op9_mix": op9_mix, "op10_quality": op10_quality}
+    return {
+        "op1_html": op1_html, "op2_substring": op2_substring, "op3_pack": op3_pack, "op4_huffman": op4_huffman, "op6_token_counts": op6_token_counts, "op5_simhash": op5_simhash,
+        "op7_audio": op7_audio, "op8_licenses": op8_licenses, "op9_mix": op9_mix, "op10_quality": op10_quality, "op11_phrases": op11_phrases, "op12_pieces": op12_pieces, "op13_clusters": op13_clusters,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_licenses": licenses.oracle(), "op9_mix": OP9_SQL}
+    return {"op8_licenses": licenses.oracle(), "op9_mix": OP9_SQL, "op11_phrases": phrases.oracle(), "op13_clusters": clusters.oracle()}
