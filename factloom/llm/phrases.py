@@ -30,7 +30,7 @@ from factloom.llm.common import as_bytes, drop_table, materialize, partitions, p
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text that a task looks at together; words that it keeps numbered.
-BLOCK_BYTES, MOST_WORDS, STRETCH = 6_000_000, 2_000_000, 4096
+BLOCK_BYTES, MOST_WORDS, STRETCH = 2_500_000, 500_000, 4096
 END = b"\xff"  # never part of UTF-8
 _FOLD = bytes(255 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPREAD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -51,7 +51,7 @@ class Words(dict):
 
     def numbers(self, text: bytes) -> np.ndarray:
         found = text.translate(_FOLD).replace(END, b" \xff ").split()
-        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        return np.fromiter(map(self.__getitem__, found), np.int32, len(found))
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
@@ -87,7 +87,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def sequence_hashes(words: np.ndarray, lang: str, longest: int) -> list[np.ndarray]:
-    """Hashes of the 1, 2, ... `longest`-word sequences that start at each word, from hashes of words; text ends aren't looked at."""
+    """Hashes of the 1, 2, ... `longest`-word sequences that start at each word, from hashes of words; ends of pieces aren't looked at."""
     out = [_mixed(words + np.uint64(xxh64_intdigest(lang.encode("utf-8"))))]
     for k in range(1, longest):
         out.append(_mixed(out[-1][: max(0, len(words) - k)] * _SPREAD + words[k:]))
