@@ -7,7 +7,7 @@ until one partition into k near-equal windows is left. If a window exceeds the c
 packed again. Groups bound memory and time per task at any corpus size and cost a fraction of a window each.
 
 Null or empty text: the end id alone. Null ids are kept. Ties and repeated rows: packed once each, in the order of length,
-id, place and checksum; rows alike in all of these share a group. Very long texts: whole, a piece for each window. Empty
+id, place and checksum; rows alike in all of these are dealt to groups by their number in their task. Very long texts: whole, a piece for each window. Empty
 table: empty result. Extra columns: ignored.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,20 +41,24 @@ def cuts(n: int, capacity: int, unit: int) -> list[tuple[int, int]]:
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, unit: int = UNIT, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): every piece of every document."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, unit: int = UNIT, end_id: int = END_ID, with_ids: bool = False, numbered: bool = False) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens[, ids][, nth]): every piece of every document; nth: rows of its id and ids before it in its task."""
     spec = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     end = np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
+        seen: Counter[tuple] = Counter()
         for batch in batches:
-            texts = [t or b"" for t in as_bytes(batch.column(1))]
+            texts, names = [t or b"" for t in as_bytes(batch.column(1))], batch.column(0).to_pylist() if numbered else []
             for s, e in grouped(texts):
-                at, start, length, crc, total, ids = [], [], [], [], [], []
+                at, start, length, crc, total, ids, nth = [], [], [], [], [], [], []
                 for i, data in enumerate(encoder.encode(texts[s:e]), s):
                     data += end
                     n = len(data) // 4
+                    if numbered:
+                        row = (names[i], n, zlib.crc32(data))
+                        seen[row] += 1
                     for a, k in cuts(n, capacity, unit):
                         piece = data[4 * a : 4 * (a + k)]
                         at.append(i)
@@ -63,11 +68,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, unit: int
                         total.append(n)
                         if with_ids:
                             ids.append(piece)
+                        if numbered:
+                            nth.append(seen[row] - 1)
                 arrays = [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-                yield pa.RecordBatch.from_arrays(arrays + [pa.array(ids, pa.binary())] * with_ids, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
+                arrays += [pa.array(ids, pa.binary())] * with_ids + [pa.array(nth, pa.int64())] * numbered
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids + ["nth"] * numbered)
 
     kind = spec.schema["doc_id"].dataType.simpleString()
-    return spec.mapInArrow(work, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
+    return spec.mapInArrow(work, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids + ", nth long" * numbered)
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -141,9 +149,10 @@ def windows_of(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def pack_sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, unit: int = UNIT, end_id: int = END_ID, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) per piece."""
     spark = docs.sparkSession
-    rows = materialize(pieces(docs, tokenizer, capacity, unit, end_id), "pieces")
+    rows = materialize(pieces(docs, tokenizer, capacity, unit, end_id, numbered=True), "pieces")
     groups = max(1, -(-rows.count() // group_pieces))
-    spread = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).alias("group")
+    # rows alike in all that they hold go to different groups by their number
+    spread = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "nth"), F.lit(groups)).alias("group")
 
     def pack(table: pa.Table) -> pa.Table:
         order = pa.compute.sort_indices(table, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
@@ -161,5 +170,5 @@ def pack_sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, un
         sequence = pa.array((table.column("group").to_numpy() << 32) + window[by])
         return table.drop_columns(["group"]).append_column("sequence_id", sequence).append_column("offset", pa.array(ends - sizes[by] - base))
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", sequence_id long, offset long"
-    return rows.select("*", spread).repartition(partitions(spark), "group").groupBy("group").applyInArrow(pack, schema)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "nth") + ", sequence_id long, offset long"
+    return rows.select(*[c for c in rows.columns if c != "nth"], spread).repartition(partitions(spark), "group").groupBy("group").applyInArrow(pack, schema)

@@ -25,3 +25,23 @@ def test_pairs_meet_beside_the_least_of_a_bucket(spark):
     got = simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert 8 < len(set(group)) < len(texts)
     assert sorted(r.doc_id for r in got.collect()) == sorted(min(i for i, g in enumerate(group) if g == x) for x in set(group))
+
+
+def test_repeated_rows_are_packed_in_several_groups(spark):
+    """A third of all rows alike, without an id: they don't meet in one group."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from factloom.llm import packing
+
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one and the same text").alias("text"))
+    packed = packing.pack_sequences(docs, public_tokenizers.path("word_bpe_49k.json"), group_pieces=256)
+    rows = packed.select("sequence_id", "offset", "length", (F.col("sequence_id") / F.lit(1 << 32)).cast("long").alias("group")).collect()
+    sizes = [sum(r["group"] == g for r in rows) for g in {r["group"] for r in rows}]
+    assert len(rows) == 3000 and len(sizes) >= 10 and max(sizes) < 3 * 256
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for spans in by.values():
+        spans.sort()
+        assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False)) and sum(spans[-1]) <= 2048
