@@ -60,10 +60,10 @@ def applied(c: Column, found: Column) -> Column:
 
 
 def ungrounded(c: Column) -> Column:
-    """Answers with a suspicious phrase, a denial, or two or more of the engine's own words."""
+    """Answers with a suspicious phrase, a denial, or two or more of the engine's own words, in their own case."""
     text = F.coalesce(c, F.lit(""))
     odd = F.lit(False)
     for p in SUSPICIOUS:
         odd = odd | F.contains(text, F.lit(p))
-    words = sum((F.contains(F.lower(text), F.lit(w)).cast("int") for w in ENGINE_WORDS), F.lit(0))
+    words = sum((F.contains(text, F.lit(w)).cast("int") for w in ENGINE_WORDS), F.lit(0))
     return odd | text.rlike(DENIALS) | (words >= 2)

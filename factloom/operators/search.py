@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
-from factloom.sources.staging import staged
+from factloom.operators.segments import SegmentIndex
+from factloom.sources.staging import shared_folder, staged
 
-#: The public Okapi parameters, and the fusion constant.
-K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
-#: Queries, and (query, term) pairs, sent out at a time; most documents without a query token that fill a query's list.
-QUERY_BLOCK, TERM_BLOCK, MOST_FILLER = 2048, 200_000, 1000
+#: Fixed value: the fusion constant.
+RRF_K = 60
+#: Queries sent out at a time.
+QUERY_BLOCK = 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -146,69 +147,14 @@ def expand(q: Column, words: Column) -> Column:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(query_id, doc_id, score, rank): Okapi BM25 top k per query; documents without a query token score 0 and rank by id.
+    """(query_id, doc_id, score, rank): exact Okapi BM25 top k per query, through a segment index made for this call.
 
-    Documents are tokenized once into a staged table. The query terms go out in blocks of at most `TERM_BLOCK` (query, term)
-    pairs, so what is sent has a fixed size; a task scores its documents in place and keeps k of them per query.
+    Documents without a query token score 0, below positive and above negative scores; ties rank by id. A corpus that is
+    searched more than once keeps its index (`segments.SegmentIndex`).
     """
-    spark = docs.sparkSession
-    bag = staged(docs.select(F.col(doc_id).alias("doc"), T.tokens(F.col(text_col)).alias("tokens")), "tokens")
-    n, avgdl = bag.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
-    terms = bag.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms = staged(terms.withColumn("idf", F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))), "terms")
-    mean = terms.agg(F.avg("idf")).first()[0]
-    asked = queries.select(F.col(query_id).alias("query"), F.explode(T.tokens(F.col(text_col))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    asked = asked.join(terms, "term").select("query", "term", (F.col("qtf") * F.when(F.col("idf") < 0, EPSILON * F.lit(mean)).otherwise(F.col("idf"))).alias("weight"))
-    asked = staged(asked, "asked")
-    blocks = max(1, -(-asked.count() // TERM_BLOCK))
-    kind = {f.name: f.dataType.simpleString() for f in asked.schema.fields + bag.schema.fields}
-    scored = None
-    for i in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i).toArrow()
-        names = sorted(set(part.column("query").to_pylist()))
-        places: dict[str, tuple[list[int], list[float]]] = {}
-        index = {q: i for i, q in enumerate(names)}
-        for q, term, weight in zip(*(part.column(c).to_pylist() for c in ("query", "term", "weight")), strict=True):
-            at, weights = places.setdefault(term, ([], []))
-            at.append(index[q])
-            weights.append(weight)
-        sent = spark.sparkContext.broadcast((names, {t: (np.array(x), np.array(w)) for t, (x, w) in places.items()}))
-
-        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, known = sent.value
-            best: dict[object, list[tuple]] = {}
-            least = np.full(len(names), -np.inf)  # what a document must reach to enter a query's list
-
-            def top(rows: list[tuple]) -> list[tuple]:
-                return sorted(rows)[: max(0, k)]
-
-            for batch in batches:
-                for doc, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    scores = np.zeros(len(names))
-                    for term, tf in Counter(filter(known.__contains__, tokens)).items():
-                        at, weights = known[term]
-                        scores[at] += weights * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(tokens) / avgdl)))
-                    scores = np.round(scores, 6)
-                    for i in np.flatnonzero((scores != 0) & (scores >= least)).tolist():
-                        rows = best.setdefault(names[i], [])
-                        rows.append((-float(scores[i]), doc))
-                        if len(rows) > 4 * k + 64:
-                            best[names[i]] = rows = top(rows)
-                            least[i] = -rows[-1][0] if rows else np.inf
-            out = [(q, doc, -score) for q, rows in best.items() for score, doc in top(rows)]
-            cols = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], part.schema.field("query").type), pa.array(cols[1], batch_type), pa.array(cols[2], pa.float64())], ["query", "doc", "score"])
-
-        batch_type = bag.limit(0).toArrow().schema.field("doc").type
-        hits = bag.mapInArrow(work, f"query {kind['query']}, doc {kind['doc']}, score double")
-        scored = hits if scored is None else scored.unionByName(hits)
-    scored = staged(scored, "scored").select(F.col("query").alias(query_id), F.col("doc").alias(doc_id), "score")
-    # k unmatched documents per query are enough to fill its top k; with k matches they are never seen
-    first = F.array(*[F.lit(r[0]) for r in bag.select("doc").where("doc IS NOT NULL").orderBy("doc").limit(min(max(k, 0), MOST_FILLER)).collect()])
-    filler = queries.select(query_id).distinct().select(query_id, F.explode(first).alias(doc_id), F.lit(0.0).alias("score"))
-    filler = filler.join(scored.select(query_id, doc_id), [query_id, doc_id], "left_anti")
-    ranked = scored.unionByName(filler).withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(doc_id))))
-    return ranked.where(F.col("rank") <= k)
+    kind = docs.schema[doc_id].dataType.simpleString()
+    index = SegmentIndex(docs.sparkSession, f"{shared_folder(docs.sparkSession)}/factloom/index-{uuid.uuid4().hex}", kind).add(docs, doc_id, text_col)
+    return index.search(queries, k, query_id, text_col, doc_id)
 
 
 def fuse(ranked: DataFrame, query_id: str, doc_id: str, top: int = 30, k: int = RRF_K) -> DataFrame:

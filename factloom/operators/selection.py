@@ -59,9 +59,10 @@ class TimeScope:
         return self.years or tuple(range(as_of - 1, as_of - 1 - (self.window or 0), -1))
 
 
-#: Phrases for one year, for this year, of exclusion, and of comparison.
+#: Phrases for one year, for this year, of exclusion, of comparison, and of exclusion beside a window of one year.
 ONE_YEAR = "近一年|过去一年|过去1年|最近一年|上年|去年|当期|本报告期|最新(?:一期|财报|年报)|今年|本年度|当年"
 ONLY, COMPARING = "仅|只要|仅限|只看|专门|单独|不要其他年份", "对比|比较|变化|趋势|逐年|历年|各年|多年"
+NOT_MANY = "不要.*(?:多年|历年)"
 
 
 def time_scope(question: str) -> TimeScope | None:
@@ -77,7 +78,8 @@ def time_scope(question: str) -> TimeScope | None:
     if window is None and not years:
         return None
     named = 0 < len(years) <= 2 and not re.search(COMPARING, text)
-    return TimeScope(years, window and min(10, max(1, window)), named or bool(re.search(ONLY, text)))
+    window = window and min(10, max(1, window))
+    return TimeScope(years, window, named or bool(re.search(ONLY, text)) or (window == 1 and bool(re.search(NOT_MANY, text))))
 
 
 def valid_scope(window: object, years: object, strict: object) -> TimeScope | None:
@@ -100,7 +102,7 @@ def lookback_years(scope: TimeScope | None, default: int = 4) -> int:
 
 def in_scope(period: Column, years: tuple[int, ...]) -> Column:
     """Whether a period lies in the years; a period without a year always does."""
-    year = F.regexp_extract(period, r"(20\d{2})", 1).try_cast("int")
+    year = F.regexp_extract(F.coalesce(period, F.lit("")), r"(20\d{2})", 1).try_cast("int")
     return year.isNull() | year.isin(*years) if years else F.lit(True)
 
 
@@ -176,23 +178,20 @@ def one_per_period(facts: DataFrame, keys: list[str]) -> DataFrame:
     return facts.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("x")).select(*keys, "x.*")
 
 
-def time_filter(facts: DataFrame, by: str, years: tuple[int, ...], strict: bool, trend: bool = False) -> DataFrame:
-    """Facts in the preferred years; strict scopes keep only those if there are any, others keep one newest fact besides.
+def time_filter(facts: DataFrame, by: str, years: tuple[int, ...], strict: bool, trend: bool = False, window: int | None = None) -> DataFrame:
+    """Facts of the preferred years, per `by`; facts without a year count as in them. A group without any keeps all its facts.
 
-    Whether a group has in-scope facts, and its newest other fact, come from one aggregate per group.
+    Strict scopes, scopes of one year, and trends over several keep only those; others keep the first other fact (by `pos`)
+    besides. No preferred years: all facts. What a group has comes from one aggregate per group.
     """
-    year = F.regexp_extract("period", r"(20\d{2})", 1).try_cast("int")
-    rows = facts.withColumn("in_scope", F.coalesce(year.isin(*years), F.lit(False))).withColumn("year", year)
-    outside = F.when(~F.col("in_scope"), F.struct((-F.coalesce(F.col("year"), F.lit(0))).alias("y"), F.col("pos").alias("p")))
-    g = rows.groupBy(by).agg(F.bool_or("in_scope").alias("any_in"), F.min(outside).alias("spare"))
+    if not years:
+        return facts
+    rows = facts.withColumn("in_scope", in_scope(F.col("period"), years))
+    g = rows.groupBy(by).agg(F.bool_or("in_scope").alias("any_in"), F.min(F.when(~F.col("in_scope"), F.col("pos"))).alias("spare"))
     met = rows.join(g, by)
-    if trend:
-        keep = F.col("in_scope")
-    elif strict:
-        keep = F.col("in_scope") | ~F.col("any_in")
-    else:
-        keep = F.col("in_scope") | (F.col("pos") == F.col("spare.p"))
-    return met.where(keep).drop("any_in", "spare", "in_scope", "year")
+    alone = strict or window == 1 or (trend and (window or 0) > 1)
+    beside = F.lit(False) if alone else F.coalesce(F.col("pos") == F.col("spare"), F.lit(False))
+    return met.where(F.col("in_scope") | ~F.col("any_in") | beside).drop("any_in", "spare", "in_scope")
 
 
 def rank_answers(facts: DataFrame, by: str, years: tuple[int, ...], top: int = 8, wanted: Column | None = None) -> DataFrame:
@@ -219,11 +218,47 @@ def truncated(c: Column, limit: int) -> Column:
     return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.regexp_replace(F.substring(c, 1, limit - 1), r"(?U)\s+$", ""), F.lit("…")))
 
 
+#: The parts of a grounded section.
+SECTION_TITLE, LAST_LINE = "证据摘录", "以上摘自原始披露片段，是否采纳须结合上文核对结果判断。"
+NO_EVIDENCE = ("围绕问题“", "”，当前检索结果证据不足，还不够支撑细化结论。建议补充公开披露正文、公告或年报后再检索。")
+NONE_SHOWN = ("围绕问题“", "”，当前未选入可展示的证据摘录。")
+FIRST_LINE = ("与问题「", "」相关的公开资料摘录如下（供回查，不构成结论）：")
+
+
+def excerpt(text: Column, snippet: int = 300) -> Column:
+    """A text on one line, cut with `...`, redacted."""
+    line = F.replace(strip(F.coalesce(text, F.lit(""))), F.lit("\n"), F.lit(" "))
+    return redact(F.when(F.length(line) > snippet, F.concat(F.substring(line, 1, snippet), F.lit("..."))).otherwise(line))
+
+
 def grounded(evidence: DataFrame, by: str, top: int = 3, snippet: int = 300) -> DataFrame:
-    """(by, rank, source_id, excerpt): best evidence by layer, credibility and score, cut and redacted."""
-    order = [F.desc(V.layer_priority(F.col("layer"))), F.desc_nulls_last("credibility"), F.desc("score"), F.asc("source_id")]
+    """(by, rank, ..., excerpt): best evidence by layer, credibility and score, ties by `pos`, with its excerpt instead of its text."""
+    order = [F.desc(V.layer_priority(F.col("layer"))), F.desc(F.coalesce("credibility", F.lit(0.0))), F.desc("score"), F.asc("pos")]
     ranked = evidence.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= top)
-    return ranked.select(by, "rank", "source_id", redact(F.substring(F.regexp_replace("text", r"(?U)\s+", " "), 1, snippet)).alias("excerpt"))
+    return ranked.withColumn("excerpt", excerpt(F.col("text"), snippet)).drop("text")
+
+
+def grounded_sections(questions: DataFrame, evidence: DataFrame, by: str, top: int = 3, snippet: int = 300) -> DataFrame:
+    """(by, title, content, citations) of questions (by, query) over evidence (by, source_id, chunk_id, source_title, url, layer, credibility, score, pos, text).
+
+    Numbered excerpts and one citation for each (source, chunk), in order. Without evidence the section says so and cites
+    nothing. A blank question, or a forbidden term anywhere in the finished text, fails the job.
+    """
+    picked = grounded(evidence, by, top, snippet)
+    line = F.concat(F.col("rank").cast("string"), F.lit(". 《"), F.coalesce("source_title", F.lit("")), F.lit("》："), F.col("excerpt"))
+    cited = F.struct("rank", line.alias("line"), F.struct("source_id", "chunk_id", "url", F.col("source_title").alias("title")).alias("citation"))
+    lists = picked.groupBy(by).agg(F.array_sort(F.collect_list(cited)).alias("_items"))
+    some = evidence.select(by).distinct().withColumn("_any", F.lit(True))
+    met = questions.select(by, strip(F.col("query")).alias("_q")).join(lists, by, "left").join(some, by, "left")
+    wrap = lambda parts: F.concat(F.lit(parts[0]), F.col("_q"), F.lit(parts[1]))
+    shown = F.array_join(F.concat(F.array(wrap(FIRST_LINE), F.lit("")), F.transform("_items", lambda x: x["line"]), F.array(F.lit(""), F.lit(LAST_LINE))), "\n")
+    content = F.when(F.col("_any").isNull(), wrap(NO_EVIDENCE)).when(F.col("_items").isNull(), wrap(NONE_SHOWN)).otherwise(shown)
+    bad = F.greatest(*[F.contains(content, F.lit(t)) for t in FORBIDDEN])
+    checked = F.when(F.coalesce(F.col("_q"), F.lit("")) == "", F.raise_error(F.lit("a question may not be blank"))).when(bad, F.raise_error(F.lit("a grounded section holds a forbidden term"))).otherwise(content)
+    keyed = F.transform(F.coalesce("_items", F.array().cast(lists.schema["_items"].dataType)), lambda x: x["citation"])
+    pair = lambda c: F.struct(c["source_id"], c["chunk_id"])
+    first = F.filter(keyed, lambda c, i: F.array_position(F.transform(keyed, pair), pair(c)) == i + 1)
+    return met.select(by, F.lit(SECTION_TITLE).alias("title"), checked.alias("content"), first.alias("citations"))
 
 
 #: Lines about the task itself, claims of outside sources, and openings that are cut.

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from dataclasses import dataclass, field
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import strip
 from factloom.operators import chunking
+from factloom.operators.inverted import InvertedFile
 from factloom.operators.search import batch_knn, hash_embedding
+from factloom.sources.staging import shared_folder
 
 #: Order of each table's rows inside a task.
 TASK_ORDER = {"sources": ("created_at", "source_id"), "chunks": ("source_id", "chunk_index"), "facts": ("created_at", "fact_id"), "verdicts": ("created_at", "fact_id")}
@@ -100,28 +102,10 @@ def knn_of_json(vectors: DataFrame, queries: DataFrame, k: int, dimension: int,
     return batch_knn(parsed(vectors), parsed(queries), k)
 
 
-def approximate_knn(vectors: DataFrame, queries: DataFrame, k: int, bands: int = 16, bits: int = 6, seed: int = 17, dimension: int = 64) -> DataFrame:
-    """(query_id, vec_id, score, rank): cosine top k among vectors that share the signs of a band of random projections.
-
-    Projections are literals, so hashing and scoring stay built in; vectors meet queries on (band, signs), an equi-join.
-    """
-    import numpy as np
-
-    from factloom.operators.search import cosine, dot
-
-    planes = np.random.default_rng(seed).normal(size=(bands, bits, dimension)).round(4)
-
-    def keyed(df: DataFrame, names: tuple[str, str]) -> DataFrame:
-        def signs(band: int) -> Column:
-            tests = [F.when(dot(F.col(names[1]), F.array(*map(F.lit, p.tolist()))) > 0, 1 << i).otherwise(0) for i, p in enumerate(planes[band])]
-            return F.struct(F.lit(band).alias("band"), reduce(lambda a, b: a + b, tests).alias("signs"))
-
-        return df.select(*names, F.explode(F.array(*map(signs, range(bands)))).alias("x")).select(*names, "x.*")
-
-    asked = keyed(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q")), ("query_id", "q"))
-    rows = keyed(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")), ("vec_id", "v"))
-    met = rows.join(asked, ["band", "signs"]).select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score")).distinct()
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+def approximate_knn(vectors: DataFrame, queries: DataFrame, k: int, recall: float = 0.98) -> DataFrame:
+    """(query_id, vec_id, score, rank): cosine top k through an inverted file fitted for this call; a corpus searched more than once keeps its file."""
+    path = f"{shared_folder(vectors.sparkSession)}/factloom/vectors-{uuid.uuid4().hex}"
+    return InvertedFile(vectors.sparkSession, path).fit(vectors, recall=recall, k=max(1, k)).search(queries, k)
 
 
 @dataclass

@@ -27,15 +27,28 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 LIST = ", ".join(map(str, YEARS))
 
 
-@query(
-    "time_filter",
-    f"""
-WITH {ROWS}, m AS (SELECT *, CAST(period AS INTEGER) IN ({LIST}) AS inside, row_number() OVER (PARTITION BY company, CAST(period AS INTEGER) IN ({LIST}) ORDER BY CAST(period AS INTEGER) DESC, pos) AS k FROM rows)
-SELECT company, period, value, pos FROM m WHERE inside OR k = 1
-""",
-)
+#: Orders' yearly facts by customer: the years differ from customer to customer, and every seventh fact has no year.
+CUSTOMER_FACTS = "cf AS (SELECT o_custkey AS company, CASE WHEN o_orderkey % 7 = 0 THEN '最近' ELSE CAST(year(o_orderdate) + 20 AS VARCHAR) || '年' END AS period, o_orderkey AS pos FROM orders)"
+TIME_FILTER = f"""
+WITH {CUSTOMER_FACTS}, m AS (SELECT *, period = '最近' OR left(period, 4) IN ('2015', '2016') AS inside FROM cf),
+o AS (SELECT *, bool_or(inside) OVER (PARTITION BY company) AS has_any, row_number() OVER (PARTITION BY company, inside ORDER BY pos) AS k FROM m)
+SELECT company, period, pos FROM o WHERE NOT has_any OR inside"""
+
+
+def customer_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    period = F.when(F.col("o_orderkey") % 7 == 0, "最近").otherwise(F.concat((F.year("o_orderdate") + 20).cast("string"), F.lit("年")))
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("company"), period.alias("period"), F.col("o_orderkey").alias("pos"))
+
+
+@query("time_filter", TIME_FILTER + " OR k = 1")
 def time_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.time_filter(rows(spark, sf_dir), "company", YEARS, strict=False).select("company", "period", "value", "pos")
+    """Soft scope: the years asked for and the first other fact, or everything where a company has none of those years."""
+    return A.time_filter(customer_facts(spark, sf_dir), "company", (2015, 2016), strict=False)
+
+
+@query("time_filter_strict", TIME_FILTER)
+def time_filter_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.time_filter(customer_facts(spark, sf_dir), "company", (2015, 2016), strict=True)
 
 
 @query("answer_dedupe", f"WITH {ROWS} SELECT company, family, period, value, pos FROM rows QUALIFY row_number() OVER (PARTITION BY company, family, period ORDER BY confidence < 1, quality DESC, pos) = 1")
@@ -126,19 +139,42 @@ def citation_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.number_citations(cited, "task_id").select("task_id", "source_id", "chunk_id", "number")
 
 
+EVIDENCE = r"""
+e AS (SELECT lang, source AS source_id, doc_id AS chunk_id, 'Report ' || source AS source_title, CASE WHEN doc_id % 9 = 0 THEN 'official_pdf' WHEN doc_id % 5 = 0 THEN 'official_entry_page' ELSE 'blog' END AS layer, (doc_id % 8) / 10.0 AS credibility, n_chars AS score, doc_id AS pos, '目标价 ' || text AS text FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY CASE layer WHEN 'official_pdf' THEN 4 WHEN 'official_entry_page' THEN 3 ELSE 2 END DESC, credibility DESC, score DESC, pos) AS rank FROM e),
+x AS (SELECT *, replace(regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', ''), chr(10), ' ') AS line FROM r WHERE rank <= 3),
+c AS (SELECT *, replace(CASE WHEN length(line) > 300 THEN substr(line, 1, 300) || '...' ELSE line END, '目标价', '【已移除】') AS excerpt FROM x)
+"""
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    layer = F.when(i % 9 == 0, "official_pdf").when(i % 5 == 0, "official_entry_page").otherwise("blog")
+    title, text = F.concat(F.lit("Report "), F.col("source")), F.concat(F.lit("目标价 "), F.col("text"))
+    return table(spark, sf_dir, "documents").select("lang", F.col("source").alias("source_id"), i.alias("chunk_id"), title.alias("source_title"), F.lit(None).cast("string").alias("url"), layer.alias("layer"), (i % 8 / 10.0).alias("credibility"), F.col("n_chars").alias("score"), i.alias("pos"), text.alias("text"))
+
+
+@query("grounded_excerpt", f"WITH {EVIDENCE} SELECT lang, CAST(rank AS INTEGER) AS rank, source_id, excerpt FROM c")
+def grounded_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.grounded(_evidence(spark, sf_dir), "lang").select("lang", "rank", "source_id", "excerpt")
+
+
 @query(
-    "grounded_excerpt",
-    r"""
-WITH e AS (SELECT lang, CAST(doc_id AS VARCHAR) AS source_id, CASE WHEN doc_id % 9 = 0 THEN 'official_pdf' WHEN doc_id % 5 = 0 THEN 'official_entry_page' ELSE 'blog' END AS layer, (doc_id % 8) / 10.0 AS credibility, n_chars AS score, '目标价 ' || text AS text FROM documents),
-r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY CASE layer WHEN 'official_pdf' THEN 4 WHEN 'official_entry_page' THEN 3 ELSE 2 END DESC, credibility DESC, score DESC, source_id) AS rank FROM e)
-SELECT lang, CAST(rank AS INTEGER) AS rank, source_id, replace(substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 300), '目标价', '【已移除】') AS excerpt FROM r WHERE rank <= 3
+    "grounded_section",
+    f"""
+WITH {EVIDENCE}, q AS (SELECT DISTINCT lang, lang || ' 研发?' AS query FROM documents UNION ALL SELECT 'xx', '产能')
+SELECT q.lang, '证据摘录' AS title,
+  CASE WHEN count(c.rank) = 0 THEN '围绕问题“' || query || '”，当前检索结果证据不足，还不够支撑细化结论。建议补充公开披露正文、公告或年报后再检索。'
+       ELSE '与问题「' || query || '」相关的公开资料摘录如下（供回查，不构成结论）：' || chr(10) || chr(10) || string_agg(rank || '. 《' || source_title || '》：' || excerpt, chr(10) ORDER BY rank) || chr(10) || chr(10) || '以上摘自原始披露片段，是否采纳须结合上文核对结果判断。' END AS content,
+  coalesce(string_agg(source_id || ':' || chunk_id, ',' ORDER BY rank), '') AS cited
+FROM q LEFT JOIN c ON q.lang = c.lang GROUP BY q.lang, query
 """,
 )
-def grounded_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("doc_id")
-    layer = F.when(i % 9 == 0, "official_pdf").when(i % 5 == 0, "official_entry_page").otherwise("blog")
-    e = table(spark, sf_dir, "documents").select("lang", i.cast("string").alias("source_id"), layer.alias("layer"), (i % 8 / 10.0).alias("credibility"), F.col("n_chars").alias("score"), F.concat(F.lit("目标价 "), F.col("text")).alias("text"))
-    return A.grounded(e, "lang")
+def grounded_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evidence = _evidence(spark, sf_dir)
+    asked = evidence.select("lang", F.concat("lang", F.lit(" 研发? ")).alias("query")).distinct().unionByName(spark.createDataFrame([("xx", "产能")], "lang string, query string"))
+    found = A.grounded_sections(asked, evidence, "lang")
+    return found.select("lang", "title", "content", F.array_join(F.transform("citations", lambda c: F.concat(c["source_id"], F.lit(":"), c["chunk_id"].cast("string"))), ",").alias("cited"))
 
 
 @query(

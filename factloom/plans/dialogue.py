@@ -43,11 +43,14 @@ def compliance_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("conv_id", "turn", C.applied(F.col("text"), F.col("h")).alias("shown"))
 
 
-@query("bad_answer_detect", "SELECT conv_id, turn, turn % 4 < 3 AS ungrounded FROM conversations")
+#: What is put before each turn's own text, in turn; and which of the texts are bad answers, by hand.
+ANSWERS = (("The report DOES  not contain it. ", True), ("报告中没有该数据", True), ("Verified, but insufficient. ", False), ("verified ", False), ("verified / insufficient: ", True), ("", False), ("核心发现与证据缺口", True), ("No datab", False))
+
+
+@query("bad_answer_detect", "SELECT conv_id, turn, turn % 8 IN (0, 1, 4, 6) OR regexp_matches(text, '(?i)does\\s+not\\s+contain|not\\s+included|\\bno\\s+data\\b') AS ungrounded FROM conversations")
 def bad_answer_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("turn") % 4
-    text = F.when(t == 0, "The report DOES  not contain it").when(t == 1, "报告中没有该数据").when(t == 2, "Verified, but insufficient").otherwise("verified")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.ungrounded(text).alias("ungrounded"))
+    lead = F.element_at(F.array(*[F.lit(t) for t, _ in ANSWERS]), (F.col("turn") % len(ANSWERS) + 1).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.ungrounded(F.concat(lead, F.coalesce("text", F.lit("")))).alias("ungrounded"))
 
 
 @query("recent_messages", "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6")

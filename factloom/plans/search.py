@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import TOKEN
 from factloom.operators import search as S
+from factloom.operators.segments import SegmentIndex
 from factloom.plans.registry import query, table
+from factloom.sources.staging import shared_folder, staged
 
 
 def _probe(spark: SparkSession, sf_dir: str) -> list[float]:
@@ -90,14 +94,23 @@ raw AS (SELECT term, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf,
 idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
 asked AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(text, '{TOKEN}')) AS term FROM benchmark) GROUP BY ALL),
 matched AS (SELECT item_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN idf USING (term) JOIN asked USING (term), stats GROUP BY ALL),
-filled AS (SELECT * FROM matched UNION ALL SELECT item_id, doc_id, 0.0 FROM (SELECT DISTINCT item_id FROM benchmark), (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 50) d WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.item_id = benchmark.item_id AND m.doc_id = d.doc_id)),
+filled AS (SELECT i.item_id, d.doc_id, coalesce(m.score, 0.0) AS score FROM (SELECT DISTINCT item_id FROM benchmark) i CROSS JOIN (SELECT doc_id FROM documents) d LEFT JOIN matched m ON m.item_id = i.item_id AND m.doc_id = d.doc_id),
 sparse AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM filled QUALIFY rank <= 50)
-""".replace("FROM (SELECT DISTINCT item_id FROM benchmark), (", "FROM (SELECT DISTINCT item_id FROM benchmark) benchmark, (")
+"""
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> SegmentIndex:
+    """The index of `documents`, kept in the shared folder under the names, sizes and times of the table's files."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    told = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
+    index = SegmentIndex(spark, f"{shared_folder(spark)}/factloom/corpus-{hashlib.sha256(repr(told).encode()).hexdigest()[:32]}")
+    return index if index.version else index.add(table(spark, sf_dir, "documents"))
 
 
 @query("bm25_topk", f"WITH {BM25} SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM sparse WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    return _corpus(spark, sf_dir).search(table(spark, sf_dir, "benchmark"), 10)
 
 
 FUSE = f"""
@@ -140,7 +153,7 @@ SELECT item_id, doc_id, overlap, CAST(rank AS INTEGER) AS rank FROM r WHERE rank
 def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25's top 50 reordered by token recall, stable on the old rank."""
     docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    hits = S.bm25(docs, asked, 50).select("item_id", "doc_id", F.col("rank").alias("old"))
+    hits = _corpus(spark, sf_dir).search(asked, 50).select("item_id", "doc_id", F.col("rank").alias("old"))
     met = hits.join(docs.select("doc_id", "text"), "doc_id").join(asked.select("item_id", F.col("text").alias("asked")), "item_id")
     s = met.select("item_id", "doc_id", "old", F.round(S.overlap_recall(F.col("asked"), F.col("text")), 6).alias("overlap"))
     r = s.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("overlap"), "old")))
@@ -217,7 +230,7 @@ UNION ALL SELECT s.doc_id, d.source, 1.0::DOUBLE FROM seen s JOIN documents d ON
 def official_fallback_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits, plus the first not yet seen chunk of each official source at score 0.01."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    seen = S.bm25(docs, table(spark, sf_dir, "benchmark"), 5).select("doc_id").distinct()
+    seen = staged(_corpus(spark, sf_dir).search(table(spark, sf_dir, "benchmark"), 5).select("doc_id").distinct(), "seen")
     official = docs.where(F.col("source").isin("src0", "src1", "src2")).select("doc_id", "source").join(seen, "doc_id", "left_anti")
     extra = official.groupBy("source").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "source", F.lit(0.01).alias("score"))
     return extra.unionByName(docs.join(seen, "doc_id").select("doc_id", "source", F.lit(1.0).alias("score")))

@@ -108,17 +108,3 @@ def test_settings():
     assert s.effective("top") == 5 and s.provider("mock") == "mock"
     with pytest.raises(ValueError, match="needs"):
         s.provider("remote")
-
-
-def test_approximate_knn_recall(spark):
-    import numpy as np
-
-    r = np.random.default_rng(3)
-    centres = r.normal(size=(12, 16))
-    rows = [(i, (centres[i % 12] + 0.15 * r.normal(size=16)).tolist()) for i in range(240)]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    asked = v.where("vec_id % 20 = 0")
-    exact = {(q.query_id, q.vec_id) for q in S.batch_knn(v, asked, 10).collect()}
-    near = {(q.query_id, q.vec_id) for q in K.approximate_knn(v, asked, 10, dimension=16).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
-    assert K.mock_embedding(F.lit("x")) is not None
