@@ -6,12 +6,13 @@ import hashlib
 import math
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
@@ -174,30 +175,94 @@ def expanded(queries: DataFrame, query_id: str, text_col: str, stop_words: tuple
 
 def reranked(hits: DataFrame, by: str, score: Column, k: int) -> DataFrame:
     """The k hits of greatest `score` of each `by`, stable on their former rank."""
-    scored = hits.withColumn("score", F.round(score, 6)).withColumnRenamed("rank", "old")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "old")))
+    scored = hits.withColumn("score", score).withColumnRenamed("rank", "old")
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round("score", 6)), "old")))
     return ranked.where(F.col("rank") <= k).drop("old")
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, k: int, depth: int = 50, top: int = 30, reranker: str = "embedding", expand_queries: bool = True) -> DataFrame:
-    """(item_id, doc_id, score, rank) of queries (item_id, text, vector) over documents (doc_id, text, vector).
+#: Most expansions of a query, its text and keywords included.
+MOST_PARTS = 16
 
-    Each expansion of a query is searched by vector and by BM25 to `depth`; the lists are fused by reciprocal rank, and the
-    `top` of each query are reranked: by cosine, or by token recall for any other `reranker`. Expansions have their
-    query's vector. Documents or queries without a vector have no dense hits and a cosine of 0.
+
+@dataclass(frozen=True)
+class RetrievalRun:
+    """Rows of a retrieval and what it counted while it ran."""
+
+    rows: DataFrame
+    counted: dict[str, Observation]
+
+    def metrics(self) -> dict[str, int | list[int]]:
+        """Queries, hits of each expansion by vector and by words, candidates of fusion and reranking, results.
+
+        The counts come with the run itself; `results` waits until `rows` has been used up by an action.
+        """
+        got = {name: o.get for name, o in self.counted.items()}
+        lists = got.get("lists", {})
+        per = {f"{kind}_hits": [lists[f"{kind}_{i}"] for i in range(MOST_PARTS) if lists[f"part_{i}"]] for kind in ("dense", "sparse") if lists}
+        return per | {k: v for name, m in got.items() if name != "lists" for k, v in m.items()}
+
+
+def hybrid(docs: DataFrame, queries: DataFrame, k: int, **how: object) -> DataFrame:
+    """(item_id, doc_id, score, rank): the rows of `retrieve`."""
+    return retrieve(docs, queries, k, **how).rows  # type: ignore[arg-type]
+
+
+def retrieve(
+    docs: DataFrame, queries: DataFrame, k: int, depth: int = 50, top: int = 30, reranker: str = "embedding", expand_queries: bool = True,
+    embed: Callable[[DataFrame], DataFrame] | None = None, task_id: str | None = None, dense_only: bool = False, index: SegmentIndex | None = None,
+) -> RetrievalRun:
+    """Hybrid retrieval of queries (item_id, text[, vector]) over documents (doc_id, text, vector[, task_id]).
+
+    Each expansion of a query is searched by its own vector and by BM25 to `depth`; the lists are fused by reciprocal rank,
+    and the `top` of each query are reranked: by cosine, or by token recall for any other `reranker`. `embed` gives
+    (item_id, part, text) a column `vector`; without it texts are embedded by hashing. A query's own `vector`, where it has one,
+    is that of its part 0. `task_id` keeps the search inside one task's documents; `dense_only` searches the queries themselves
+    by vector alone. `index` is the words' index of just these documents; without it one is made.
+    Documents without a vector have no dense hits and a cosine of 0. k <= 0: no rows. A blank query fails the job.
     """
+    spark = docs.sparkSession
+    if task_id is not None:
+        docs = docs.where(F.col("task_id") == task_id)
+    if k <= 0:
+        kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((queries, "item_id"), (docs, "doc_id"))]
+        return RetrievalRun(spark.createDataFrame([], f"{kinds[0]}, {kinds[1]}, score double, rank int"), {})
     depth = max(depth, k)
-    parts = expanded(queries, "item_id", "text") if expand_queries else queries.select("item_id", F.lit(0).alias("part"), "text")
-    parts = staged(parts.select(F.struct("item_id", "part").alias("x"), "text").select((F.col("x.item_id") * 16 + F.col("x.part")).alias("part_id"), "x.item_id", "x.part", "text"), "parts")
+    text = T.strip(F.coalesce("text", F.lit("")))
+    queries = queries.withColumn("text", F.when(text == "", F.raise_error(F.lit("a query may not be blank"))).otherwise(text))
+    parts = expanded(queries, "item_id", "text") if expand_queries and not dense_only else queries.select("item_id", F.lit(0).alias("part"), "text")
+    parts = embed(parts) if embed else parts.withColumn("vector", hash_embedding(F.col("text")))
+    if "vector" in queries.columns:
+        own = queries.select("item_id", F.lit(0).alias("part"), F.col("vector").alias("given"))
+        parts = parts.join(own, ["item_id", "part"], "left").withColumn("vector", F.coalesce("given", "vector")).drop("given")
+    seen, counted = Observation(), {}
+    counted["asked"] = seen
+    parts = parts.observe(seen, F.count_if(F.col("part") == 0).alias("queries"), F.count(F.lit(1)).alias("expansions"))
+    parts = staged(parts.withColumn("part_id", F.monotonically_increasing_id()), "parts")
     vectors = docs.select(F.col("doc_id").alias("vec_id"), F.col("vector").alias("embedding"))
-    dense = batch_knn(vectors, queries.select(F.col("item_id").alias("vec_id"), F.col("vector").alias("embedding")), depth)
-    dense = parts.select("item_id", "part").join(dense.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "rank"), "item_id").select("item_id", F.col("part").alias("list_no"), "doc_id", "rank")
-    sparse = bm25(docs, parts, depth, query_id="part_id").join(parts.select("part_id", "item_id", "part"), "part_id")
-    sparse = sparse.select("item_id", (F.col("part") + 16).alias("list_no"), "doc_id", "rank")
-    fused = fuse(dense.unionByName(sparse), "item_id", "doc_id", top)
-    met = fused.select("item_id", "doc_id", "rank").join(docs.select("doc_id", F.col("text").alias("found"), F.col("vector").alias("theirs")), "doc_id").join(queries.select("item_id", F.col("text").alias("asked"), F.col("vector").alias("own")), "item_id")
+    dense = batch_knn(vectors, parts.select(F.col("part_id").alias("vec_id"), F.col("vector").alias("embedding")), k if dense_only else depth)
+    dense = parts.select("part_id", "item_id", "part").join(dense.withColumnRenamed("query_id", "part_id"), "part_id").withColumnRenamed("vec_id", "doc_id")
+    results = Observation()
+    counted["results"] = results
+    if dense_only:
+        rows = dense.select("item_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+        return RetrievalRun(rows.observe(results, F.count(F.lit(1)).alias("results")), counted)
+    dense = dense.select("item_id", F.col("part").alias("list_no"), "doc_id", "rank")
+    asked = parts.select("part_id", "text")
+    sparse = (index.search(asked, depth, "part_id") if index else bm25(docs, asked, depth, query_id="part_id")).join(parts.select("part_id", "item_id", "part"), "part_id")
+    lists = dense.unionByName(sparse.select("item_id", (F.col("part") + MOST_PARTS).alias("list_no"), "doc_id", "rank"))
+    hits = Observation()
+    counted["lists"] = hits
+    many = lambda name, *numbers: F.count_if(F.col("list_no").isin(*numbers)).alias(name)
+    each = [m for i in range(MOST_PARTS) for m in (many(f"dense_{i}", i), many(f"sparse_{i}", i + MOST_PARTS), many(f"part_{i}", i, i + MOST_PARTS))]
+    lists = staged(lists.observe(hits, *each), "lists")
+    fusing = Observation()
+    counted["fused"] = fusing
+    fused = staged(fuse(lists, "item_id", "doc_id", top).observe(fusing, F.count(F.lit(1)).alias("fusion_candidates")), "fused")
+    own_vectors = parts.where("part = 0").select("item_id", F.col("text").alias("asked"), F.col("vector").alias("own"))
+    met = fused.select("item_id", "doc_id", "rank").join(docs.select("doc_id", F.col("text").alias("found"), F.col("vector").alias("theirs")), "doc_id").join(own_vectors, "item_id")
     score = F.coalesce(cosine(F.col("own"), F.col("theirs")), F.lit(0.0)) if reranker == "embedding" else overlap_recall(F.col("asked"), F.col("found"))
-    return reranked(met, "item_id", score, k).select("item_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+    ranked = reranked(met, "item_id", score, k).select("item_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+    return RetrievalRun(ranked.observe(results, F.count(F.lit(1)).alias("results")), counted)
 
 
 def overlap_recall(query: Column, text: Column) -> Column:

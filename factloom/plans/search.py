@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -170,11 +171,11 @@ firsts AS (SELECT item_id, text, min(part) AS part FROM every WHERE text <> '' G
 parts AS (SELECT item_id, text, row_number() OVER (PARTITION BY item_id ORDER BY part) - 1 AS part, item_id * 16 + row_number() OVER (PARTITION BY item_id ORDER BY part) - 1 AS part_id FROM firsts)
 """
 HYBRID = f"""
-WITH {EXPANDED}, {BM25.replace("FROM benchmark", "FROM parts").replace("benchmark", "parts").replace("item_id", "part_id")},
+WITH {EXPANDED}, {BM25.replace("benchmark", "parts").replace("item_id", "part_id")},
 vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-near AS (SELECT b.item_id, e.vec_id AS doc_id, round(list_cosine_similarity(q.v, e.v), 6) AS score FROM benchmark b JOIN vectors q ON q.vec_id = b.item_id, vectors e WHERE e.vec_id IN (SELECT doc_id FROM documents)),
-dense AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM near QUALIFY rank <= 50),
-lists AS (SELECT item_id, part AS list_no, doc_id, rank FROM parts JOIN dense USING (item_id) UNION ALL SELECT item_id, part + 16, doc_id, rank FROM sparse JOIN parts USING (part_id)),
+near AS (SELECT p.item_id, p.part, e.vec_id AS doc_id, round(list_cosine_similarity(q.v, e.v), 6) AS score FROM parts p JOIN vectors q ON q.vec_id = p.item_id + 7 * p.part, vectors e WHERE e.vec_id IN (SELECT doc_id FROM documents)),
+dense AS (SELECT *, row_number() OVER (PARTITION BY item_id, part ORDER BY score DESC, doc_id) AS rank FROM near QUALIFY rank <= 50),
+lists AS (SELECT item_id, part AS list_no, doc_id, rank FROM dense UNION ALL SELECT item_id, part + 16, doc_id, rank FROM sparse JOIN parts USING (part_id)),
 g AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, min((list_no, rank)) AS seen FROM lists GROUP BY ALL),
 fused AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, seen, doc_id) AS old FROM g QUALIFY old <= 30)
 """
@@ -183,32 +184,64 @@ fused AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER
 @query(
     "hybrid_search",
     HYBRID + """
-, s AS (SELECT f.item_id, f.doc_id, old, round(coalesce(list_cosine_similarity(q.v, e.v), 0.0), 6) AS cos FROM fused f LEFT JOIN vectors q ON q.vec_id = f.item_id LEFT JOIN vectors e ON e.vec_id = f.doc_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY cos DESC, old) AS rank FROM s QUALIFY rank <= 5)
+, s AS (SELECT f.item_id, f.doc_id, old, coalesce(list_cosine_similarity(q.v, e.v), 0.0) AS cos FROM fused f LEFT JOIN vectors q ON q.vec_id = f.item_id LEFT JOIN vectors e ON e.vec_id = f.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(cos, 6) DESC, old) AS rank FROM s QUALIFY rank <= 5)
 SELECT item_id, r.doc_id, round(cos, 4) AS score, CAST(rank AS INTEGER) AS rank, d.source FROM r JOIN documents d ON d.doc_id = r.doc_id
 """,
 )
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors and BM25 over each expansion of a query, fused, reranked by cosine and joined to the source.
 
-    A document's vector is the one of its id, a query's that of its item; documents without one are found by words alone.
+    A document's vector is the one of its id; an expansion has one of its own, looked up by item and part as a provider would
+    answer. Documents without a vector are found by words alone.
     """
     docs, asked = _with_vectors(spark, sf_dir)
-    return S.hybrid(docs, asked, 5).join(docs.select("doc_id", "source"), "doc_id").select("item_id", "doc_id", "score", "rank", "source")
+    return S.hybrid(docs, asked, 5, embed=_looked_up(spark, sf_dir), index=_corpus(spark, sf_dir)).join(docs.select("doc_id", "source"), "doc_id").select("item_id", "doc_id", "score", "rank", "source")
 
 
 @query(
     "hybrid_search_lexical",
     HYBRID + f""", {RECALL},
-s AS (SELECT item_id, doc_id, old, round(len(list_intersect(qs, ds)) / greatest(len(qs), 1), 6) AS overlap FROM fused JOIN sets USING (doc_id) JOIN qsets USING (item_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, old) AS rank FROM s QUALIFY rank <= 5)
+s AS (SELECT item_id, doc_id, old, len(list_intersect(qs, ds)) / greatest(len(qs), 1) AS overlap FROM fused JOIN sets USING (doc_id) JOIN qsets USING (item_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(overlap, 6) DESC, old) AS rank FROM s QUALIFY rank <= 5)
 SELECT item_id, doc_id, round(overlap, 4) AS score, CAST(rank AS INTEGER) AS rank FROM r
 """,
 )
 def hybrid_search_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search with the reranker that unknown backends fall back to."""
     docs, asked = _with_vectors(spark, sf_dir)
-    return S.hybrid(docs, asked, 5, reranker="lexical")
+    return S.hybrid(docs, asked, 5, reranker="lexical", embed=_looked_up(spark, sf_dir), index=_corpus(spark, sf_dir))
+
+
+@query(
+    "retrieval_run_metrics",
+    HYBRID
+    + """
+SELECT 'queries' AS name, count(*) AS value FROM parts WHERE part = 0 UNION ALL SELECT 'expansions', count(*) FROM parts
+UNION ALL SELECT CASE WHEN list_no < 16 THEN 'dense_' ELSE 'sparse_' END || (list_no % 16), count(*) FROM lists GROUP BY list_no
+UNION ALL SELECT 'fusion_candidates', count(*) FROM fused UNION ALL SELECT 'results', CAST(sum(least(n, 5)) AS BIGINT) FROM (SELECT count(*) AS n FROM fused GROUP BY item_id)
+""",
+)
+def retrieval_run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a hybrid run counted while it ran, without a second pass over its lists."""
+    docs, asked = _with_vectors(spark, sf_dir)
+    run = S.retrieve(docs, asked, 5, embed=_looked_up(spark, sf_dir), index=_corpus(spark, sf_dir))
+    staged(run.rows, "results")
+    m = run.metrics()
+    rows = [(name, v) for name, v in m.items() if not isinstance(v, list)] + [(f"{kind}_{i}", v) for kind in ("dense", "sparse") for i, v in enumerate(m[f"{kind}_hits"])]
+    return spark.createDataFrame(rows, "name string, value long")
+
+
+@query("dense_only_search", HYBRID + "SELECT item_id, doc_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM dense WHERE part = 0 AND rank <= 5")
+def dense_only_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The switch that leaves words, fusion and reranking out."""
+    docs, asked = _with_vectors(spark, sf_dir)
+    return S.hybrid(docs, asked, 5, dense_only=True)
+
+
+def _looked_up(spark: SparkSession, sf_dir: str) -> Callable[[DataFrame], DataFrame]:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_at"), F.col("embedding").cast("array<double>").alias("vector"))
+    return lambda parts: parts.withColumn("_at", F.col("item_id") + 7 * F.col("part")).join(vectors, "_at", "left").drop("_at")
 
 
 def _with_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
