@@ -172,9 +172,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(named.select("fp", "label").join(names, "label").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def _bands(text: bytes) -> list[int]:
+def _bands(grams: set[bytes]) -> list[int]:
     """Keys of `BANDS` bands of `BAND` minima each over the 5-word shingles; none under five words."""
-    grams = shingles(text)
     if not grams:
         return []
     hashes = np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams))
@@ -191,15 +190,20 @@ def shingles(text: bytes, width: int = 5) -> set[bytes]:
 
 
 def _features(base: DataFrame) -> DataFrame:
-    """(digest, fp, bands) of (digest, text)."""
+    """(digest, fp, bands, grams) of (digest, text); grams: number of different shingles."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in as_bytes(batch.column(1))]
             fps = np.array([fingerprint(t) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array(map(_bands, texts), pa.list_(pa.int64()))], ["digest", "fp", "bands"])
+            bands, sizes = [], []
+            for t in texts:  # the shingles of one text at a time
+                grams = shingles(t)
+                bands.append(_bands(grams))
+                sizes.append(len(grams))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["digest", "fp", "bands", "grams"])
 
-    return base.select("digest", "text").mapInArrow(work, "digest long, fp long, bands array<long>")
+    return base.select("digest", "text").mapInArrow(work, "digest long, fp long, bands array<long>, grams long")
 
 
 def _alike(pairs: DataFrame) -> DataFrame:
@@ -226,15 +230,17 @@ def _labels(base: DataFrame, distance: int) -> DataFrame:
     found = materialize(_features(base).dropDuplicates(["digest"]), "features")
     fps = found.select("fp").distinct()
     members = connected_components(close_links(fps, distance)).withColumnRenamed("node", "fp")
-    known = materialize(found.join(members, "fp", "left").select("digest", "fp", F.coalesce("component", "fp").alias("label"), "bands"), "labels")
-    banded = known.select("digest", "label", F.posexplode("bands").alias("band", "key"))
-    least = F.min(F.struct("label", "digest")).alias("h0")
-    seeded = [F.min(F.struct(F.xxhash64("digest", "band", F.lit(i)).alias("by"), "label", "digest")).alias(f"h{i}") for i in range(1, HEADS)]
+    known = materialize(found.join(members, "fp", "left").select("digest", "fp", F.coalesce("component", "fp").alias("label"), "bands", "grams"), "labels")
+    banded = known.select("digest", "label", "grams", F.posexplode("bands").alias("band", "key"))
+    least = F.min(F.struct("label", "digest", "grams")).alias("h0")
+    seeded = [F.min(F.struct(F.xxhash64("digest", "band", F.lit(i)).alias("by"), "label", "digest", "grams")).alias(f"h{i}") for i in range(1, HEADS)]
     buckets = banded.groupBy("band", "key").agg(least, *seeded, F.max("label").alias("top")).where("h0.label <> top")
-    each = F.explode(F.array(*[F.struct(F.col(f"h{i}.label").alias("a"), F.col(f"h{i}.digest").alias("x")) for i in range(HEADS)]))
+    each = F.explode(F.array(*[F.struct(F.col(f"h{i}.label").alias("a"), F.col(f"h{i}.digest").alias("x"), F.col(f"h{i}.grams").alias("theirs")) for i in range(HEADS)]))
     heads = buckets.select("band", "key", each.alias("head")).select("band", "key", "head.*")
     ends = F.sort_array(F.array(F.struct(F.col("x").alias("of"), F.col("a").alias("label")), F.struct(F.col("digest").alias("of"), F.col("label").alias("label"))))
-    met = banded.join(heads, ["band", "key"]).where("label <> a").select(ends.alias("e"))
+    # no two sets are more alike than the smaller is to the larger in size: most chance meetings end here, before any text is fetched
+    sized = F.least("grams", "theirs") >= SIMILAR * F.greatest("grams", "theirs")
+    met = banded.join(heads, ["band", "key"]).where("label <> a").where(sized).select(ends.alias("e"))
     met = met.select(F.col("e")[0]["label"].alias("a"), F.col("e")[1]["label"].alias("b"), F.col("e")[0]["of"].alias("x"), F.col("e")[1]["of"].alias("y")).distinct()
     met = materialize(met, "met")
     needed = met.select(F.col("x").alias("digest")).union(met.select("y")).distinct()
