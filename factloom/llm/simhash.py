@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from factloom.llm.common import as_bytes, materialize, partitions, unused
+from factloom.llm.common import arrow_batches, as_bytes, materialize, partitions, unused
 from factloom.llm.components import connected_components
 
 BITS, SEED = 64, 42
 MAX_BUCKET = 1 << 16
 #: Near copies of the pipeline stage: least 5-word Jaccard, bands and minima to a band (a pair at 0.8 shares none of 20 bands in 3 of 100 000).
 SIMILAR, BANDS, BAND = 0.8, 20, 4
+#: Pairs of whole texts that are in memory together.
+PAIRS_A_BATCH = 128
 #: Texts of a bucket that all others are compared with: the least, and others chosen anew in each band.
 HEADS = 3
 _MINS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -210,10 +212,13 @@ def _alike(pairs: DataFrame) -> DataFrame:
     """(a, b) of the rows (a, b, one, two) whose texts share at least `SIMILAR` of their 5-word shingles."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, set()
         for batch in batches:
             keep = []
             for one, two in zip(as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
-                x, y = shingles(one or b""), shingles(two or b"")
+                if one != last:  # pairs of one head come one after the other
+                    last, x = one, shingles(one or b"")
+                y = shingles(two or b"")
                 keep.append(len(x & y) >= SIMILAR * len(x | y))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
@@ -246,7 +251,9 @@ def _labels(base: DataFrame, distance: int) -> DataFrame:
     needed = met.select(F.col("x").alias("digest")).union(met.select("y")).distinct()
     texts = materialize(base.select("digest", "text").join(needed, "digest", "left_semi").dropDuplicates(["digest"]), "texts")
     pairs = met.join(texts.select(F.col("digest").alias("y"), F.col("text").alias("two")), "y").join(texts.select(F.col("digest").alias("x"), F.col("text").alias("one")), "x")
-    more = connected_components(materialize(_alike(pairs).distinct(), "alike")).withColumnsRenamed({"node": "label", "component": "whole"})
+    with arrow_batches(base.sparkSession, PAIRS_A_BATCH):
+        alike = materialize(_alike(pairs).distinct(), "alike")
+    more = connected_components(alike).withColumnsRenamed({"node": "label", "component": "whole"})
     return materialize(known.join(more, "label", "left").select("digest", "fp", F.coalesce("whole", "label").alias("label")), "joined")
 
 
