@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("text", "sources", "search", "facts", "answers", "dialogue", "evaluation", "reports", "tasks")
+MODULES = ("text", "sources", "search", "facts", "answers", "dialogue", "evaluation", "reports", "tasks", "storage")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
