@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.numbering import numbered
+
 MIN_NEW = 4
 
 
@@ -13,8 +15,7 @@ def triggers(messages: DataFrame, session: str = "conv_id", order: str = "turn",
 
     The mark moves to the count at which it fires, so in batch these are the multiples of `min_new`.
     """
-    n = F.row_number().over(Window.partitionBy(session).orderBy(order))
-    counted = messages.select(session, n.alias("latest_count"))
+    counted = numbered(messages.select(session, order), [F.asc(order)], "latest_count", [session]).drop(order)
     return counted.where(F.col("latest_count") % min_new == 0).withColumn("new_messages", F.lit(min_new))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import values as V
 from factloom.functions.text import strip
+from factloom.operators.numbering import numbered
 
 #: Metric families as (id, base metrics, words of questions, words of claims, preferred metric).
 FAMILIES = (
@@ -158,8 +159,8 @@ def conflicted_fallback(verified: DataFrame, conflicted: DataFrame, by: str, wan
 def rank_verified(facts: DataFrame, by: str) -> DataFrame:
     """Facts (disclosure_kind, published_at, confidence, pos) of each `by` in report order: kind of disclosure, newest, surest."""
     kind = F.coalesce(V.lookup(F.col("disclosure_kind"), {"annual": 0, "semi_annual": 1, "interim": 2, "media": 3}), F.lit(2))
-    order = [kind, F.desc(F.coalesce(F.unix_timestamp("published_at"), F.lit(0))), F.desc(F.coalesce("confidence", F.lit(0.0))), F.asc("pos")]
-    return facts.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    order = [kind.asc(), F.desc(F.coalesce(F.unix_timestamp("published_at"), F.lit(0))), F.desc(F.coalesce("confidence", F.lit(0.0))), F.asc("pos")]
+    return numbered(facts, order, "rank", [by])
 
 
 def quality(period: Column, value: Column, confidence: Column) -> Column:
@@ -289,7 +290,7 @@ def merge_citations(lists: list[DataFrame], by: str) -> DataFrame:
         part = part.select(by, "source_id", "chunk_id", F.struct(F.lit(i).alias("l"), F.col("pos").alias("p")).alias("at"))
         rows = part if rows is None else rows.unionByName(part)
     one = rows.groupBy(by, "source_id", "chunk_id").agg(F.min("at").alias("at"))
-    return one.withColumn("pos", F.row_number().over(Window.partitionBy(by).orderBy("at", "source_id", "chunk_id"))).drop("at")
+    return numbered(one, [F.asc("at"), F.asc("source_id"), F.asc("chunk_id")], "pos", [by]).drop("at")
 
 
 def number_citations(citations: DataFrame, by: str) -> DataFrame:

@@ -8,12 +8,13 @@ import uuid
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import strip
 from factloom.operators import chunking
 from factloom.operators.inverted import InvertedFile
+from factloom.operators.numbering import numbered
 from factloom.operators.search import batch_knn, hash_embedding
 from factloom.sources.staging import shared_folder
 
@@ -50,7 +51,7 @@ def merged_cache(existing: DataFrame, live: DataFrame, key: str) -> DataFrame:
 
 def numbered_events(events: DataFrame, task: str, order: list[str]) -> DataFrame:
     """Events with their place in their task, as a snapshot shows them."""
-    return events.withColumn("seq", F.row_number().over(Window.partitionBy(task).orderBy(*order)))
+    return numbered(events, [F.asc(c) for c in order], "seq", [task])
 
 
 def ingest(sources: DataFrame, strategy: str = "section_aware", size: int = 1600, overlap: int = 300) -> DataFrame:

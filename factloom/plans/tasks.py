@@ -12,6 +12,7 @@ from factloom.operators import report as R
 from factloom.operators import selection as A
 from factloom.operators import tasks as K
 from factloom.plans.dialogue import LEXICON
+from factloom.operators.numbering import numbered
 from factloom.plans.registry import query, table
 from factloom.sources import scans
 
@@ -96,10 +97,8 @@ def task_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("task_scan", "SELECT doc_id, CAST(row_number() OVER (ORDER BY source, doc_id) AS INTEGER) AS pos FROM documents WHERE lang = 'de'")
 def task_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A task's chunks in their order; numbering them here is only to compare the order."""
-    from pyspark.sql import Window
-
     rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("task_id"), F.col("source").alias("source_id"), F.col("doc_id").alias("chunk_index"))
-    return K.of_task(rows, "de", "chunks").select(F.col("chunk_index").alias("doc_id"), F.row_number().over(Window.orderBy("source_id", "chunk_index")).alias("pos"))
+    return numbered(rows.where("task_id = 'de'"), [F.asc(c) for c in K.TASK_ORDER["chunks"]], "pos").select(F.col("chunk_index").alias("doc_id"), "pos")
 
 
 @query("cache_merge", "SELECT n_nationkey AS company, CASE WHEN n_nationkey % 3 = 0 THEN 'live' ELSE 'old' END AS origin FROM nation WHERE n_nationkey % 3 = 0 OR n_nationkey % 2 = 0")

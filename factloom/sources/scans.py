@@ -5,11 +5,12 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.text import normalize_lines, strip
 from factloom.functions.values import LAYERS, host_in, host_of, layer_priority
+from factloom.operators.numbering import numbered
 
 #: Boundaries and unread elements of readable text.
 BREAKS = frozenset("p br li tr h1 h2 h3".split())
@@ -147,8 +148,8 @@ def focus_windows(c: Column, words: tuple[str, ...], most: int = 20_000, head: i
     return run(F.coalesce(c, F.lit("")))
 
 
-def ranked_announcements(catalog: DataFrame, years: tuple[int, ...] = (), strict: bool = False) -> DataFrame:
-    """Primary annual and half-year reports of a catalog (url, title, published), one per URL, in the order they are read."""
+def ranked_announcements(catalog: DataFrame, years: tuple[int, ...] = (), strict: bool = False, top: int | None = None) -> DataFrame:
+    """Primary annual and half-year reports of a catalog (url, title, published), one per URL, in the order they are read; the first `top` of them."""
     title = F.col("title")
     rows = catalog.where(title.rlike("年度报告|半年度报告") & ~title.rlike("摘要|英文|取消|更正"))
     rows = rows.groupBy("url").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "url"]), F.struct("published", "title")).alias("x")).select("url", "x.*")
@@ -156,7 +157,10 @@ def ranked_announcements(catalog: DataFrame, years: tuple[int, ...] = (), strict
     if years and strict:
         rows = rows.where(year.isNull() | year.isin(*years))
     preferred = F.coalesce(year.isin(*years), F.lit(False)) if years else F.lit(False)
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(preferred), F.contains(title, F.lit("半年度")), F.desc("published"), "url")))
+    order = [F.desc(preferred), F.contains(title, F.lit("半年度")).asc(), F.desc("published"), F.asc("url")]
+    if top is not None:
+        rows = rows.orderBy(*order).limit(top)  # each task keeps its own top rows
+    return numbered(rows, order, "rank")
 
 
 LAYER_NAMES = tuple(LAYERS)
