@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -90,6 +93,17 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def give_back() -> None:
+    """Return to the system what earlier stages left in this Python worker: encoders with their caches, and freed memory."""
+    tokens = sys.modules.get("factloom.llm.tokens")
+    if tokens is not None:
+        tokens.word_encoder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_rows(df: DataFrame, work: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow over whole partitions; `work` takes the iterator of record batches."""
     return df.mapInArrow(work, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from factloom.llm.common import arrow_batches, as_bytes, materialize, partitions, unused
+from factloom.llm.common import arrow_batches, as_bytes, give_back, materialize, partitions, unused
 from factloom.llm.components import connected_components
 
 BITS, SEED = 64, 42
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spec = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             fps = np.array([fingerprint(t or b"", width) for t in as_bytes(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
@@ -117,6 +118,7 @@ def close_links(fps: DataFrame, distance: int = 4, blocks: int = 6, max_bucket:
     keyed = keyed.repartition(partitions(spark), "choice", "part").sortWithinPartitions("choice", "part", "fp")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         out: list[tuple[int, int, int]] = []
 
         def emit() -> pa.RecordBatch:
@@ -195,6 +197,7 @@ def _features(base: DataFrame) -> DataFrame:
     """(digest, fp, bands, grams) of (digest, text); grams: number of different shingles."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             texts = [t or b"" for t in as_bytes(batch.column(1))]
             fps = np.array([fingerprint(t) for t in texts], np.uint64)
@@ -212,6 +215,7 @@ def _alike(pairs: DataFrame) -> DataFrame:
     """(a, b) of the rows (a, b, one, two) whose texts share at least `SIMILAR` of their 5-word shingles."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         last, x = None, set()
         for batch in batches:
             keep = []
