@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import enrichment as N
+from factloom.operators import rendering as D
 from factloom.operators import report as R
 from factloom.operators import selection as A
 from factloom.plans import answers as P
@@ -109,3 +110,39 @@ def answer_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.when(k == 0, "近三年营收变化趋势").when(k == 1, "净利润分别是多少").otherwise("整体情况，研发如何")
     b = table(spark, sf_dir, "benchmark").select("item_id", q.alias("q")).withColumn("f", A.families(F.col("q")))
     return b.select("item_id", R.answer_mode(F.col("q"), F.col("f")).alias("mode"), R.strict_metrics(F.col("q"), F.col("f")).alias("strict"))
+
+
+@query(
+    "report_rendered",
+    f"""
+WITH f AS (SELECT o_custkey AS t, o_orderkey AS pos, 'o' || o_orderkey AS claim, CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'O' THEN 'conflicted' ELSE 'outdated' END AS status, 'u' || (o_orderkey % 3) AS url FROM orders),
+u AS (SELECT t, url, row_number() OVER (PARTITION BY t ORDER BY min(pos)) AS ref FROM f GROUP BY t, url),
+g AS (SELECT f.*, ref, row_number() OVER (PARTITION BY f.t, status ORDER BY pos) AS k, count(*) OVER (PARTITION BY f.t, status) AS n FROM f JOIN u USING (t, url)),
+a AS (SELECT t, count(*) FILTER (status = 'verified') AS v, count(*) FILTER (status = 'conflicted') AS c, count(*) FILTER (status = 'outdated') AS o, count(*) AS n,
+  string_agg(claim, '；' ORDER BY pos) FILTER (status = 'verified' AND k <= 3) AS told,
+  string_agg('- ' || claim || '（来源 ' || ref || '）', chr(10) ORDER BY pos) FILTER (status = 'verified' AND k <= 10) AS core,
+  string_agg('- ' || claim || '：{D.NO_REASON} 来源 ' || ref, chr(10) ORDER BY pos) FILTER (status = 'conflicted' AND k <= 4) AS clash,
+  string_agg('- ' || claim || '：{D.OLD}', chr(10) ORDER BY pos) FILTER (status = 'outdated' AND k <= 3) AS old FROM g GROUP BY t),
+s AS (SELECT t, string_agg('- [' || ref || '] T：' || url, chr(10) ORDER BY ref) AS items FROM u GROUP BY t)
+SELECT t AS task_id, '# C' || t || ' 公开信息研究报告' || chr(10) || chr(10) || '**研究问题**：营收' || chr(10) || chr(10) || '{D.DISCLAIMER}' || chr(10) || chr(10) || '## 总结' || chr(10)
+  || coalesce('C' || t || '：' || told || '。', '本次采集的公开资料中，暂未找到可直接回答「营收」的C' || t || '数据。') || chr(10) || chr(10) || '## 核心发现' || chr(10) || coalesce(core, '{D.NO_CORE}')
+  || CASE WHEN v > 10 THEN chr(10) || '{D.notice("核心发现", 10)}' ELSE '' END || chr(10) || chr(10) || '## 风险观察' || chr(10) || CASE WHEN c = 0 THEN '{D.NO_RISK}' WHEN v = 0 THEN '{D.CLASH_ALONE}' ELSE '{D.CLASH}' END
+  || chr(10) || chr(10) || '## 公开资料来源' || chr(10) || items || CASE WHEN n > 30 THEN chr(10) || '{D.notice("来源", 30)}' ELSE '' END || chr(10) || chr(10) || '## 附录' || chr(10)
+  || '- 数据核对：已采信 ' || v || ' 条，口径差异 ' || c || ' 条，证据不足 0 条' || CASE WHEN o > 0 THEN '，已排除 ' || o || ' 条' ELSE '' END || '。' || coalesce(chr(10) || clash, '') || CASE WHEN c > 4 THEN chr(10) || '{D.notice("冲突条目", 4)}' ELSE '' END
+  || coalesce(chr(10) || old, '') || chr(10) || chr(10) || '## 免责声明' || chr(10) || '{D.LAST}' AS content
+FROM a JOIN s USING (t)
+""",
+)
+def report_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report for each customer: orders are its facts, and what they cite."""
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "F", "verified").when(F.col("o_orderstatus") == "O", "conflicted").otherwise("outdated")
+    source, none = F.concat(F.lit("s"), key.cast("string")), F.lit(None).cast("string")
+    facts = o.select(
+        F.col("o_custkey").alias("task_id"), key.alias("fact_id"), source.alias("source_id"), F.lit("c").alias("chunk_id"), F.concat(F.lit("o"), key.cast("string")).alias("claim"), F.lit("revenue").alias("metric_name"),
+        status.alias("status"), none.alias("reason"), F.when(status == "verified", "core").alias("part"), key.alias("pos"),
+    )
+    cited = o.select(F.col("o_custkey").alias("task_id"), key.alias("pos"), source.alias("source_id"), F.lit("c").alias("chunk_id"), F.lit("T").alias("title"), F.concat(F.lit("u"), (key % 3).cast("string")).alias("url"))
+    tasks = facts.select("task_id").distinct().select("task_id", F.concat(F.lit("C"), F.col("task_id").cast("string")).alias("company"), F.lit("营收").alias("question"), none.alias("summary"), none.alias("risk_analysis"))
+    return D.rendered(tasks, facts, cited, spark.createDataFrame([], "task_id long, pos int, metric string, period string, claims array<string>")).select("task_id", "content")
