@@ -8,7 +8,9 @@ segments (word marks and what follows them) and these into parts, whose tables a
 steps from each prefix's count to the next; a text's table is the running sum of its segments' steps.
 
 A table answers any truncation or budget question about its text without encoding again. Unknown characters
-count a token for each UTF-8 byte, as byte fallback does. Null or empty text: 0 tokens.
+count a token for each UTF-8 byte, as byte fallback does. Null or empty text: 0 tokens, 0 bytes, not over the limit. Very
+long texts: whole, one table at a time. Null ids are kept. Ties and repeated rows: each row by itself. Empty table: empty
+result. Extra columns, whatever their names: ignored.
 """
 
 from __future__ import annotations
