@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.sources.commits import CommitLog
-from factloom.sources.staging import staged
+from factloom.sources.staging import dropped, staged
 
 #: The public Okapi parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -224,7 +224,8 @@ class SegmentIndex:
         scored = open_.unionByName(self._completed(blocks, weak, open_, mean_length)).groupBy("query", "doc").agg(F.round(F.sum("score"), PLACES).alias("score"))
         scored = staged(scored, "scored")
         listed = scored.unionByName(self._unmatched(named.select("query").distinct(), scored, k))
-        ranked = listed.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k)
+        ranked = staged(listed.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k), "ranked")
+        dropped(asked, first, best, later, open_, scored)
         return ranked.select(F.col("query").alias(query_id), F.col("doc").alias(doc_id), "score", "rank")
 
     def _completed(self, blocks: DataFrame, terms: DataFrame, docs: DataFrame, mean_length: float) -> DataFrame:

@@ -19,6 +19,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files behind staged tables that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/factloom/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
