@@ -21,11 +21,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from factloom.llm.common import arrow_batches, as_bytes, give_back, materialize, partitions, unused
+from factloom.llm.common import arrow_batches, as_bytes, drop_table, give_back, materialize, partitions, unused
 from factloom.llm.components import connected_components
 
 BITS, SEED = 64, 42
@@ -233,8 +233,8 @@ def _labels(base: DataFrame, distance: int) -> DataFrame:
     """(digest, fp, label) of each text of `base` (digest, text): texts of one component share the label.
 
     Links are fingerprints within `distance` bits and, between the components of these, texts of 5-word Jaccard at least
-    `SIMILAR`. Texts that share a band of minima meet in a bucket; each is compared with `HEADS` of them, in `BANDS` bands,
-    so a pair is missed where every bucket that it shares has other heads, all unlike one of the two.
+    `SIMILAR`. Texts that share a band of minima meet in a bucket; each is compared with `HEADS` of them. Buckets in which
+    texts of several components are left over are settled exactly by `_left_over`.
     """
     found = materialize(_features(base).dropDuplicates(["digest"]), "features")
     fps = found.select("fp").distinct()
@@ -252,13 +252,64 @@ def _labels(base: DataFrame, distance: int) -> DataFrame:
     met = banded.join(heads, ["band", "key"]).where("label <> a").where(sized).select(ends.alias("e"))
     met = met.select(F.col("e")[0]["label"].alias("a"), F.col("e")[1]["label"].alias("b"), F.col("e")[0]["of"].alias("x"), F.col("e")[1]["of"].alias("y")).distinct()
     met = materialize(met, "met")
+    first = connected_components(_verified(met, base)).withColumnsRenamed({"node": "label", "component": "whole"})
+    known = materialize(known.join(first, "label", "left").select("digest", "fp", F.coalesce("whole", "label").alias("label"), "bands", "grams"), "joined")
+    more = _left_over(known, base, met.select("x", "y"))
+    if more is None:
+        return known.select("digest", "fp", "label")
+    last = connected_components(more).withColumnsRenamed({"node": "label", "component": "whole"})
+    return materialize(known.join(last, "label", "left").select("digest", "fp", F.coalesce("whole", "label").alias("label")), "settled")
+
+
+def _verified(met: DataFrame, base: DataFrame) -> DataFrame:
+    """(a, b) of the pairs (a, b, x, y) whose texts, of digests x and y, are alike."""
     needed = met.select(F.col("x").alias("digest")).union(met.select("y")).distinct()
     texts = materialize(base.select("digest", "text").join(needed, "digest", "left_semi").dropDuplicates(["digest"]), "texts")
     pairs = met.join(texts.select(F.col("digest").alias("y"), F.col("text").alias("two")), "y").join(texts.select(F.col("digest").alias("x"), F.col("text").alias("one")), "x")
     with arrow_batches(base.sparkSession, PAIRS_A_BATCH):
         alike = materialize(_alike(pairs).distinct(), "alike")
-    more = connected_components(alike).withColumnsRenamed({"node": "label", "component": "whole"})
-    return materialize(known.join(more, "label", "left").select("digest", "fp", F.coalesce("whole", "label").alias("label")), "joined")
+    drop_table(texts)
+    return alike
+
+
+def _left_over(known: DataFrame, base: DataFrame, compared: DataFrame) -> DataFrame | None:
+    """(a, b) of further alike texts among those in a bucket of three or more with several labels; None where there is no such bucket.
+
+    Prefix filtering: the shingles of these texts are put in one order, rarest first. Two texts of Jaccard at least `SIMILAR`
+    share one of their first n - ceil(SIMILAR * n) + 1 shingles, so every such pair meets at a shingle, and rare ones bring few
+    texts together. Shingles of a single text meet nothing and are left out before anything is joined.
+    """
+    banded = known.select("digest", "label", F.posexplode("bands").alias("band", "key"))
+    mixed = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("top")).where("n > 2 AND low <> top").select("band", "key")
+    rest = materialize(banded.join(mixed, ["band", "key"]).select("digest").distinct().join(known.select("digest", "label", "grams"), "digest"), "rest")
+    if rest.isEmpty():
+        return None
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        for batch in batches:
+            for digest, raw in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+                tokens = np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in shingles(raw or b"")), np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), digest)), pa.array(tokens)], ["digest", "token"])
+
+    with arrow_batches(base.sparkSession, PAIRS_A_BATCH):
+        texts = base.select("digest", "text").join(rest.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+        tokens = materialize(texts.mapInArrow(work, "digest long, token long"), "tokens")
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = tokens.join(common, "token")
+    of_text = Window.partitionBy("digest")
+    placed = shared.withColumns({"place": F.row_number().over(of_text.orderBy("df", "token")), "shared": F.count(F.lit(1)).over(of_text)}).join(rest, "digest")
+    alone = F.col("grams") - F.col("shared")  # shingles of this text only come before all others
+    prefix = placed.where(alone + F.col("place") <= F.col("grams") - F.ceil(SIMILAR * F.col("grams") - 1e-9) + 1).select("token", "digest", "label", "grams")
+    prefix = materialize(prefix, "prefix")
+    one, two = (prefix.select("token", F.col("digest").alias(d), F.col("label").alias(x), F.col("grams").alias(g)) for d, x, g in (("x", "a", "m"), ("y", "b", "n")))
+    pairs = one.join(two, "token").where("a < b").where(F.least("m", "n") >= SIMILAR * F.greatest("m", "n")).select("a", "b", "x", "y").distinct()
+    before = compared.select("x", "y").union(compared.select("y", "x"))
+    pairs = materialize(pairs.join(before, ["x", "y"], "left_anti"), "candidates")
+    alike = _verified(pairs, base)
+    for table in (tokens, prefix, pairs):
+        drop_table(table)
+    return alike
 
 
 def drop_near_copies(docs: DataFrame, distance: int = 4) -> DataFrame:

@@ -45,3 +45,34 @@ def test_repeated_rows_are_packed_in_several_groups(spark):
     for spans in by.values():
         spans.sort()
         assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False)) and sum(spans[-1]) <= 2048
+
+
+def test_a_bucket_of_many_unlike_texts_loses_no_pair(spark, monkeypatch):
+    """Forty texts that share all minima: the three heads are unlike most of them, and only pairs of five are alike."""
+    rng = random.Random(9)
+    texts = []
+    for i in range(20):
+        own = [f"o{i}x{j}" for j in range(200)]
+        twin = list(own)
+        for at in rng.sample(range(200), 3):
+            twin[at] = f"t{rng.random()}"
+        texts += [" ".join(own), " ".join(twin)]
+    monkeypatch.setattr(simhash, "HEADS", 1)
+    real = simhash._bands
+    monkeypatch.setattr(simhash, "_features", lambda base: _same_bands(base, real))
+    monkeypatch.setattr(simhash, "close_links", lambda fps, distance, blocks=6: fps.sparkSession.createDataFrame([], "a long, b long"))
+    base = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "digest long, text string")
+    labels = {r["digest"]: r["label"] for r in simhash._labels(base, 4).collect()}
+    grams = [simhash.shingles(t.encode()) for t in texts]
+    for a, b in combinations(range(len(texts)), 2):
+        alike = len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])
+        assert (labels[a] == labels[b]) == alike, (a, b)
+
+
+def _same_bands(base, real):
+    """Features in which every text has the same bands."""
+    from pyspark.sql import functions as F
+
+    fps = F.udf(lambda t: simhash.fingerprint(t.encode()) - (1 << 63), "long")
+    sizes = F.udf(lambda t: len(simhash.shingles(t.encode())), "long")
+    return base.select("digest", fps("text").alias("fp"), F.array(*[F.lit(7).cast("long")] * 3).alias("bands"), sizes("text").alias("grams"))
