@@ -46,6 +46,29 @@ def compose(ranked: DataFrame, by: str, most: int = 8) -> DataFrame:
     return g.select(by, direct.alias("direct"), F.when(F.size(years) >= 2, told).otherwise(direct).alias("trend"))
 
 
+#: What an answer without facts says, what many differences add, and how many are many.
+NO_DATA = ("本次采集的公开资料中，暂未找到可直接回答「", "」的", "数据。")
+NARROW = "可尝试将问题收窄到具体年份和指标（例如「2024年研发费用」），或点击文末来源链接核对年报原文。"
+DIFFERENCES, MANY_DIFFERENCES = "注：部分指标在不同来源中存在口径差异，建议以年报合并报表为准。", 8
+
+
+def composed_answers(questions: DataFrame, ranked: DataFrame, by: str) -> DataFrame:
+    """(by, answer) of questions (by, company, question, mode, gap_notes, n_conflicted) over ranked facts (by, claim, period, rank).
+
+    The paragraph of the mode (a trend needs two facts), gap notes that it doesn't hold yet, and a note where many facts
+    differ. Without facts: that nothing was found, with the gaps or advice to narrow the question.
+    """
+    counts = ranked.groupBy(by).agg(F.count(F.lit(1)).alias("_facts"))
+    met = questions.join(compose(ranked, by), by, "left").join(counts, by, "left")
+    notes = F.coalesce("gap_notes", F.array().cast("array<string>"))
+    nothing = F.concat(F.lit(NO_DATA[0]), "question", F.lit(NO_DATA[1]), "company", F.lit(NO_DATA[2]), F.when(F.size(notes) > 0, F.array_join(notes, "；")).otherwise(NARROW))
+    body = F.when((F.col("mode") == "trend") & (F.col("_facts") >= 2), F.col("trend")).otherwise(F.coalesce("direct", F.lit(INCOMPLETE)))
+    text = F.concat(F.lit("针对「"), "question", F.lit("」，"), "company", F.lit("："), body)
+    told = F.aggregate(notes, text, lambda t, n: F.when(F.contains(t, n), t).otherwise(F.concat(t, n, F.when(F.endswith(n, F.lit("。")), "").otherwise("。"))))
+    told = F.when((F.coalesce("n_conflicted", F.lit(0)) >= MANY_DIFFERENCES) & ~F.contains(told, F.lit("口径差异")), F.concat(told, F.lit(DIFFERENCES))).otherwise(told)
+    return met.select(by, F.when(F.col("_facts").isNull(), nothing).otherwise(told).alias("answer"))
+
+
 def chart_payload(facts: DataFrame, by: str) -> DataFrame:
     """(by, labels, numbers): the first facts about revenue or profit, else about anything, whose value has digits."""
     from factloom.functions.values import digits_number

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -96,6 +97,16 @@ def valid_scope(window: object, years: object, strict: object) -> TimeScope | No
     return None if span is None and not good else TimeScope(good, None if span is None else min(10, max(1, span)), bool(strict))
 
 
+def scope_of_answer(text: str) -> TimeScope | None:
+    """Scope that a model wrote as a JSON object, in a Markdown fence or not; None where it isn't one."""
+    body = re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", text.strip())) if text.strip().startswith("```") else text.strip()
+    try:
+        told = json.loads(body)
+    except ValueError:
+        return None
+    return valid_scope(told.get("window_years"), told.get("explicit_years"), told.get("strict")) if isinstance(told, dict) else None
+
+
 def lookback_years(scope: TimeScope | None, default: int = 4) -> int:
     """How many years back a search goes: the window and one more, or as many as reach the default."""
     return default if scope is None or scope.window is None else max(scope.window + 1, 2)
@@ -293,6 +304,13 @@ def merge_citations(lists: list[DataFrame], by: str) -> DataFrame:
     return numbered(one, [F.asc("at"), F.asc("source_id"), F.asc("chunk_id")], "pos", [by]).drop("at")
 
 
+def fact_citations(facts: DataFrame, sources: DataFrame, chunks: DataFrame, by: str) -> DataFrame:
+    """(by, source_id, chunk_id, pos, url, title): each fact's (source, chunk) once, in order; facts whose source or chunk is gone cite nothing."""
+    one = facts.groupBy(by, "source_id", "chunk_id").agg(F.min("pos").alias("pos"))
+    met = one.join(chunks.select(by, "chunk_id").distinct(), [by, "chunk_id"], "left_semi")
+    return met.join(sources.select(by, "source_id", "url", "title"), [by, "source_id"]).select(by, "source_id", "chunk_id", "pos", "url", "title")
+
+
 def number_citations(citations: DataFrame, by: str) -> DataFrame:
     """Citations with a number each; citations of one URL share the number of the first."""
     key = F.coalesce(F.nullif(F.col("url"), F.lit("")), F.col("source_id"))

@@ -94,6 +94,13 @@ def mock_embedding(c: Column, dimension: int = 8) -> Column:
     return run(c)
 
 
+def mock_embedding_id(text: Column, dimension: int = 8) -> Column:
+    """Fingerprint of what a mock vector was made from; a blank text fails the job."""
+    plain = strip(F.coalesce(text, F.lit("")))
+    checked = F.when(plain != "", plain).otherwise(F.raise_error(F.lit("a blank text has no vector")))
+    return F.concat(F.lit(f"mock-emb-v1-dim{dimension}-"), F.substring(F.sha2(checked, 256), 1, 12))
+
+
 def knn_of_json(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, vector_col: str = "embedding_json") -> DataFrame:
     """batch_knn over vectors stored as JSON text; a vector of another dimension fails the job."""
     def parsed(df: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from factloom.sources.commits import VersionedTable
+
 #: Fixed value: outputs of a task from the last made to the first, the order in which they are purged.
 OUTPUTS = ("reports", "verification_results", "extracted_facts", "evidence_chunks", "sources")
 
@@ -18,6 +20,16 @@ def purge_task(tables: dict[str, DataFrame], task_id: str) -> dict[str, DataFram
     return {name: tables[name].where((tables[name]["task_id"] != task_id) | tables[name]["task_id"].isNull()) for name in OUTPUTS if name in tables}
 
 
+def purge(tables: dict[str, VersionedTable], task_id: str) -> dict[str, int]:
+    """Hide a task's rows in each output table, in purge order, a commit each; the version of each table. Readers keep their snapshots."""
+    done = {}
+    for name in OUTPUTS:
+        if name in tables:
+            rows = tables[name].read()
+            done[name] = tables[name].delete(rows.where(rows["task_id"] == task_id))
+    return done
+
+
 def claim(status: str) -> str:
     """Status of a task once claimed; only created and failed tasks can be."""
     if status not in ("created", "failed"):

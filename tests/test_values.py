@@ -73,3 +73,47 @@ def test_memory_operations_by_rule(spark):
 def test_stages_apply_where_they_are_supported(spark):
     steps = [(lambda df: "missing" in df.columns, lambda df: df.drop("id")), (lambda df: "id" in df.columns, lambda df: df.withColumn("x", F.col("id") + 1)), (lambda df: "x" in df.columns, lambda df: df.select("x"))]
     assert enrichment.stages(spark.range(1), steps).collect()[0].asDict() == {"x": 1}
+
+
+def test_scopes_that_a_model_wrote():
+    from factloom.operators.selection import TimeScope, scope_of_answer
+
+    assert scope_of_answer('```json\n{"window_years": 3, "explicit_years": [2023, "x", 1800], "strict": true}\n```') == TimeScope((2023,), 3, True)
+    assert scope_of_answer(' {"window_years": "20"} ') == TimeScope((), 10, False)
+    assert scope_of_answer("```\nno\n```") is None and scope_of_answer("[1]") is None and scope_of_answer("{}") is None and scope_of_answer("") is None
+
+
+def test_citations_of_facts(spark):
+    from factloom.operators.selection import fact_citations
+
+    facts = spark.createDataFrame([("t", "s1", "c1", 3), ("t", "s1", "c1", 1), ("t", "s2", "c2", 0), ("t", "gone", "c1", 2), ("t", "s1", "gone", 4)], "task string, source_id string, chunk_id string, pos int")
+    sources = spark.createDataFrame([("t", "s1", "u", "T"), ("t", "s2", None, "S"), ("x", "gone", "u", "X")], "task string, source_id string, url string, title string")
+    chunks = spark.createDataFrame([("t", "c1"), ("t", "c2")], "task string, chunk_id string")
+    assert rows(fact_citations(facts, sources, chunks, "task"), "pos", "source_id", "chunk_id", "title") == [(0, "s2", "c2", "S"), (1, "s1", "c1", "T")]
+
+
+def test_answers_with_and_without_facts(spark):
+    asked = spark.createDataFrame(
+        [("a", "甲", "营收", "direct", [], 0), ("b", "甲", "营收", "trend", ["缺 2022 年", "已有。"], 8), ("c", "乙", "研发", "direct", [], 9), ("d", "乙", "研发", "direct", ["缺 2021 年", "缺 2022 年"], 0), ("e", "甲", "营收", "trend", None, 7)],
+        "q string, company string, question string, mode string, gap_notes array<string>, n_conflicted int",
+    )
+    ranked = spark.createDataFrame([("a", "2024年营收1亿元", "2024", 1), ("b", "2024年营收2亿元", "2024", 1), ("b", "2023年营收1亿元", "2023", 2), ("e", "2024年营收1亿元", "2024", 1)], "q string, claim string, period string, rank int")
+    got = {r["q"]: r["answer"] for r in report.composed_answers(asked, ranked, "q").collect()}
+    assert got["a"] == got["e"] == "针对「营收」，甲：2024年营收1亿元。"
+    assert got["b"] == "针对「营收」，甲：从已核对条目看，2023 → 2024 年间相关数据为：2023年营收1亿元；2024年营收2亿元。缺 2022 年。已有。" + report.DIFFERENCES
+    assert got["c"] == "本次采集的公开资料中，暂未找到可直接回答「研发」的乙数据。" + report.NARROW
+    assert got["d"] == "本次采集的公开资料中，暂未找到可直接回答「研发」的乙数据。缺 2021 年；缺 2022 年"
+
+
+def test_purge_hides_a_task_in_every_output(spark, tmp_path):
+    from factloom.operators.tasks import mock_embedding_id
+    from factloom.sources.commits import VersionedTable
+    from factloom.sources.tables import purge
+
+    tables = {n: VersionedTable(spark, f"file://{tmp_path}/{n}", "id string, task_id string", "id") for n in ("sources", "reports", "other")}
+    for t in tables.values():
+        t.upsert(spark.createDataFrame([("1", "a"), ("2", "b"), ("3", None)], t.schema))
+    old = tables["sources"].read(1)
+    assert list(purge(tables, "a")) == ["reports", "sources"]
+    assert [rows(t.read(), "id") for t in tables.values()] == [[("2",), ("3",)], [("2",), ("3",)], [("1",), ("2",), ("3",)]] and old.count() == 3
+    assert spark.range(1).select(mock_embedding_id(F.lit(" x ")).alias("i")).first()["i"] == "mock-emb-v1-dim8-2d711642b726"
