@@ -16,11 +16,20 @@ ORGANISATION, MONEY, DATE = "[一-鿿]{2,20}(?:股份|集团|公司|科技|有
 NEGATIONS, POSITIVES = ("没有", "未", "不", "下降", "减少", "亏损"), ("增长", "上升", "增加", "盈利", "提高")
 
 
-def stages(df: DataFrame, steps: list[tuple[Callable[[DataFrame], bool], Callable[[DataFrame], DataFrame]]]) -> DataFrame:
-    """Apply each step whose condition on the schema holds, in order."""
+def stages(df: DataFrame, steps: list[tuple[Callable[[DataFrame], bool], Callable[[DataFrame], DataFrame]]], failed: list[str] | None = None) -> DataFrame:
+    """Apply each step whose condition on the schema holds, in order.
+
+    With `failed` a step whose plan can't be built is left out and its error noted there; without, the error is raised.
+    """
     for supported, step in steps:
-        if supported(df):
+        if not supported(df):
+            continue
+        try:
             df = df.transform(step)
+        except Exception as e:
+            if failed is None:
+                raise
+            failed.append(f"{type(e).__name__}: {e}"[:300])
     return df
 
 

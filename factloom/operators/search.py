@@ -8,6 +8,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -99,6 +100,13 @@ def delete_ids(stored: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return stored.join(ids.select(key).distinct(), key, "left_anti")
 
 
+@lru_cache(maxsize=1 << 18)
+def _feature(text: str) -> tuple[int, float]:
+    """Place and signed weight of a token or pair; a worker digests the frequent ones once."""
+    d = hashlib.blake2b(text.encode(), digest_size=8).digest()
+    return int.from_bytes(d[:4], "big"), (1 - 2 * (d[4] & 1)) * (1 + min(len(text), 12) / 12)
+
+
 def hash_embedding(c: Column, dimension: int = 128) -> Column:
     """Signed hashing of tokens and adjacent pairs into an L2-normalised vector, rounded to 6; blank text is null."""
     if dimension < 8:
@@ -111,8 +119,8 @@ def hash_embedding(c: Column, dimension: int = 128) -> Column:
         words = re.findall("[a-z0-9]+|[一-鿿]", text)
         vector = [0.0] * dimension
         for f in [*words, *(f"{a}_{b}" for a, b in zip(words, words[1:], strict=False))] or [text]:
-            d = hashlib.blake2b(f.encode(), digest_size=8).digest()
-            vector[int.from_bytes(d[:4], "big") % dimension] += (1 - 2 * (d[4] & 1)) * (1 + min(len(f), 12) / 12)
+            place, weight = _feature(f)
+            vector[place % dimension] += weight
         norm = math.sqrt(sum(x * x for x in vector))
         return [round(x / norm, 6) for x in vector] if norm else vector
 

@@ -1,5 +1,7 @@
 """Values of operators that no query covers."""
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from factloom.operators import chat, enrichment, evaluation, extraction, memory, model_output, report
@@ -73,6 +75,10 @@ def test_memory_operations_by_rule(spark):
 def test_stages_apply_where_they_are_supported(spark):
     steps = [(lambda df: "missing" in df.columns, lambda df: df.drop("id")), (lambda df: "id" in df.columns, lambda df: df.withColumn("x", F.col("id") + 1)), (lambda df: "x" in df.columns, lambda df: df.select("x"))]
     assert enrichment.stages(spark.range(1), steps).collect()[0].asDict() == {"x": 1}
+    broken, failed = [(lambda df: True, lambda df: df.select("nowhere")), *steps], []
+    assert enrichment.stages(spark.range(1), broken, failed).collect()[0].asDict() == {"x": 1} and len(failed) == 1
+    with pytest.raises(AnalysisException):
+        enrichment.stages(spark.range(1), broken)
 
 
 def test_scopes_that_a_model_wrote():
