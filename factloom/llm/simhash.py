@@ -277,7 +277,8 @@ def _left_over(known: DataFrame, base: DataFrame, compared: DataFrame) -> DataFr
 
     Prefix filtering: the shingles of these texts are put in one order, rarest first. Two texts of Jaccard at least `SIMILAR`
     share one of their first n - ceil(SIMILAR * n) + 1 shingles, so every such pair meets at a shingle, and rare ones bring few
-    texts together. Shingles of a single text meet nothing and are left out before anything is joined.
+    texts together; what comes after the first that they share must suffice for the rest. Shingles of a single text meet
+    nothing and are left out before anything is joined.
     """
     banded = known.select("digest", "label", F.posexplode("bands").alias("band", "key"))
     mixed = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("top")).where("n > 2 AND low <> top").select("band", "key")
@@ -300,10 +301,12 @@ def _left_over(known: DataFrame, base: DataFrame, compared: DataFrame) -> DataFr
     of_text = Window.partitionBy("digest")
     placed = shared.withColumns({"place": F.row_number().over(of_text.orderBy("df", "token")), "shared": F.count(F.lit(1)).over(of_text)}).join(rest, "digest")
     alone = F.col("grams") - F.col("shared")  # shingles of this text only come before all others
-    prefix = placed.where(alone + F.col("place") <= F.col("grams") - F.ceil(SIMILAR * F.col("grams") - 1e-9) + 1).select("token", "digest", "label", "grams")
+    prefix = placed.where(alone + F.col("place") <= F.col("grams") - F.ceil(SIMILAR * F.col("grams") - 1e-9) + 1).select("token", "digest", "label", "grams", (F.col("grams") - alone - F.col("place")).alias("after"))
     prefix = materialize(prefix, "prefix")
-    one, two = (prefix.select("token", F.col("digest").alias(d), F.col("label").alias(x), F.col("grams").alias(g)) for d, x, g in (("x", "a", "m"), ("y", "b", "n")))
-    pairs = one.join(two, "token").where("a < b").where(F.least("m", "n") >= SIMILAR * F.greatest("m", "n")).select("a", "b", "x", "y").distinct()
+    one, two = (prefix.select("token", F.col("digest").alias(d), F.col("label").alias(x), F.col("grams").alias(g), F.col("after").alias(r)) for d, x, g, r in (("x", "a", "m", "i"), ("y", "b", "n", "j")))
+    # at its first common shingle a pair has at most that one and what comes after it in both in common
+    enough = 1 + F.least("i", "j") >= F.ceil(SIMILAR / (1 + SIMILAR) * (F.col("m") + F.col("n")) - 1e-9)
+    pairs = one.join(two, "token").where("a < b").where(enough).select("a", "b", "x", "y").distinct()
     before = compared.select("x", "y").union(compared.select("y", "x"))
     pairs = materialize(pairs.join(before, ["x", "y"], "left_anti"), "candidates")
     alike = _verified(pairs, base)
