@@ -143,6 +143,56 @@ def test_a_difference_from_the_library_fails_the_task(monkeypatch):
         coder.found(coder.segments("the other"))
 
 
+def many_segments(n=3000):
+    odd = ["▁", "▁▁", "▁▁▁the", "▁\n", "▁\x00\x00", "▁😀é日本#", "▁<s>", "▁" + "ñ" * 31, "▁" + "a" * 40]
+    return [*odd, *dict.fromkeys("▁" + "".join(R.choices("theinganodrst.\n#ßñ日😀", k=R.randint(1, 30))) for _ in range(n))]
+
+
+def test_many_new_segments_meet_in_arrays(monkeypatch):
+    """Without an agenda of its own in Python for each, which took most of op12_pieces' time."""
+    coder, segments = pieces.PieceCoder(MODEL), many_segments()
+    short = [s for s in segments if len(s) <= pieces.ROW_LENGTH]
+    monkeypatch.setattr(coder, "merged", None)
+    want = LIBRARY.encode([s[1:] for s in short])
+    got = coder.found(short)
+    assert len(short) > 2900 and [[int(x) for x in i.split(b",")[:-1]] for i, _ in got[1:]] == want[1:]
+    assert [t[1:].decode() for _, t in got[1:]] == LIBRARY.decode(want[1:])
+    assert coder.found(short) == got
+
+
+def test_arrays_and_heaps_agree_and_take_the_leftmost_of_equals(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as spec
+
+    model = spec.ModelProto()
+    with open(MODEL, "rb") as f:
+        model.ParseFromString(f.read())
+    for p in model.pieces:
+        p.score = float(int(p.score) // 3000)
+    (tied := tmp_path / "tied.model").write_bytes(model.SerializeToString())
+    for path in (MODEL, str(tied)):
+        coder, library = pieces.PieceCoder(path), sentencepiece.SentencePieceProcessor(model_file=path)
+        segments = many_segments(1500)
+        want = library.encode([s[1:] for s in segments])
+        assert coder.new_ids(segments)[1:] == want[1:] and [coder.segment_ids(s) for s in segments][1:] == want[1:]
+        assert coder.row_ids(segments)[1:] == want[1:]
+        assert [coder.row_ids([s])[0] for s in segments[1:40]] == want[1:40]
+
+
+def test_texts_meet_in_groups(monkeypatch):
+    monkeypatch.setattr(pieces, "GROUP_CHARS", 100)
+    texts = ["", " ", "the other " * 30, "", *(s[1:].replace("▁", " ") for s in many_segments(200)), " and\n", ""]
+    ids = LIBRARY.encode(texts)
+    want = [("".join(f"{i}," for i in x).encode(), t.encode()) for x, t in zip(ids, LIBRARY.decode(ids), strict=True)]
+    assert list(pieces.PieceCoder(MODEL).coded(texts)) == want and list(CODER.coded([])) == []
+
+
+def test_a_difference_in_the_arrays_fails_the_task(monkeypatch):
+    coder = pieces.PieceCoder(MODEL)
+    monkeypatch.setattr(coder, "makes", np.roll(coder.makes, 1))
+    with pytest.raises(AssertionError, match="differ"):
+        coder.found(many_segments(100))
+
+
 def clustered(rows, k, rounds, dim):
     kept = [(i, [int(np.floor(256 * float(np.float32(c)))) for c in x]) for i, x in rows if x is not None and len(x) == dim and all(c is not None and np.isfinite(c) for c in x)]
     order = sorted(kept, key=lambda r: (r[0] is None, "" if r[0] is None else hashlib.sha256(f"2:{r[0]}".encode()).hexdigest(), r[1]))
