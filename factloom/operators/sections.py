@@ -47,7 +47,8 @@ def section_lines(lines: DataFrame, by: str = "report_id", block: int = BLOCK) -
 def section_texts(lines: DataFrame, by: str = "report_id", most: int | None = None, chars: int | None = None, block: int = BLOCK) -> DataFrame:
     """(by, section_no, title, content) of sections with lines; the first `most` of a report, the first `chars` characters of each.
 
-    Lines that start beyond `chars` are left out by a running length of two levels before any section is put together.
+    Lines that start beyond `chars` are left out by a running length of two levels before any section is put together; one that
+    starts just there stays, as the line break before it is the last character.
     """
     rows = section_lines(lines, by, block)
     firsts = rows.groupBy(by, "start", "title").agg(F.count(F.lit(1)).alias("n_lines"))
@@ -61,7 +62,7 @@ def section_texts(lines: DataFrame, by: str = "report_id", most: int | None = No
         sums = rows.groupBy(by, "start", "_block").agg(F.sum(size).alias("_sum"))
         upto = F.coalesce(F.sum("_sum").over(Window.partitionBy(by, "start").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         inside = F.coalesce(F.sum(size).over(Window.partitionBy(by, "start", "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        rows = rows.join(sums.select(by, "start", "_block", upto.alias("_upto")), [by, "start", "_block"]).withColumn("_at", F.col("_upto") + inside).where(F.col("_at") < chars)
+        rows = rows.join(sums.select(by, "start", "_block", upto.alias("_upto")), [by, "start", "_block"]).withColumn("_at", F.col("_upto") + inside).where(F.col("_at") <= chars)
     listed = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     content = F.array_join(F.transform(listed, lambda x: F.coalesce(x["line"], F.lit(""))), "\n")
     return rows.groupBy(by, "section_no", "title").agg((content if chars is None else F.substring(content, 1, chars)).alias("content"))

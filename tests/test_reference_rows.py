@@ -125,6 +125,15 @@ def test_sections_equal_a_loop_over_lines(spark, block):
     assert short == {k: [(t, c[:40]) for t, c in v[:12]] for k, v in got.items()}
 
 
+@pytest.mark.parametrize("block", [1, 4096])
+def test_sections_cut_at_a_line_break_keep_it(spark, block):
+    text = "第一节 总览\nabc\n\nde\n第二节 长\n\nf"
+    lines = R.report_lines(spark.createDataFrame([("a", text)], "report_id string, text string"), "report_id", "text").cache()
+    for chars in (4, 5):
+        got = [(r["title"], r["content"]) for r in R.section_texts(lines, chars=chars, block=block).orderBy("section_no").collect()]
+        assert got == [(t, c[:chars]) for t, c in by_loop(text)]
+
+
 def test_report_headers(spark):
     rows = [(1, "2023年末 2024 年度报告 单位：元 单位: 万元\n审计机构： 某某所 \n"), (2, "2024年"), (3, None), (4, "2022年报\n单位：  亿元")]
     got = {r["id"]: (r["year"], r["auditor"], r["unit_note"]) for r in R.report_header(spark.createDataFrame(rows, "id int, text string"), "id", "text").collect()}
