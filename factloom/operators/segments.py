@@ -6,9 +6,11 @@ shuffles nothing; files are sorted by term, so scans skip row groups. Adding a b
 documents adds a segment of tombstones and of negative document counts. Nothing is rewritten; the list of segments is a
 commit log, so readers keep the version that they opened.
 
-A search scores a query's rarest terms first, and the best documents so found by all terms: their k-th score is a threshold.
-Terms whose greatest contributions sum to less can't bring a document into the list on their own, so their blocks are opened only in shards where a document is
-left that all of them together could lift over the threshold. The list is exact.
+A search scores a query's rarest terms first: the k-th best of what they bring is a threshold. Terms whose greatest
+contributions sum to less can't bring a document into the list on their own, so blocks of terms that only such queries ask for are
+opened only in shards where some query has another term. Queries go out in blocks; opened blocks meet by shards, once for all queries of a block,
+and a task scores a group of shards at a time and keeps each query's k best, so what is shuffled is the postings and short lists,
+never a row for each pair of a query and a document. The list is exact.
 
 Documents are named by their id: null ids are left out, of repeated ids in a batch the greatest text counts.
 """
@@ -17,9 +19,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +35,10 @@ from factloom.sources.staging import dropped, staged
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Documents of a shard (a set of them is the bits of a long), shards that a compaction numbers together, terms that a search hands to the scan as a predicate.
 SHARD_DOCS, SHARDS_TOGETHER, FEW_TERMS = 64, 1024, 200
-#: Rounding of scores, what bounds may be off by it, and the share of the threshold that weak terms may sum to (less: fewer documents to complete).
-PLACES, SLACK, WEAK = 6, 2e-6, 0.6
+#: Rounding of scores and what bounds may be off by it.
+PLACES, SLACK = 6, 2e-6
+#: Queries sent out at a time, shards scored at a time, and scores that a task holds at a time.
+QUERY_BLOCK, GROUP_SHARDS, SCORES = 2048, 64, 1 << 22
 
 
 def _weight(tf: Column, length: Column, mean_length: float) -> Column:
@@ -198,47 +204,72 @@ class SegmentIndex:
         rarest = Window.partitionBy("query").orderBy(F.col("w") >= 0, "df", "term").rowsBetween(Window.unboundedPreceding, -1)
         before = F.coalesce(F.sum("df").over(rarest), F.lit(0))
         asked = staged(terms.withColumn("early", (F.col("w") < 0) | (before == 0) | (before + F.col("df") <= 16 * k + 256)), "asked")
-        blocks = self._blocks()
-        some = [r[0] for r in asked.select("term").distinct().limit(FEW_TERMS + 1).collect()]
-        blocks = blocks.where(F.col("term").isin(some)) if len(some) <= FEW_TERMS else blocks
-        first = staged(self._scored(blocks.join(asked.where("early").select("query", "term", "w"), "term"), mean_length), "first")
-        # the best of them scored by all terms give the threshold: k documents reach it for certain
-        best = staged(first.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))).where(F.col("r") <= 2 * k).drop("r"), "best")
-        seeds = best.unionByName(self._completed(blocks, asked.where("NOT early"), best, mean_length)).groupBy("query", "doc").agg(F.sum("score").alias("score"))
-        # later terms that sum to less than the threshold open no shard by themselves; those with most postings for their bound go first
-        weakest = Window.partitionBy("query").orderBy(F.col("bound") / F.col("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
-        later = asked.where("NOT early").join(_kth(seeds, k), "query", "left").withColumn("weak", F.coalesce(F.sum("bound").over(weakest) < WEAK * F.col("least") - SLACK, F.lit(False)))
-        later = staged(later, "later")
-        strong = self._scored(blocks.join(later.where("NOT weak").select("query", "term", "w"), "term"), mean_length)
-        partial = first.unionByName(strong).groupBy("query", "seg", "shard", "doc", "at").agg(F.sum("score").alias("score"))
-        lift = later.groupBy("query").agg(F.coalesce(F.sum(F.when(F.col("weak"), F.col("bound"))), F.lit(0.0)).alias("lift"), F.first("least").alias("least"))
-        # queries without later terms have their whole scores already
-        open_ = partial.join(lift, "query", "left").where(F.col("least").isNull() | (F.col("score") + F.col("lift") >= F.col("least") - SLACK))
-        open_ = staged(open_.drop("lift", "least"), "open")
-        weak = later.where("weak")
-        if report is not None:
-            every = blocks.drop("postings").join(asked.select("query", "term"), "term").count()
-            shards = open_.select("query", "seg", "shard").distinct()
-            of_weak = blocks.drop("postings").join(weak.select("query", "term"), "term")
-            report |= {"blocks": every, "skipped": of_weak.count() - of_weak.join(shards, ["query", "seg", "shard"], "left_semi").count()}
-        scored = open_.unionByName(self._completed(blocks, weak, open_, mean_length)).groupBy("query", "doc").agg(F.round(F.sum("score"), PLACES).alias("score"))
-        scored = staged(scored, "scored")
+        parts = max(1, -(-asked.select("query").distinct().count() // QUERY_BLOCK))
+        found = None
+        for i in range(parts):
+            some = self._found(asked.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == i), k, mean_length, report)
+            found = some if found is None else found.unionByName(some)
+        best = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
+        scored = staged(found.withColumn("r", F.row_number().over(best)).where((F.col("r") <= k) | (F.col("score") < 0)).drop("r"), "scored")
         listed = scored.unionByName(self._unmatched(named.select("query").distinct(), scored, k))
-        ranked = staged(listed.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k), "ranked")
-        dropped(asked, first, best, later, open_, scored)
+        ranked = staged(listed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "ranked")
+        dropped(asked, scored)
         return ranked.select(F.col("query").alias(query_id), F.col("doc").alias(doc_id), "score", "rank")
 
-    def _completed(self, blocks: DataFrame, terms: DataFrame, docs: DataFrame, mean_length: float) -> DataFrame:
-        """What `terms` (query, term, w) add to `docs` (query, seg, shard, doc, at), from blocks of their shards alone."""
-        shards = docs.groupBy("query", "seg", "shard").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at"))).alias("wanted"))
-        met = blocks.join(terms.select("query", "term", "w"), "term").join(shards, ["query", "seg", "shard"])  # both small sides go to where the blocks are
-        inside = lambda p: F.call_function("getbit", F.col("wanted"), p["at"]) == 1
-        return self._scored(met.withColumn("postings", F.filter("postings", inside)).drop("wanted"), mean_length)
-
-    def _scored(self, met: DataFrame, mean_length: float) -> DataFrame:
-        """(query, seg, shard, doc, at, score) of blocks that met (query, w), live documents only."""
-        rows = self._live(met.select("query", "seg", "shard", "w", F.explode("postings").alias("p")).select("query", "seg", "shard", "w", F.col("p.doc").alias("doc"), "p.at", "p.tf", "p.length"))
-        return rows.groupBy("query", "seg", "shard", "doc", "at").agg(F.sum(F.col("w") * _weight(F.col("tf"), F.col("length"), mean_length)).alias("score"))
+    def _found(self, asked: DataFrame, k: int, mean_length: float, report: dict | None) -> DataFrame:
+        """(query, doc, score) of a block of queries: at least the k best of each that score above 0, and all below 0 where those are fewer."""
+        kind = asked.schema["query"].dataType.simpleString()
+        part = asked.where("query IS NOT NULL").orderBy("term", "query").toArrow()  # the terms of at most about QUERY_BLOCK queries
+        names, words = (part.column(c).combine_chunks().dictionary_encode() for c in ("query", "term"))
+        query, word = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (names, words))
+        df, w, bound, early = (part.column(c).to_numpy() for c in ("df", "w", "bound", "early"))
+        blocks, least = self._blocks(), np.full(len(names.dictionary), -np.inf)
+
+        def scored(which: np.ndarray, met: DataFrame) -> DataFrame:
+            asks = _Asked(names.dictionary, query[which], np.searchsorted(word[which], np.arange(len(words.dictionary) + 1)), w[which], least)
+            return self._scored(met, asks, k, mean_length, kind)
+
+        def of(chosen: np.ndarray) -> DataFrame:
+            """Blocks of the chosen words, with the number of the word."""
+            listed = words.dictionary.take(pa.array(chosen)).to_pylist()
+            numbers = self.spark.createDataFrame([(t, int(i)) for t, i in zip(listed, chosen, strict=True)], "term string, word int")
+            named = blocks.where(F.col("term").isin(listed)) if len(listed) <= FEW_TERMS else blocks
+            return named.join(F.broadcast(numbers), "term")
+
+        if not early.all():
+            # what the early terms alone bring is less than a whole score, as later terms have no negative weight: their k-th best is a threshold
+            for name, at in _kth(scored(early, of(np.unique(word[early]))), k).collect():  # one row a query
+                least[names.dictionary.index(pa.scalar(name, names.dictionary.type)).as_py()] = at
+        # later terms that sum to less than the threshold bring in no document by themselves; those with most postings for their bound go first
+        order = np.lexsort((word, bound / df, query, early))
+        sums = np.cumsum(np.where(early, 0.0, bound)[order])
+        firsts = np.searchsorted(query[order][: (~early).sum()], query[order])
+        weak = np.zeros(len(w), bool)
+        weak[order] = ~early[order] & (sums - np.append(0.0, sums)[firsts] < least[query[order]] - SLACK)
+        strong, every = np.unique(word[~weak]), np.arange(len(words.dictionary))
+        only_weak = np.setdiff1d(every, strong)
+        met = of(strong)
+        if len(only_weak):
+            open_ = of(strong).select("seg", "shard").distinct()
+            met = met.unionByName(of(only_weak).join(open_, ["seg", "shard"], "left_semi"))
+        if report is not None:
+            pairs = lambda rows: rows.drop("postings").join(asked.select("query", "term"), "term").count()
+            blocks_, skipped = pairs(of(every)), pairs(of(only_weak).join(open_, ["seg", "shard"], "left_anti")) if len(only_weak) else 0
+            report |= {"blocks": report.get("blocks", 0) + blocks_, "skipped": report.get("skipped", 0) + skipped}
+        return scored(np.ones(len(w), bool), met)
+
+    def _scored(self, met: DataFrame, asks: _Asked, k: int, mean_length: float, kind: str) -> DataFrame:
+        """(query, doc, score) of blocks (word, seg, shard, postings): they meet by shards, and a task keeps each query's k best above 0."""
+        rows = met.select("word", "seg", "shard", *[F.col(f"postings.{c}").alias(c) for c in ("doc", "at", "tf", "length")]).withColumn("at", F.col("at").cast("array<tinyint>"))
+        dead = self._tombstones()
+        gone = F.array().cast(f"array<{self.doc_type}>")
+        if dead is not None:
+            past = self._union("docs", f"doc {self.doc_type}, length int, shard long").join(dead, "doc").where("until > seg")
+            rows = rows.join(past.groupBy("seg", "shard").agg(F.collect_list("doc").alias("gone")), ["seg", "shard"], "left")  # at most SHARD_DOCS a row
+            gone = F.coalesce("gone", gone)
+        rows = rows.withColumn("gone", gone).repartition("seg", "shard").sortWithinPartitions("seg", "shard")
+        sent = self.spark.sparkContext.broadcast(asks)
+        return rows.mapInArrow(lambda batches: _best(batches, sent.value, k, mean_length), f"query {kind}, doc {self.doc_type}, score double")
 
     def _unmatched(self, queries: DataFrame, scored: DataFrame, k: int) -> DataFrame:
         """(query, doc, 0.0): for queries with fewer than k positive scores, the least ids that hold none of their tokens.
@@ -272,6 +303,120 @@ def _kth(scored: DataFrame, k: int) -> DataFrame:
     return scored.where("score > 0").withColumn("r", r).where(F.col("r") <= k).where(F.col("r") == k).select("query", F.col("score").alias("least"))
 
 
+@dataclass(frozen=True)
+class _Asked:
+    """A block of queries by words: word i is asked by `query[starts[i]:starts[i + 1]]` with weights `w`; `least` bounds each query's list from below."""
+
+    names: pa.Array
+    query: np.ndarray
+    starts: np.ndarray
+    w: np.ndarray
+    least: np.ndarray
+
+
+def _best(batches: Iterator[pa.RecordBatch], asks: _Asked, k: int, mean_length: float) -> Iterator[pa.RecordBatch]:
+    """(query, doc, score) of a task's shards, which come one after another: the k best of each query above 0, and those below 0 while there are fewer."""
+    n = len(asks.names)
+    group = max(1, min(GROUP_SHARDS, SCORES // (SHARD_DOCS * max(1, n))))
+    least, kept = asks.least.copy(), None
+
+    def cut(found: pa.Table) -> pa.Table:
+        """The k best above 0 of each query, and what is below 0 of queries without k."""
+        found = found.take(pc.sort_indices(found, [("query", "ascending"), ("score", "descending"), ("doc", "ascending")]))
+        query, score = found.column("query").to_numpy(), found.column("score").to_numpy()
+        firsts = np.searchsorted(query, query)
+        place = np.arange(len(query)) - firsts
+        full = (place == k - 1) & (score > 0)
+        least[query[full]] = np.maximum(least[query[full]], score[full])
+        return found.filter(pa.array((place < k) | ((score < 0) & (least[query] <= 0))))
+
+    for rows in _groups(batches, group):
+        found = _group_scores(rows, asks, k, mean_length, least)
+        kept = found if kept is None else pa.concat_tables([kept, found])
+        if len(kept) > 4 * k * n + (1 << 16):
+            kept = cut(kept)
+    if kept is not None:
+        kept = cut(kept)
+        columns = [asks.names.take(kept.column("query").combine_chunks()), kept.column("doc").combine_chunks(), kept.column("score").combine_chunks()]
+        yield from pa.Table.from_arrays(columns, ["query", "doc", "score"]).to_batches(max_chunksize=1 << 16)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Blocks of up to `shards` whole shards, and the number of each block's shard among them."""
+    held, count = [], 0
+    def split(whole: pa.Table, last: bool) -> tuple[list, pa.Table]:
+        shard, seg = (whole.column(c).to_numpy() for c in ("shard", "seg"))
+        number = np.cumsum(np.append(False, (np.diff(shard) != 0) | (np.diff(seg) != 0)))
+        edges = np.searchsorted(number, np.arange(0, number[-1] + 1 + shards, shards))
+        edges = edges if last else edges[:-1]  # the last group may go on
+        pieces = [(whole.slice(a, b - a), number[a:b] - number[a]) for a, b in zip(edges, edges[1:], strict=False) if b > a]
+        return pieces, whole.slice(edges[-1])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(pa.Table.from_batches([batch]))
+            count += batch.num_rows
+        if count >= 1 << 17:
+            pieces, rest = split(pa.concat_tables(held), False)
+            yield from pieces
+            held, count = [rest], 0
+    if held and sum(map(len, held)):
+        yield from split(pa.concat_tables(held), True)[0]
+
+
+def _group_scores(rows: tuple[pa.Table, np.ndarray], asks: _Asked, k: int, mean_length: float, least: np.ndarray) -> pa.Table:
+    """(query, doc, score), by the queries' numbers, of the documents of a group of shards that reach the bounds."""
+    table, shard = rows
+    n, slots = len(asks.names), (int(shard[-1]) + 1) * SHARD_DOCS
+    lists = table.column("doc").combine_chunks()
+    docs, size = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+    at, tf, length = (table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("at", "tf", "length"))
+    slot = np.repeat(shard * SHARD_DOCS, size) + at
+    word = np.repeat(table.column("word").to_numpy(), size)
+    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
+    # words that many of the documents have go as a matrix product, the others posting by posting
+    many = np.flatnonzero(np.bincount(word, minlength=len(asks.starts) - 1) * 16 >= slots)
+    place = np.full(len(asks.starts) - 1, -1)
+    place[many] = np.arange(len(many))
+    dense = place[word] >= 0
+    have, want = np.zeros((len(many), slots)), np.zeros((n, len(many)))
+    have[place[word[dense]], slot[dense]] = gain[dense]
+    for i, x in enumerate(many):
+        want[asks.query[asks.starts[x] : asks.starts[x + 1]], i] = asks.w[asks.starts[x] : asks.starts[x + 1]]
+    scores = want @ have
+    slot_, word_, gain_ = slot[~dense], word[~dense], gain[~dense]
+    times = (asks.starts[1:] - asks.starts[:-1])[word_]
+    ends = np.cumsum(times)
+    for a, b in _spans(ends, SCORES // 4):
+        t = times[a:b]
+        nth = np.arange(t.sum()) - np.repeat(ends[a:b] - t - (ends[a - 1] if a else 0), t) + np.repeat(asks.starts[word_[a:b]], t)
+        scores += np.bincount(asks.query[nth] * slots + np.repeat(slot_[a:b], t), asks.w[nth] * np.repeat(gain_[a:b], t), n * slots).reshape(n, slots)
+    scores = np.round(scores, PLACES)
+    where = np.zeros(slots, np.int64)
+    where[slot] = np.arange(len(slot))
+    if len(table.column("gone").combine_chunks().flatten()):
+        gone = table.column("gone").combine_chunks()
+        row = np.unique(shard, return_index=True)[1]  # a shard's rows have the same list
+        for i, r in enumerate(row):
+            own = np.unique(slot[slot // SHARD_DOCS == i])
+            scores[:, own[pc.is_in(docs.take(pa.array(where[own])), gone[r].values).to_numpy(zero_copy_only=False)]] = 0.0
+    bound = least - SLACK
+    if k < slots and np.count_nonzero(scores >= bound[:, None]) > 8 * k * n:
+        ahead = np.partition(scores, slots - k, axis=1)[:, slots - k]  # the k-th best of the group
+        bound = np.where(ahead > 0, np.maximum(bound, ahead), bound)
+    query, found = np.nonzero((scores != 0) & (scores >= bound[:, None]))
+    return pa.table({"query": query, "doc": docs.take(pa.array(where[found])), "score": scores[query, found]})
+
+
+def _spans(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of items whose sizes sum to about `most`; `ends` is the running sum of the sizes."""
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield a, b
+        a = b
+
+
 def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of (doc, tokens): each term's postings in a run of `SHARD_DOCS` documents, and a row without a term that lists the run's documents."""
     from pyspark import TaskContext

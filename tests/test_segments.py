@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,30 @@ def test_blocks_are_skipped(spark, tmp_path):
     assert report["blocks"] > 40 and report["skipped"] > 0.6 * report["blocks"]
 
 
+def test_no_table_holds_a_row_for_each_query_and_document(spark, tmp_path, monkeypatch):
+    from factloom.operators import segments
+
+    kept, sizes = segments.staged, []
+    monkeypatch.setattr(segments, "staged", lambda df, tag: (out := kept(df, tag), sizes.append(out.count()))[0])
+    docs = [(i, f"common word w{i % 7}") for i in range(1500)]
+    queries = [(i, f"common word w{i % 7}") for i in range(40)]
+    index = SegmentIndex(spark, f"file://{tmp_path}/p").add(spark.createDataFrame(docs, DOCS))
+    assert rows(index.search(spark.createDataFrame(queries, ASKED), 3)) == brute(docs, queries, 3)
+    assert max(sizes) <= 3 * len(queries)
+
+
+def test_many_blocks_of_queries_and_groups_of_shards(spark, tmp_path, monkeypatch):
+    from factloom.operators import segments
+
+    monkeypatch.setattr(segments, "QUERY_BLOCK", 4)
+    docs, queries = corpus(5, 300), [(i, f"w{i} w{i % 3} w50") for i in range(9)]
+    index = SegmentIndex(spark, f"file://{tmp_path}/q").add(spark.createDataFrame(docs, DOCS))
+    assert rows(index.search(spark.createDataFrame(queries, ASKED), 5)) == brute(docs, queries, 5)
+    seen = [pa.RecordBatch.from_pydict({"seg": [0] * 5, "shard": [1, 1, 2, 3, 3], "word": [*range(5)]})]
+    got = [(t.column("word").to_pylist(), list(n)) for t, n in segments._groups(iter(seen), 2)]
+    assert got == [([0, 1, 2], [0, 0, 1]), ([3, 4], [0, 0])]
+
+
 def test_ids_of_text_repeated_ids_and_empty_tables(spark, tmp_path):
     index = SegmentIndex(spark, f"file://{tmp_path}/s", "string")
     kind = "doc_id string, text string"
