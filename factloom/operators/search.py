@@ -267,6 +267,7 @@ def retrieve(
     counted["fused"] = fusing
     fused = staged(fuse(lists, "item_id", "doc_id", top).observe(fusing, F.count(F.lit(1)).alias("fusion_candidates")), "fused")
     own_vectors = parts.where("part = 0").select("item_id", F.col("text").alias("asked"), F.col("vector").alias("own"))
+    docs = docs.join(fused.select("doc_id").distinct(), "doc_id", "left_semi")  # goes below the joins that `docs` is made of, so only these texts move
     met = fused.select("item_id", "doc_id", "rank").join(docs.select("doc_id", F.col("text").alias("found"), F.col("vector").alias("theirs")), "doc_id").join(own_vectors, "item_id")
     score = F.coalesce(cosine(F.col("own"), F.col("theirs")), F.lit(0.0)) if reranker == "embedding" else overlap_recall(F.col("asked"), F.col("found"))
     ranked = reranked(met, "item_id", score, k).select("item_id", "doc_id", F.round("score", 4).alias("score"), "rank")

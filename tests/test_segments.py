@@ -127,6 +127,16 @@ def test_many_blocks_of_queries_and_groups_of_shards(spark, tmp_path, monkeypatc
     assert got == [([0, 1, 2], [0, 0, 1]), ([3, 4], [0, 0])]
 
 
+def test_only_found_texts_meet_their_vectors(spark):
+    docs = spark.createDataFrame([(i, f"some word w{i % 5}") for i in range(40)], DOCS)
+    vectors = spark.range(40).select(F.col("id").alias("vec_id"), F.array(*map(F.lit, [1.0] * 7), F.col("id").cast("double")).alias("vector"))
+    joined = docs.join(vectors, F.col("doc_id") == F.col("vec_id"), "left").select("doc_id", "text", "vector")
+    found = S.hybrid(joined, spark.createDataFrame([(1, "word w3")], ASKED), 3, embed=lambda p: p.withColumn("vector", F.array(*map(F.lit, [1.0] * 8))), reranker="lexical")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("LeftOuter") < plan.index("LeftSemi")  # below it
+    assert [r["doc_id"] % 5 for r in found.orderBy("rank").collect()] == [3, 3, 3]
+
+
 def test_ids_of_text_repeated_ids_and_empty_tables(spark, tmp_path):
     index = SegmentIndex(spark, f"file://{tmp_path}/s", "string")
     kind = "doc_id string, text string"
